@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from haulspark.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from haulspark.llm.mixing import op2_mix_sources
 from haulspark.llm.near_dedup import op1_near_dedup
+from haulspark.llm.quality import op6_quality_classifier
+from haulspark.llm.url_filter import OP3_SQL, op3_url_filter
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_url_filter": op3_url_filter,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op3_url_filter": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
