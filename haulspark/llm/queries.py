@@ -7,6 +7,7 @@ from haulspark.llm.mixing import op2_mix_sources
 from haulspark.llm.near_dedup import op1_near_dedup
 from haulspark.llm.quality import op6_quality_classifier
 from haulspark.llm.url_filter import OP3_SQL, op3_url_filter
+from haulspark.llm.warc import op10_warc
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
