@@ -6,6 +6,7 @@ from haulspark.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from haulspark.llm.mixing import op2_mix_sources
 from haulspark.llm.near_dedup import op1_near_dedup
 from haulspark.llm.quality import op6_quality_classifier
+from haulspark.llm.substring_dedup import op5_substring_dedup
 from haulspark.llm.url_filter import OP3_SQL, op3_url_filter
 from haulspark.llm.warc import op10_warc
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_url_filter": op3_url_filter,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_warc": op10_warc,
