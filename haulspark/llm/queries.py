@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from haulspark.llm.embedding_dedup import op4_embedding_dedup
 from haulspark.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from haulspark.llm.mixing import op2_mix_sources
 from haulspark.llm.near_dedup import op1_near_dedup
+from haulspark.llm.pii import op9_pii
 from haulspark.llm.quality import op6_quality_classifier
+from haulspark.llm.sentencepiece_codec import op7_sentencepiece
 from haulspark.llm.substring_dedup import op5_substring_dedup
 from haulspark.llm.url_filter import OP3_SQL, op3_url_filter
 from haulspark.llm.warc import op10_warc
@@ -14,9 +17,12 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_url_filter": op3_url_filter,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_pii": op9_pii,
     "op10_warc": op10_warc,
 }
 
