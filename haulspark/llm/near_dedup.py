@@ -118,44 +118,54 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_STARS)
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows of one block pair after another: pairs not compared yet, of different components, near by signature."""
-    held: list[pa.RecordBatch] = []
-
-    def close() -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        rep, comp, leader, left, right = (t.column(c).to_numpy() for c in ("rep", "component", "leader", "left", "right"))
-        sigs = _sig_matrix(t.column("sig"))
-        a_out, b_out = [], []
-        for i in np.flatnonzero(left):
-            if rep[i] == leader[i]:
-                continue
-            j = np.flatnonzero(right & (rep > rep[i] if t.column("same")[0].as_py() else rep != rep[i]) & (comp != comp[i]) & (rep != leader[i]))
-            j = j[(sigs[j] != sigs[i]).sum(axis=1) <= FURTHEST]
-            a_out.append(np.minimum(rep[i], rep[j]))
-            b_out.append(np.maximum(rep[i], rep[j]))
-        empty = [np.zeros(0, np.int64)]
-        pairs = np.unique(np.stack([np.concatenate(a_out or empty), np.concatenate(b_out or empty)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=_PAIRS)
-
-    now = None
-    for batch in batches:
-        groups = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
-        lo = 0
-        for at in range(len(groups) + 1):
-            if at == len(groups) or groups[at] != now:
-                if at > lo:
-                    held.append(batch.slice(lo, at - lo))
-                if at < len(groups):
-                    if held:
-                        yield close()
-                        held.clear()
-                    now, lo = groups[at], at
-    if held:
-        yield close()
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _across(percent: int):
+    """Links between one block of outsiders and one block of their family, compared on full sets.
+
+    A pair is a candidate if it shares a chunk up to ERRORS and is near by signature. Rows that links of this
+    block have joined already are not compared again.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, component, outside = (table.column(c).to_numpy() for c in ("rep", "component", "outside"))
+        probe = table.column("probe").to_numpy()
+        sigs = _sig_matrix(table.column("sig"))
+        lists = table.column("shingles").combine_chunks()
+        values, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+        sizes = np.diff(bounds)
+        root = {c: c for c in component.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        links = []
+        targets = np.flatnonzero(~probe)
+        for i in np.flatnonzero(probe):
+            j = targets[(component[targets] != component[i]) & (~outside[targets] | (rep[targets] > rep[i]))]
+            j = j[100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])]
+            differs = sigs[j] != sigs[i]
+            near = (differs.sum(axis=1) <= FURTHEST) & (differs.reshape(-1, CHUNKS, SYMBOLS).sum(axis=2).min(axis=1, initial=SYMBOLS) <= ERRORS)
+            j = j[near]
+            mine = np.sort(values[bounds[i] : bounds[i + 1]])
+            for lo in range(0, len(j), 256):
+                part = np.array([x for x in j[lo : lo + 256].tolist() if find(int(component[x])) != find(int(component[i]))], np.int64)
+                if not len(part):
+                    continue
+                theirs = np.concatenate([values[bounds[x] : bounds[x + 1]] for x in part.tolist()])
+                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+                same = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum([0, *sizes[part][:-1]]))
+                for x in part[100 * same >= percent * (sizes[part] + sizes[i] - same)].tolist():
+                    one, two = find(int(component[x])), find(int(component[i]))
+                    if one != two:
+                        root[one] = two
+                        links.append((int(rep[i]), int(rep[x])))
+        return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=_LINKS)
+
+    return run
 
 
 _SETS = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
@@ -181,7 +191,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, block_rows: int = 4096) -> DataFrame:
+def _links_across(families: DataFrame, parts: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, probe_size: int = 1 << 18, target_size: int = 1 << 20) -> DataFrame:
+    """Links between components of one family (rows tied by keys that hold several components).
+
+    The rows outside a family's largest component are the probes; they are dealt to blocks of about ``probe_size``
+    shingles and meet the family in blocks of about ``target_size``, so that a family of any size is spread out.
+    """
+    placed = families.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(parts, F.col("rep") == parts.node, "left")
+    placed = placed.select("family", "rep", F.coalesce("component", "rep").alias("component"))
+    members = scratch.save(placed.join(sets.select(F.col("id").alias("rep"), F.size("shingles").alias("n")), "rep"), "members")
+    sums = members.groupBy("family", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    plan = sums.groupBy("family").agg(F.max_by("component", F.struct("rows", "component")).alias("main"), F.sum("n").alias("all"), F.max_by("n", F.struct("rows", "component")).alias("inside"))
+    plan = scratch.save(
+        plan.select("family", "main", F.ceil((F.col("all") - F.col("inside")) / probe_size).cast("int").alias("nb"), F.ceil(F.col("all") / target_size).cast("int").alias("nc")).where("nb > 0"), "family-plan"
+    )
+    rows = members.join(plan, "family").withColumn("outside", F.col("component") != F.col("main"))
+    b, c = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("nc")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probes = rows.where("outside").select("family", b.alias("b"), upto("nc").alias("c"), "rep", "component", "outside", F.lit(True).alias("probe"))
+    targets = rows.select("family", upto("nb").alias("b"), c.alias("c"), "rep", "component", "outside", F.lit(False).alias("probe"))
+    full = probes.union(targets).join(reps.select("rep", "sig"), "rep").join(sets.select(F.col("id").alias("rep"), "shingles"), "rep")
+    return full.groupBy("family", "b", "c").applyInArrow(_across(percent), "a long, b long")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """Components of texts whose sets of 2-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; of one word, the set is that word; a null or empty
@@ -191,9 +224,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Equal sets are one class with one representative, so copies of a text are never paired. Signatures of
     representatives are split in chunks, and rows that share a chunk key are tied to the smallest of the key;
-    those ties are confirmed on the full sets. Where a key's rows still lie in several components, the pairs
-    across them that are near by signature are confirmed too, in blocks of ``block_rows``, so that no link is
-    lost to the choice of a representative; pairs within a component are not needed and never listed.
+    those ties are confirmed on the full sets. Where a key's rows still lie in several components, the rows outside
+    the largest component of their family are compared, block by block, with all of the family that is near by
+    signature, so that no link is lost to the choice of a representative; pairs are never listed, links alone are.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), text_bytes(text_col).alias("text"))
@@ -217,30 +250,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     placed = stars.join(parts, stars.rep == parts.node, "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("component"))
     open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo < hi")
-    blocks = F.ceil(F.col("n") / block_rows).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
-    members = (
-        placed.join(open_keys.select("key", blocks.alias("nb")), "key")
-        .join(reps.select("rep", "sig"), "rep")
-        .withColumn("block", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select(
-            "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "component", "leader", "sig",
-            (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"), (F.col("nb") == 1).alias("same0"),
-        )
-        .withColumn("same", F.col("i") == F.col("j")).drop("same0")
-    )
-    more = (
-        members.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        .mapInArrow(_open_pairs, "a long, b long").distinct().join(ties, ["a", "b"], "left_anti")
-    )
-    more = scratch.save(more, "more")
-    if not more.isEmpty():
-        known = sets.select("id")
-        extra = more.select(F.col("a").alias("id")).union(more.select("b")).distinct().join(known, "id", "left_anti")
-        assert extra.isEmpty()  # every row of an open key is tied to its leader
-        links = scratch.save(links.union(_confirmed(more, sets, percent)), "all-links")
-        parts = scratch.save(connected_components(links, scratch, "second"), "final-parts")
+    loose = scratch.save(placed.where("rep <> leader").join(open_keys.select("key"), "key").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "loose")
+    if not loose.isEmpty():
+        found = scratch.save(_links_across(connected_components(loose, scratch, "family"), parts, reps, sets, percent, scratch), "found")
+        if not found.isEmpty():
+            parts = scratch.save(connected_components(links.union(found), scratch, "second"), "final-parts")
     scratch.drop("stars", "sets")
     classes = reps.select("set_hash", "rep").join(parts, reps.rep == parts.node, "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     classes = scratch.save(classes, "classes")
