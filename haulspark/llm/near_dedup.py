@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulspark.llm.bloom import filter_of_ids
 from haulspark.llm.common import Scratch, text_bytes
 from haulspark.llm.components import connected_components
 from haulspark.llm.tokens import Words, mix, runs_of_texts, shingle_sets
@@ -171,13 +173,19 @@ def _across(percent: int):
 _SETS = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, offsets in runs_of_texts(batch.column("text")):
-            sets = shingle_sets(Words(data, offsets, lower=True))
-            bounds = np.cumsum([0, *(len(s) for s in sets)], dtype=np.int32)
-            values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))], schema=_SETS)
+def _sets(wanted: Broadcast):
+    """Full sets of the texts whose ids are wanted, and of a few others that the filter of ids lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(wanted.value.holds_ids(batch.column("id").to_numpy())))
+            for lo, hi, data, offsets in runs_of_texts(batch.column("text")):
+                sets = shingle_sets(Words(data, offsets, lower=True))
+                bounds = np.cumsum([0, *(len(s) for s in sets)], dtype=np.int32)
+                values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))], schema=_SETS)
+
+    return run
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,7 +199,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.where(100 * F.col("i") >= percent * (F.col("n") - F.col("i"))).select("a", "b")
 
 
-def _links_across(families: DataFrame, parts: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, probe_size: int = 1 << 18, target_size: int = 1 << 20) -> DataFrame:
+def _links_across(families: DataFrame, parts: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, probe_size: int = 1 << 16, target_size: int = 1 << 18) -> DataFrame:
     """Links between components of one family (rows tied by keys that hold several components).
 
     The rows outside a family's largest component are the probes; they are dealt to blocks of about ``probe_size``
@@ -241,10 +249,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "stars",
     )
     ties = scratch.save(stars.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "ties")
-    needed = ties.select(F.col("a").alias("id")).union(ties.select("b")).distinct()
-    # one text of an id will do: rows of an id that repeats with other texts are judged by the smallest
-    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").join(needed, "id", "left_semi")
-    sets = scratch.save(texts.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    needed = scratch.save(ties.select(F.col("a").alias("id")).union(ties.select("b")).distinct(), "needed")
+    wanted = spark.sparkContext.broadcast(filter_of_ids(needed, needed.count()))
+    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    sets = scratch.save(texts.mapInArrow(_sets(wanted), "id long, shingles array<long>"), "sets")
     links = scratch.save(_confirmed(ties, sets, percent), "links")
     parts = scratch.save(connected_components(links, scratch, "first"), "parts")
 

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulspark.llm.bloom import BloomFilter, fill
 from haulspark.llm.common import Scratch
-from haulspark.llm.tokens import mix
 
 _U = np.uint64
 #: (verdict, rule): a rule is a host and a path start, written together.
@@ -44,28 +44,6 @@ def _hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key), F.xxhash64(F.lit("second"), key)]
 
 
-@dataclass
-class Level:
-    """Bits of one filter; a key's bits are spread by its two hashes and the level's number."""
-
-    n_bits: int
-    n_hashes: int
-    number: int
-    words: np.ndarray
-
-    def positions(self, one: np.ndarray, two: np.ndarray) -> Iterator[np.ndarray]:
-        salt = _U((self.number + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-        one, two = mix(one + salt), mix(two ^ salt)
-        for i in range(self.n_hashes):
-            yield (one + _U(i) * two) % _U(self.n_bits)
-
-    def holds(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        out = np.ones(len(one), bool)
-        for at in self.positions(one, two):
-            out &= (self.words[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
-        return out
-
-
 @dataclass
 class Cascade:
     """Filters that hold, in turn, listed keys and the unlisted keys that all filters before let through.
@@ -74,7 +52,7 @@ class Cascade:
     their number is odd: exact for every key of the universe that the cascade was built over.
     """
 
-    levels: list[Level] = field(default_factory=list)
+    levels: list[BloomFilter] = field(default_factory=list)
 
     def holds(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         verdict = np.zeros(len(one), bool)
@@ -85,7 +63,7 @@ class Cascade:
         return verdict
 
 
-def _passing(keys: DataFrame, level: Level) -> DataFrame:
+def _passing(keys: DataFrame, level: BloomFilter) -> DataFrame:
     """Rows (key, one, two) that ``level`` lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,28 +74,11 @@ def _passing(keys: DataFrame, level: Level) -> DataFrame:
     return keys.mapInArrow(run, keys.schema)
 
 
-def _fill(keys: DataFrame, number: int, n_keys: int, rate: float) -> Level:
-    """A filter of distinct keys, set by one distributed OR over its 64-bit words."""
+def _fill(keys: DataFrame, number: int, n_keys: int, rate: float) -> BloomFilter:
     n_bits = max(64, math.ceil(n_keys * -math.log(rate) / math.log(2) ** 2))
     if n_bits > 8 * MOST_BYTES:
         raise ValueError(f"a filter of {n_bits // 8} bytes is above the bound of {MOST_BYTES}: split the listed keys by host")
-    n_hashes = max(1, round(-math.log2(rate)))
-    level = Level(n_bits, n_hashes, number, np.zeros(0, _U))
-
-    def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (batch.column(c).to_numpy().view(_U) for c in ("one", "two"))
-            at = np.unique(np.concatenate(list(level.positions(one, two))))
-            word, first = np.unique((at >> _U(6)).astype(np.int64), return_index=True)
-            bits = np.bitwise_or.reduceat(_U(1) << (at & _U(63)), first) if len(at) else np.zeros(0, _U)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bit"])
-
-    bits = keys.select("one", "two").mapInArrow(set_bits, "word long, bit long")
-    words = np.zeros((n_bits + 63) // 64, np.int64)
-    for row in bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():  # at most n_bits / 64 rows
-        words[row["word"]] = row["bits"]
-    level.words = words.view(_U)
-    return level
+    return fill(keys, n_bits, max(1, round(-math.log2(rate))), number)
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, n_universe: int, scratch: Scratch, name: str) -> Cascade:
