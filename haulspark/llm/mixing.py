@@ -64,7 +64,7 @@ def _round(group: pd.DataFrame, limit: int) -> pd.DataFrame:
     return pd.DataFrame({"source": group["source"], "doc_id": group["doc_id"], "text_key": group["text_key"], "size": sizes, "copies": copies})
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = 20_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = 1000) -> DataFrame:
     """How often each row is taken so that the sources' words stand in the proportions of ``weights``.
 
     A row's size is its number of ``[^\\x20\\x09-\\x0D]+`` (null text: 0). Sources by code point, null last, get
