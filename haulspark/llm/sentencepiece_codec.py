@@ -99,9 +99,14 @@ class Vocabulary:
             return self
         self.unknown = int(np.flatnonzero(self.kinds == _UNKNOWN)[0]) if (self.kinds == _UNKNOWN).any() else 0
         normal = [(p, i) for i, p in enumerate(self.pieces) if self.kinds[i] == _NORMAL and p]
-        self.matching = normal
+        self.matching = np.array([i for _, i in normal], np.int32)
         self.longest = max((len(p) for p, _ in normal), default=1)
         self.alphabet = sorted({c for p, _ in normal for c in p})
+        place = {c: i for i, c in enumerate(self.alphabet)}
+        # places in the alphabet of each matching piece's characters, -1 after its end
+        self.spelling = np.full((len(normal), self.longest), -1, np.int32)
+        for row, (p, _) in zip(self.spelling, normal, strict=True):
+            row[: len(p)] = [place[c] for c in p]
         joined = {c for p, _ in normal if len(p) > 1 for c in p}
         # within a word, a character that no longer piece holds stands alone and parts what is around it
         self.joined = joined
@@ -125,17 +130,25 @@ class Vocabulary:
         """Parts of a normalised text across whose borders no piece reaches: words with the spaces before them."""
         if not text or not self.by_words:
             return [text] if text else []
-        words = text.split(SPACE)
-        out, spaces = [], 0
-        if words[0]:
-            out.append(words[0])
-        for word in words[1:]:
-            spaces += 1
-            if word:
-                out.append(SPACE * spaces + word)
-                spaces = 0
-        if spaces:
-            out.append(SPACE * spaces)
+        out: list[str] = []
+        lines = text.split("\n") if "\n" not in self.joined else [text]
+        for k, line in enumerate(lines):
+            if k:
+                out.append("\n")
+            words = line.split(SPACE)
+            if words[0]:
+                out.append(words[0])
+            if SPACE + SPACE not in line:
+                out += [SPACE + w for w in words[1:]]
+                continue
+            spaces = 0
+            for word in words[1:]:
+                spaces += 1
+                if word:
+                    out.append(SPACE * spaces + word)
+                    spaces = 0
+            if spaces:
+                out.append(SPACE * spaces)
         return out
 
 
@@ -168,23 +181,22 @@ class Matcher:
         keys = grid.view(">u8").reshape(n, n_words)
         order = np.lexsort(keys.astype(np.uint64).T[::-1])
         ordered = np.ascontiguousarray(grid[order]).view(f"S{n_words * 8}").reshape(-1)
-        usable = {chr(c): i + 1 for i, c in enumerate(used.tolist())}
-        low, high, ids, lengths = [], [], [], []
-        for piece, i in v.matching:
-            if all(c in usable for c in piece):
-                key = np.array([usable[c] for c in piece], one).tobytes()
-                low.append(key)
-                high.append(key + b"\xff" * (n_words * 8 - len(key)))
-                ids.append(i)
-                lengths.append(len(piece))
-        if low:
-            first = np.searchsorted(ordered, np.array(low, ordered.dtype), "left")
-            last = np.searchsorted(ordered, np.array(high, ordered.dtype), "right")
-            count = last - first
-            piece = np.repeat(np.arange(len(ids)), count)
-            place = order[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-            edge = np.argsort(place, kind="stable")  # edges by position
-            self.ids[place[edge], np.array(lengths)[piece[edge]]] = np.array(ids)[piece[edge]]
+        codes = np.zeros(len(known) + 1, one)  # the last is for places after a piece's end
+        codes[:-1][np.isin(known, used)] = np.arange(1, len(used) + 1)
+        spelled = codes[v.spelling]
+        sizes = (v.spelling >= 0).sum(axis=1)
+        fits = (spelled > 0).sum(axis=1) == sizes
+        spelled, sizes, ids = spelled[fits], sizes[fits], v.matching[fits]
+        low = np.zeros((len(ids), n_words * per_word), one)
+        low[:, :width] = spelled
+        high = np.where(np.arange(n_words * per_word) < sizes[:, None], low, np.iinfo(one).max).astype(one)
+        as_text = lambda x: np.ascontiguousarray(x).view(f"S{n_words * 8}").reshape(-1)
+        first = np.searchsorted(ordered, as_text(low), "left")
+        count = np.searchsorted(ordered, as_text(high), "right") - first
+        piece = np.repeat(np.arange(len(ids)), count)
+        place = order[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        edge = np.argsort(place * 64 + sizes[piece])  # edges by position
+        self.ids[place[edge], sizes[piece[edge]]] = ids[piece[edge]]
 
     def encode(self) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks end to end, how many each chunk has)."""
@@ -195,12 +207,15 @@ class Matcher:
         chunk = np.searchsorted(self.begins, begin, "right") - 1
         if not spelled.any():
             return ids, np.bincount(chunk, minlength=len(self.lengths))
-        parts: list[list[int]] = [[i] for i in ids.tolist()]
-        for k in np.flatnonzero(spelled).tolist():
-            data = chr(self.points[begin[k]]).encode("utf-8", "replace")
-            parts[k] = [self.v.byte_ids[b] for b in data] if self.v.byte_ids else [self.v.unknown]
-        size = np.array([len(p) for p in parts])
-        return np.array([i for p in parts for i in p], np.int32), np.bincount(chunk, weights=size, minlength=len(self.lengths)).astype(np.int64)
+        parts = []
+        for point in self.points[begin[spelled]].tolist():
+            data = chr(point).encode("utf-8", "replace")
+            parts.append([self.v.byte_ids[b] for b in data] if self.v.byte_ids else [self.v.unknown])
+        size = np.ones(len(ids), np.int64)
+        size[spelled] = [len(p) for p in parts]
+        out = np.repeat(ids, size)
+        out[np.repeat(spelled, size)] = [i for p in parts for i in p]
+        return out, np.bincount(chunk, weights=size, minlength=len(self.lengths)).astype(np.int64)
 
     def _merge(self) -> np.ndarray:
         """Length of the symbol that begins at each place, 0 within one: pairs join by the best edge over both.
@@ -302,7 +317,7 @@ class Matcher:
 class Encoder:
     """Encodes texts in batches; chunks met before are looked up, new ones are matched together."""
 
-    def __init__(self, vocabulary: Vocabulary, most_chunks: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, most_chunks: int = 600_000):
         self.v, self.most = vocabulary.prepare(), most_chunks
         self._clear()
 
@@ -314,7 +329,7 @@ class Encoder:
         ids, counts, held, lo = [self.ids], [self.counts], 0, 0
         for hi, chunk in enumerate(chunks):
             held += len(chunk) + 1
-            if held >= 1 << 18 or hi == len(chunks) - 1:
+            if held >= 1 << 19 or hi == len(chunks) - 1:
                 got, n = Matcher(self.v, chunks[lo : hi + 1]).encode()
                 ids.append(got)
                 counts.append(n)

@@ -221,9 +221,9 @@ def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.fold(F.concat(F.lit("Țară "), "p_name", F.lit(" -ÉÂ"))).alias("folded"))
 
 
-@query("select p_partkey, floor((1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))) * 10000 + 0.5) / 10000 as similar from part")
+@query("select p_partkey, floor((1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))) * 10000 + 0.5) / 10000 as similarity_score from part")
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", half_up(text.similarity(F.col("p_name"), F.col("p_type")), 4).alias("similar"))
+    return table(spark, sf_dir, "part").select("p_partkey", half_up(text.similarity(F.col("p_name"), F.col("p_type")), 4).alias("similarity_score"))
 
 
 _NUMBERS = [("1.234,56", 1234.56, 1234.56), ("1,234.56", 1234.56, 1234.56), ("1.234", 1234.0, 1.234), ("12,5", 12.5, 12.5), ("1.234.567", 1234567.0, None), ("12.5", 12.5, 12.5), ("1,2,3", None, None), ("abc", None, None), ("1.2.34", 12.34, None), ("-7,25", -7.25, -7.25)]
