@@ -201,3 +201,16 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP4_SQL = """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+ok as (
+  select vec_id, label, e, sqrt(list_dot_product(e, e)) as norm from v
+  where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), l as (
+  select a.vec_id as a, b.vec_id as b from ok a join ok b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), n as (select a as vec_id, count(*) as n from l group by 1),
+reach(vec_id, root) as (select vec_id, vec_id from embeddings union select r.vec_id, l.b from reach r join l on l.a = r.root)
+select vec_id, coalesce(any_value(n), 0)::bigint as n_links, min(root) as component_id, vec_id = min(root) as kept from reach left join n using (vec_id) group by vec_id
+"""

@@ -277,3 +277,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+
+
+OP1_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as shingle from w
+), n as (select doc_id, count(*) as n from s group by 1),
+df as (select shingle, count(*) as df from s group by 1),
+-- texts with a similarity of 0.8 share one of the rarest 20 % of either's shingles
+rare as (
+  select s.doc_id, s.shingle from s join df using (shingle) join n using (doc_id)
+  qualify row_number() over (partition by s.doc_id order by df, shingle) <= any_value(n) over (partition by s.doc_id) - ceil(0.8 * any_value(n) over (partition by s.doc_id)) + 1
+), c as (select distinct a.doc_id as a, b.doc_id as b from rare a join rare b on a.shingle = b.shingle and a.doc_id < b.doc_id),
+i as (select a, b, count(*) as i from c join s x on x.doc_id = a join s y on y.doc_id = b and y.shingle = x.shingle group by 1, 2),
+l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+both_ways as (select a, b from l union select b, a from l),
+reach(doc_id, root) as (select doc_id, doc_id from documents union select r.doc_id, e.b from reach r join both_ways e on e.a = r.root)
+select doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(root) as component_id, doc_id = min(root) as kept from reach left join n using (doc_id) group by doc_id
+"""

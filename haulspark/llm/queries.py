@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from haulspark.llm.embedding_dedup import op4_embedding_dedup
+from haulspark.llm.embedding_dedup import OP4_SQL, op4_embedding_dedup
 from haulspark.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from haulspark.llm.mixing import op2_mix_sources
-from haulspark.llm.near_dedup import op1_near_dedup
+from haulspark.llm.near_dedup import OP1_SQL, op1_near_dedup
 from haulspark.llm.pii import op9_pii
 from haulspark.llm.quality import op6_quality_classifier
 from haulspark.llm.sentencepiece_codec import op7_sentencepiece
-from haulspark.llm.substring_dedup import op5_substring_dedup
+from haulspark.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 from haulspark.llm.url_filter import OP3_SQL, op3_url_filter
-from haulspark.llm.warc import op10_warc
+from haulspark.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
@@ -27,6 +27,10 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_dedup": OP1_SQL,
+    "op4_embedding_dedup": OP4_SQL,
+    "op5_substring_dedup": OP5_SQL,
+    "op10_warc": OP10_SQL,
     "op3_url_filter": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
 }

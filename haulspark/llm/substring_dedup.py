@@ -240,3 +240,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP5_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as k from w, lateral (select unnest(range(1, len(w) - 48)) as i)),
+first as (select k, min(doc_id) as owner from windows group by 1),
+gone as (select distinct doc_id, i + j as i from windows join first using (k), range(50) t(j) where owner < doc_id),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from w),
+kept as (select x.doc_id, string_agg(word, ' ' order by x.i) as text, count(*) as n from words x left join gone g on g.doc_id = x.doc_id and g.i = x.i where g.i is null group by 1)
+select w.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(kept.n, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256 from w left join kept using (doc_id)
+"""

@@ -199,3 +199,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     fs.create_dir(root)
     files = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_warc(spark, folder, files, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP10_SQL = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+h as (select page_id, octet_length(payload) as payload_bytes, sha1(payload) as hex, max(page_id) over (partition by payload) as latest from p)
+select page_id, payload_bytes::bigint as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, (5 * (i // 4) + 1)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31), 1)), '') as payload_digest,
+       case when page_id = latest then 'response' else 'revisit' end as record_type, case when page_id <> latest then latest end as refers_to
+from h
+"""
