@@ -173,3 +173,31 @@ def test_the_stream_finds_what_the_batch_finds(spark):
     batch = tele.exceptions_of(tele.idle_minutes(placed).withColumn("has_open_stop", F.col("stop_id").isNotNull()))
     key = lambda df: sorted((r.event_id, r.type, r.severity) for r in df.collect())
     assert key(exceptions_to_the_end(spark, SF)) == key(batch)
+
+
+def test_delimited_files_are_sniffed_and_mapped(spark, tmp_path):
+    from haulspark.operators.imports import import_plan
+    from haulspark.sources.spreadsheets import fold_header, map_headers, read_orders, sniff_delimiter
+
+    assert sniff_delimiter('a;"b;,,,c";d') == ";" and sniff_delimiter("a\tb,c\td") == "\t" and sniff_delimiter("one") == ","
+    assert fold_header(" Număr_comandă ") == "numar comanda"
+    assert map_headers(["Nr.", "Număr", "Foo", "KG"]) == ({"order_number": "Nr.", "weight_kg": "KG"}, ["Foo"], ["Număr"])
+    (tmp_path / "in.csv").write_text('﻿Nr comandă;Locație;Data;Greutate;Foo\r\nA1;"Depozit; Nord";05.03.2024;1.234,5;x\r\n;;;;\r\nA1;depozit nord;06.03.2024;-3;\r\n;nowhere;;;\r\n', encoding="utf-8")
+    rows = read_orders(spark, str(tmp_path / "in.csv"))
+    assert rows.count() == 3
+    places = spark.createDataFrame([(7, "Depozit Nord")], "location_id long, name string")
+    clients = spark.createDataFrame([], "client_id long, name string")
+    plan = import_plan(rows.withColumn("row_no", F.monotonically_increasing_id()), places, clients, spark.createDataFrame([], "order_number string")).orderBy("row_no").collect()
+    assert [(r.action, r.order_number, r.location_id, r.weight_kg) for r in plan] == [("create", "A1", 7, 1234.5), ("error", "A1", 7, 0.0), ("error", None, None, 0.0)]
+    assert plan[1].errors == ["weight_kg_negative"] and set(plan[2].errors) == {"number_missing", "date_missing", "location_unknown"}
+
+
+def test_pages_are_rebuilt_and_split(spark):
+    from haulspark.operators.lifecycle import join_rows_of_pages, merged_into, split_pages
+
+    items = spark.createDataFrame([(1, 10.0, 700.0, 20.0, "a"), (1, 32.0, 699.0, 10.0, "b"), (1, 90.0, 701.0, 5.0, "c"), (1, 10.0, 650.0, 5.0, "d")], "page_id long, x double, y double, width double, text string")
+    assert [(r.line_no, r.text) for r in join_rows_of_pages(items).orderBy("line_no").collect()] == [(1, "a b\tc"), (2, "d")]
+    pages = spark.createDataFrame([(1, 1, ["x"]), (1, 2, []), (1, 3, ["y", "x"]), (1, 4, ["y"]), (1, 5, ["z"]), (2, 1, ["x"]), (2, 2, None)], "doc_id long, page_no int, keys array<string>")
+    assert {(r.doc_id, r.page_no): r.part for r in split_pages(pages).collect()} == {(1, 1): 1, (1, 2): 1, (1, 3): 1, (1, 4): 1, (1, 5): 2, (2, 1): 1, (2, 2): 1}
+    loop = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 4)], "id long, into_id long")
+    assert {r.id: r.final_id for r in merged_into(loop, "id", "into_id").collect()} == {1: 3, 2: 3, 3: 3, 4: 4}
