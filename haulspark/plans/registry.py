@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from haulspark.plans import kpi_queries, list_queries, office_queries, sequence_queries
+from haulspark.plans import desk_queries, kpi_queries, list_queries, office_queries, sequence_queries
 
-_MODULES = (kpi_queries, list_queries, sequence_queries, office_queries)
+_MODULES = (kpi_queries, list_queries, sequence_queries, office_queries, desk_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
