@@ -24,7 +24,7 @@ def rate(part: Column, whole: Column) -> Column:
 
 def number_or_null(text: Column) -> Column:
     """A finite number, or null for blanks and anything else."""
-    x = F.expr("try_cast(null as double)") if text is None else F.trim(text.cast("string")).try_cast("double")
+    x = F.trim(text.cast("string")).try_cast("double")
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -37,8 +38,6 @@ def tag_length_value(files: DataFrame, id_col: str = "id", content: str = "conte
     ship_package(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
         for pdf in batches:
             out = []
             for key, data in zip(pdf[id_col], pdf[content], strict=True):

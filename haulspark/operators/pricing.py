@@ -48,7 +48,6 @@ def invoice_draft(lines: DataFrame, clients: DataFrame, stored: DataFrame) -> Da
     return out.withColumn("mismatch", F.col("stored_total").isNotNull() & (F.abs(F.col("stored_total") - F.col("total")) > 0.005))
 
 
-#: Outcomes of the zone-tax decision in the order they are tried.
 def zone_tax_status(rows: DataFrame) -> DataFrame:
     """The first condition that settles whether a run pays a zone's tax; ``ok`` if it does.
 

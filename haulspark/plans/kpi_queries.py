@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulspark.functions.numeric import exact_sum, half_up, percent
+from haulspark.functions.numeric import exact_sum, half_up, percent, vat_rate
 from haulspark.functions.timez import local_week
-from haulspark.operators import analytics, pricing, reporting
+from haulspark.operators import analytics, documents, pricing, reporting
 from haulspark.operators.joins import asof, asof_with_fallback, bracket, small
 from haulspark.sources import tables as t
 from haulspark.sources.tables import table
@@ -229,8 +229,6 @@ v as (select *, floor(subtotal * vat_pct / 100 * 100 + 0.5) / 100 as vat from l
 x as (select *, floor((subtotal + vat) * 100 + 0.5) / 100 as total, case when client_id % 3 = 0 then floor((subtotal + vat) * 100 + 0.5) / 100 when client_id % 3 = 1 then 1.0 end as stored_total from v)
 select client_id, n_lines, subtotal, vat_pct, vat, total, stored_total is not null and abs(stored_total - total) > 0.005 as mismatch from x""")
 def invoice_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from haulspark.functions.numeric import vat_rate
-
     lines = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("client_id"), (F.col("o_totalprice") / 10).alias("amount"))
     k = F.col("c_custkey")
     regime = F.when(F.col("c_mktsegment") == "FURNITURE", "scutit").otherwise("normal")
@@ -329,22 +327,18 @@ def count_if_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 with d as (select o_custkey as operator, list_distinct(list_filter([case when o_orderkey % 3 = 0 then 'plate' end, case when o_orderkey % 5 = 0 then 'tpo' end], lambda x: x is not null)) as fields from orders)
 select operator, count(*) as documents, count(*) filter (where len(fields) > 0) as touched, floor(count(*) filter (where len(fields) > 0) / count(*) * 1000 + 0.5) / 1000 as touch_rate from d group by 1""")
 def feedback_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from haulspark.operators.documents import feedback
-
     k = F.col("o_orderkey")
     fields = F.filter(F.array(F.when(k % 3 == 0, "plate"), F.when(k % 5 == 0, "tpo")), lambda x: x.isNotNull())
-    return feedback(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("operator"), fields.alias("corrected_fields")))
+    return documents.feedback(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("operator"), fields.alias("corrected_fields")))
 
 
 @query("""
 with d as (select o_orderkey as id, unnest(list_filter([case when o_orderkey % 3 = 0 then 'plate' end, case when o_orderkey % 5 = 0 then 'tpo' end, case when o_orderkey % 11 = 0 then 'date' end], lambda x: x is not null)) as field from orders)
 select field, count(*) as corrections, count(distinct id) as documents, array_to_string((list_sort(list(id)))[1:3], ',') as examples from d group by 1""")
 def field_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from haulspark.operators.documents import field_corrections as corrections
-
     k = F.col("o_orderkey")
     fields = F.filter(F.array(F.when(k % 3 == 0, "plate"), F.when(k % 5 == 0, "tpo"), F.when(k % 11 == 0, "date")), lambda x: x.isNotNull())
-    out = corrections(table(spark, sf_dir, "orders").select("o_orderkey", fields.alias("corrected_fields")), "o_orderkey")
+    out = documents.field_corrections(table(spark, sf_dir, "orders").select("o_orderkey", fields.alias("corrected_fields")), "o_orderkey")
     return out.withColumn("examples", F.array_join(F.transform("examples", lambda i: i.cast("string")), ","))
 
 

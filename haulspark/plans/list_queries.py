@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from haulspark.functions.timez import in_days
 from haulspark.operators import relational as rel
 from haulspark.operators.joins import best_match, keep_newest, one_digit_off, small, zone_of
 from haulspark.sources import tables as t
@@ -49,8 +50,6 @@ select count(*) as n, min(event_id) as lowest, max(event_id) as highest from eve
 where (case when event_id % 4 <> 0 then cast(ts as date) end between date '2024-01-05' and date '2024-01-09')
    or (event_id % 4 = 0 and ts >= timestamp '2024-01-04 22:00:00' and ts < timestamp '2024-01-09 22:00:00')""")
 def date_window_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from haulspark.functions.timez import in_days
-
     e = table(spark, sf_dir, "events").withColumn("day", F.when(F.col("event_id") % 4 != 0, F.col("ts").cast("date")))
     chosen = e.where(in_days(F.col("day"), F.col("ts").cast("timestamp"), "2024-01-05", "2024-01-09"))
     return chosen.agg(F.count("*").alias("n"), F.min("event_id").alias("lowest"), F.max("event_id").alias("highest"))
@@ -70,8 +69,6 @@ def null_order_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate").cast("date")).alias("day"))
     known, unknown = rows.where("day is not null"), rows.where("day is null")
     n = known.agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     first = known.orderBy(F.asc("day"), "o_orderkey").limit(500).withColumn("pos", F.row_number().over(Window.orderBy("day", "o_orderkey")).cast("long"))
     last = unknown.where("o_orderkey < 400").withColumn("k", F.row_number().over(Window.orderBy("o_orderkey"))).crossJoin(F.broadcast(n)).select("o_orderkey", "day", (F.col("n") + F.col("k")).alias("pos"))
     return first.unionByName(last)
@@ -225,8 +222,6 @@ def requirements_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 with n as (select coalesce(max(cast(regexp_extract(s_name, '#([0-9]+)$', 1) as bigint)), 0) as top from supplier), o as (select o_orderkey, row_number() over (order by o_orderkey) as k from orders where o_orderkey < 200)
 select o_orderkey, 'F-' || lpad((top + k)::varchar, 6, '0') as number from o, n""")
 def next_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     top = table(spark, sf_dir, "supplier").agg(F.coalesce(F.max(F.nullif(F.regexp_extract("s_name", "#([0-9]+)$", 1), F.lit("")).cast("bigint")), F.lit(0)).alias("top"))
     o = table(spark, sf_dir, "orders").where("o_orderkey < 200").select("o_orderkey", F.row_number().over(Window.orderBy("o_orderkey")).alias("k"))
     return o.crossJoin(F.broadcast(top)).select("o_orderkey", F.concat(F.lit("F-"), F.lpad((F.col("top") + F.col("k")).cast("string"), 6, "0")).alias("number"))

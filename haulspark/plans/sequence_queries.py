@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulspark.functions import numeric, text
@@ -12,6 +12,7 @@ from haulspark.operators import documents, planning, sequences
 from haulspark.operators import telematics as tele
 from haulspark.sources import tables as t
 from haulspark.sources.tables import table
+from haulspark.streaming.runs import exceptions_to_the_end
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -100,8 +101,6 @@ def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_SEQ_SQL}, c as (select route_id, seq, sum(km) over (partition by route_id order by seq rows unbounded preceding) as total from stops) select route_id, seq, total - coalesce(lag(total) over (partition by route_id order by seq), 0) as total_step from c")
 def cumulative_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("route_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     running = _stops(spark, sf_dir).select("route_id", "seq", F.sum("km").over(w).alias("total"))
     return sequences.differences(running, "route_id", "seq", ["total"]).select("route_id", "seq", "total_step")
@@ -211,8 +210,6 @@ def sample_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming twin over the events file, run to its end and returned as the table it filled."""
-    from haulspark.streaming.runs import exceptions_to_the_end
-
     return exceptions_to_the_end(spark, sf_dir)
 
 
@@ -312,8 +309,6 @@ with d as (select l_orderkey as tpo, l_suppkey % 15 as k, l_shipdate as ts, l_pa
 w as (select *, lag(ts) over (partition by tpo, k order by ts, id, line) as before from d)
 select count(*) as rows, count(*) filter (where before is not null and ts - before <= interval 90 days) as duplicates from w""")
 def duplicates_90d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("tpo_id", "k").orderBy("run_date", "goods_id", "line")
     rows = t.runs(spark, sf_dir).withColumn("k", F.col("vehicle_id") % 15).withColumn("before", F.lag("run_date").over(w))
     return rows.agg(F.count("*").alias("rows"), F.count_if(F.col("before").isNotNull() & (F.datediff("run_date", "before") <= 90)).alias("duplicates"))
