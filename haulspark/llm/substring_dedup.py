@@ -129,6 +129,33 @@ def _cut(window: int):
     return run
 
 
+_WINDOWS = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("windows", pa.int32()), ("rep", pa.int64()), ("at", pa.int32()), ("window", pa.binary())])
+
+
+def _cut_windows(window: int):
+    """The windows of segments (anchor, segment, windows, rep, words), each by a 128-bit hash of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, segment, windows, rep, words in zip(*(batch.column(c).to_pylist() for c in _SEGMENTS.names), strict=True):
+                hashes = [hashlib.blake2b(words[8 * k : 8 * (k + window)], digest_size=16).digest() for k in range(windows)]
+                same = [pa.array([v] * windows, t) for v, t in ((anchor, pa.int64()), (segment, pa.int64()), (windows, pa.int32()), (rep, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(windows), pa.int32()), pa.array(hashes, pa.binary())], schema=_WINDOWS)
+
+    return run
+
+
+def _by_windows(segments: DataFrame, key: list[str], window: int, scratch: Scratch) -> DataFrame:
+    """What ``_search`` finds, for anchors with more segments than a shard should hold: each window meets its equals.
+
+    Equal windows combine before they are shuffled, so no group grows with the number of texts around a passage.
+    """
+    cut = scratch.save(segments.mapInArrow(_cut_windows(window), "anchor long, segment long, windows int, rep long, at int, window binary"), "hot-windows")
+    owners = scratch.save(cut.groupBy("window").agg(F.min("rep").alias("owner")), "hot-owners")
+    gone = cut.join(owners, "window").where("owner < rep").select(*key, F.struct(F.col("at").alias("a"), (F.col("at") + window).cast("int").alias("b")).alias("span"))
+    return gone.groupBy(*key).agg(F.array_sort(F.collect_set("span")).alias("spans"))
+
+
 _FOUND = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("windows", pa.int32()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
 
@@ -189,7 +216,7 @@ def _remove(with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_words: int = 1 << 19, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_words: int = 1 << 19, most_words: int = 1 << 23, with_text: bool = False) -> DataFrame:
     """Removes words covered by a window of ``window`` words whose sequence also starts in a text with a smaller id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none. Windows are judged on the input. Returns one row
@@ -201,7 +228,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whatever surrounds them, and anchors of a single text meet nothing and stop there. Equal segments (runs of windows
     with one anchor) are one, held by the text with the smallest id. Each shard's segments are indexed and searched
     backwards through the wavelet matrix; spans found are removed from the holder, and whole segments from the others.
-    A shard holds whole anchors, about ``shard_words`` words.
+    A shard holds whole anchors, about ``shard_words`` words; an anchor whose distinct segments hold more than
+    ``most_words`` (a passage that very many texts set in words of their own) is settled window by window instead.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), text_bytes(text_col).alias("text"))
@@ -218,11 +246,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     wanted = repeated.groupBy("rep").agg(F.collect_list(F.struct("anchor", "segment", "windows", "start")).alias("wanted"))
     texts = rows.select(F.col("id").alias("rep"), "text").join(wanted, "rep")
+    segments = texts.mapInArrow(_cut(window), "anchor long, segment long, windows int, rep long, words binary")
+    hot = scratch.save(repeated.groupBy("anchor").agg(F.sum(F.col("windows") + (window - 1)).alias("n")).where(F.col("n") > most_words).select("anchor"), "hot")
+    some_hot = not hot.isEmpty()
+    ordinary = segments.join(hot, "anchor", "left_anti") if some_hot else segments
     found = (
-        texts.mapInArrow(_cut(window), "anchor long, segment long, windows int, rep long, words binary")
-        .repartition("anchor").sortWithinPartitions("anchor", "segment", "windows")
+        ordinary.repartition("anchor").sortWithinPartitions("anchor", "segment", "windows")
         .mapInArrow(_search(window, shard_words), "anchor long, segment long, windows int, spans array<struct<a:int,b:int>>")
     )
+    if some_hot:
+        found = found.unionByName(_by_windows(segments.join(hot, "anchor", "left_semi"), key, window, scratch))
     found = scratch.save(found.dropDuplicates(key), "found")
     told = scratch.save(repeated.join(found, key, "left").where("shared or spans is not null").select(*key, "rep", "spans"), "told")
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") + (window - 1)).cast("int").alias("b")))

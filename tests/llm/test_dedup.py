@@ -178,10 +178,10 @@ def passage_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("shard_words", [300, 1 << 19])
-def test_passages_are_brute_force(spark, shard_words):
+@pytest.mark.parametrize(("shard_words", "most_words"), [(300, 1 << 23), (1 << 19, 1 << 23), (1 << 19, 200)])
+def test_passages_are_brute_force(spark, shard_words, most_words):
     rows = passage_rows(9)
-    got = substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), shard_words=shard_words, with_text=True).collect()
+    got = substring_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), shard_words=shard_words, most_words=most_words, with_text=True).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_passages(rows, 50)
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got if r.kept_text is not None)
 
