@@ -201,3 +201,28 @@ def test_pages_are_rebuilt_and_split(spark):
     assert {(r.doc_id, r.page_no): r.part for r in split_pages(pages).collect()} == {(1, 1): 1, (1, 2): 1, (1, 3): 1, (1, 4): 1, (1, 5): 2, (2, 1): 1, (2, 2): 1}
     loop = spark.createDataFrame([(1, 2), (2, 3), (3, None), (4, 4)], "id long, into_id long")
     assert {r.id: r.final_id for r in merged_into(loop, "id", "into_id").collect()} == {1: 3, 2: 3, 3: 3, 4: 4}
+
+
+def test_walks_join_groups_that_batches_cut(spark):
+    from haulspark.operators.grouped import walk_groups
+
+    rows = spark.range(300).select((F.col("id") % 7).alias("g"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        got = walk_groups(rows, "g", ["v"], lambda key, cols: [(key, len(cols["v"]), int(cols["v"] == sorted(cols["v"])))], "g long, n int, ok int").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.g, r.n, r.ok) for r in got) == [(g, len(range(g, 300, 7)), 1) for g in range(7)]
+
+
+def test_the_latest_position_of_a_stream_is_that_of_the_batch(spark):
+    from haulspark.operators.telematics import latest_positions
+    from haulspark.streaming.telematics import stream_latest
+
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF)
+    samples = events.select("event_id", F.col("user_id").alias("vehicle_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("speed"), F.lit(44.0).alias("lat"), F.lit(26.0).alias("lon"))
+    run = stream_latest(samples).writeStream.format("memory").queryName("latest_now").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    want = {(r.vehicle_id, r.event_id) for r in latest_positions(t.positions(spark, SF)).collect()}
+    assert {(r.vehicle_id, r.event_id) for r in spark.table("latest_now").collect()} == want
