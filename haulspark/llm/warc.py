@@ -99,8 +99,8 @@ def _writer(folder: str, dictionary: bytes, date: str, level: int, most_bytes: i
     return run
 
 
-def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 3, most_bytes: int = 64 << 20) -> DataFrame:
-    """Archive ``page_id, url, html`` under ``folder``, a shared one; returns the list ``file, records, bytes``.
+def write_warc(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 3, most_bytes: int = 32 << 20) -> DataFrame:
+    """Archive ``page_id, url, html`` under ``folder``, a shared one by any URI that pyarrow reads; returns ``file, records, bytes``.
 
     Each row is one record. Payloads are the html in UTF-8, a null one empty. Of records with equal payloads of
     at least ``least_bytes`` bytes the one with the largest page_id is a response and the others are revisits of
