@@ -287,7 +287,20 @@ select l_orderkey as tpo_id, l_linenumber as line, l_partkey as goods_id, l_supp
        'B' || lpad((l_suppkey % 900 + 10)::varchar, 2, '0') || 'XYZ' as plate, cast(l_shipdate as date) as doc_date, l_quantity::int * 100.0::double as gross_kg, l_quantity::int * 100 - 50 + l_partkey % 7 * 20.0::double as net_kg, (l_partkey % 33 + 1)::int as pallets
 from lineitem where l_orderkey % 10 = 0""")
 def field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = documents.extract_fields(_printed(spark, sf_dir).where("tpo_id % 10 = 0").withColumnRenamed("tpo_id", "order_id"))
+    return _fields(_printed(spark, sf_dir).where("tpo_id % 10 = 0"))
+
+
+@query("""
+select l_orderkey as tpo_id, l_linenumber as line, l_partkey as goods_id, l_suppkey as vehicle_id, case when l_partkey % 5 <> 0 then (l_orderkey + 1000000)::varchar end as tpo, 'A-' || (l_partkey + 100)::varchar as doc_no,
+       'B' || lpad((l_suppkey % 900 + 10)::varchar, 2, '0') || 'XYZ' as plate, cast(l_shipdate as date) as doc_date, l_quantity::int * 100.0::double as gross_kg, l_quantity::int * 100 - 50 + l_partkey % 7 * 20.0::double as net_kg, (l_partkey % 33 + 1)::int as pallets
+from lineitem""")
+def field_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As field_extract, of every run."""
+    return _fields(_printed(spark, sf_dir))
+
+
+def _fields(notes: DataFrame) -> DataFrame:
+    out = documents.extract_fields(notes.withColumnRenamed("tpo_id", "order_id"))
     return out.select(F.col("order_id").alias("tpo_id"), "line", "goods_id", "vehicle_id", "tpo", "doc_no", "plate", "doc_date", "gross_kg", "net_kg", "pallets")
 
 
@@ -354,7 +367,7 @@ def balance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def packer(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = F.col("goods_id")
-    r = sequences.resequence(t.runs(spark, sf_dir).where("tpo_id % 4 = 0"), "tpo_id", [F.col(c) for c in _ORDER])
+    r = sequences.resequence(t.runs(spark, sf_dir), "tpo_id", [F.col(c) for c in _ORDER])
     items = r.select(F.col("tpo_id").alias("route_id"), (F.col("tpo_id") * 1000 + F.col("seq")).alias("item_id"), F.col("seq").alias("stop_seq"), (0.8 + g % 5 * 0.1).alias("l"), (0.6 + g % 4 * 0.1).alias("w"), (0.5 + g % 6 * 0.2).alias("h"))
     return planning.pack(items, "route_id", 6.0, 2.4, 2.4)
 
@@ -362,11 +375,11 @@ def packer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def driver_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vehicles = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("depot"), F.col("s_suppkey").alias("vehicle_id"), (F.col("s_suppkey") * 7 % 1500).alias("preferred"))
-    drivers = table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.col("c_nationkey").alias("depot"), F.col("c_custkey").alias("driver_id"))
+    drivers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("depot"), F.col("c_custkey").alias("driver_id"))
     return planning.assign_drivers(vehicles, drivers, "depot")
 
 
 @query()
 def route_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stops(spark, sf_dir).where("route_id % 4 = 0")
+    s = _stops(spark, sf_dir)
     return planning.nearest_neighbour_order(s.select("route_id", F.col("seq").cast("long").alias("stop_id"), "seq", (44 + F.col("goods_id") * 37 % 1000 / 500).alias("lat"), (25 + F.col("place") * 91 % 1000 / 500).alias("lon")), "route_id")
