@@ -74,6 +74,14 @@ def null_order_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(last)
 
 
+@query("""
+select o_orderkey, day, row_number() over (order by day asc nulls last, o_orderkey) as pos from (select o_orderkey, case when o_orderkey % 4 <> 0 then cast(o_orderdate as date) end as day from orders)""")
+def null_order_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As null_order_sort, of every order."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate").cast("date")).alias("day"))
+    return rel.numbered(rows, [F.col("day").asc_nulls_last(), F.col("o_orderkey")], "pos")
+
+
 @query("""
 select o_custkey as client_id, o_orderkey as order_id, status from (
   select o_custkey, o_orderkey, case o_orderstatus when 'P' then 'in_curs' when 'O' then 'nou' else 'gata' end as status,
@@ -121,15 +129,35 @@ def composite_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 with e as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)
 select c_custkey, event_id, event_type from customer left join e on user_id = c_custkey and k = 1 where c_custkey < 400""")
 def lateral_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latest = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e"))
-    c = table(spark, sf_dir, "customer").where("c_custkey < 400").select("c_custkey")
-    return c.join(latest, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", "e.event_id", "e.event_type")
+    return _latest(table(spark, sf_dir, "customer").where("c_custkey < 400"), table(spark, sf_dir, "events"))
+
+
+@query("""
+with e as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)
+select c_custkey, event_id, event_type from customer left join e on user_id = c_custkey and k = 1""")
+def lateral_latest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lateral_latest, of every customer."""
+    return _latest(table(spark, sf_dir, "customer"), table(spark, sf_dir, "events"))
+
+
+def _latest(customers: DataFrame, events: DataFrame) -> DataFrame:
+    latest = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e"))
+    return customers.select("c_custkey").join(latest, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", "e.event_id", "e.event_type")
 
 
 @query("select o_orderkey, (select count(*) from lineitem where l_orderkey = o_orderkey and l_shipdate >= o_orderdate) as stop_count from orders where o_orderdate >= timestamp '2001-01-01'")
 def scalar_count_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz '2001-01-01'").select("o_orderkey", "o_orderdate")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    return _stop_counts(table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz '2001-01-01'"), table(spark, sf_dir, "lineitem"))
+
+
+@query("select o_orderkey, (select count(*) from lineitem where l_orderkey = o_orderkey and l_shipdate >= o_orderdate) as stop_count from orders")
+def scalar_count_subquery_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As scalar_count_subquery, of every order."""
+    return _stop_counts(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+
+
+def _stop_counts(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    o, li = orders.select("o_orderkey", "o_orderdate"), lines.select("l_orderkey", "l_shipdate")
     joined = o.join(li, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") >= F.col("o_orderdate")), "left")
     return joined.groupBy("o_orderkey").agg(F.count("l_orderkey").alias("stop_count"))
 
@@ -227,6 +255,17 @@ def next_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.crossJoin(F.broadcast(top)).select("o_orderkey", F.concat(F.lit("F-"), F.lpad((F.col("top") + F.col("k")).cast("string"), 6, "0")).alias("number"))
 
 
+@query("""
+with n as (select coalesce(max(cast(regexp_extract(s_name, '#([0-9]+)$', 1) as bigint)), 0) as top from supplier), o as (select o_orderkey, row_number() over (order by o_orderkey) as k from orders)
+select o_orderkey, 'F-' || case when top + k < 1000000 then lpad((top + k)::varchar, 6, '0') else (top + k)::varchar end as number from o, n""")
+def next_number_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As next_number, of every order; a number of more than six digits keeps them all."""
+    top = table(spark, sf_dir, "supplier").agg(F.coalesce(F.max(F.nullif(F.regexp_extract("s_name", "#([0-9]+)$", 1), F.lit("")).cast("bigint")), F.lit(0)).alias("top"))
+    o = rel.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "k")
+    n = F.col("top") + F.col("k")
+    return o.crossJoin(F.broadcast(top)).select("o_orderkey", F.concat(F.lit("F-"), F.when(n < 1000000, F.lpad(n.cast("string"), 6, "0")).otherwise(n.cast("string"))).alias("number"))
+
+
 _MATCH_SQL = """
 facts as (select c_custkey as id, c_nationkey as key, 'supplier ' || (c_custkey % 120)::varchar as text from customer where c_custkey < 1500),
 names as (select s_nationkey as key, 'supplier ' || s_suppkey::varchar as name from supplier),
@@ -240,8 +279,29 @@ select id, case when score is not null and score >= 0.6 and not (second is not n
        case when score is null then 'no_candidate' when score < 0.6 then 'too_different' when second is not null and score - second < 0.15 then 'ambiguous' else 'matched' end as reason
 from r where k = 1""")
 def fuzzy_best_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey < 1500").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key"), F.concat(F.lit("supplier "), (F.col("c_custkey") % 120).cast("string")).alias("text"))
-    names = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("name"))
+    return _matched(table(spark, sf_dir, "customer").where("c_custkey < 1500"), table(spark, sf_dir, "supplier"))
+
+
+_MATCH_ALL_SQL = """
+facts as (select c_custkey as id, c_nationkey as key, 'supplier ' || (c_custkey % 120)::varchar as text from customer),
+names as (select s_nationkey as key, 'supplier ' || s_suppkey::varchar as name from supplier),
+s as (select id, name, floor((1 - levenshtein(text, name) / greatest(length(text), length(name))) * 10000 + 0.5) / 10000 as score from facts left join names using (key)),
+r as (select id, name, score, row_number() over (partition by id order by score desc, name) as k, lead(score) over (partition by id order by score desc, name) as second from s)"""
+
+
+@query(f"""
+with {_MATCH_ALL_SQL}
+select id, case when score is not null and score >= 0.6 and not (second is not null and score - second < 0.15) then name end as matched_name, score,
+       case when score is null then 'no_candidate' when score < 0.6 then 'too_different' when second is not null and score - second < 0.15 then 'ambiguous' else 'matched' end as reason
+from r where k = 1""")
+def fuzzy_best_margin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As fuzzy_best_margin, of every customer."""
+    return _matched(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"))
+
+
+def _matched(customers: DataFrame, suppliers: DataFrame) -> DataFrame:
+    c = customers.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key"), F.concat(F.lit("supplier "), (F.col("c_custkey") % 120).cast("string")).alias("text"))
+    names = suppliers.select(F.col("s_nationkey").alias("key"), F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("name"))
     return best_match(c, names, "key", "text").select("id", "matched_name", "score", "reason")
 
 

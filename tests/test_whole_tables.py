@@ -1,5 +1,6 @@
 """Registered queries run over all rows of their tables."""
 
+from haulspark.operators import relational
 from haulspark.plans.registry import QUERIES
 from haulspark.sources.tables import table
 from pyspark.sql import functions as F
@@ -36,3 +37,18 @@ def test_every_note_is_read(spark):
     lines = table(spark, SF, "lineitem")
     out = QUERIES["field_extract_all"](spark, SF)
     assert out.count() == lines.count() and ids(out, "tpo_id") == ids(lines, "l_orderkey")
+
+
+def test_list_queries_keep_every_row(spark):
+    keys = {"null_order_sort": ("orders", "o_orderkey", "o_orderkey"), "lateral_latest": ("customer", "c_custkey", "c_custkey"), "scalar_count_subquery": ("orders", "o_orderkey", "o_orderkey"), "next_number": ("orders", "o_orderkey", "o_orderkey"), "fuzzy_best_margin": ("customer", "c_custkey", "id")}
+    for name, (source, key, column) in keys.items():
+        out, all_rows = QUERIES[f"{name}_all"](spark, SF), table(spark, SF, source)
+        assert out.count() == all_rows.count() and ids(out, column) == ids(all_rows, key), name
+
+
+def test_numbers_run_over_all_ranges(spark):
+    rows = spark.range(20000).select("id", F.when(F.col("id") % 3 != 0, F.col("id") * 7919 % 1000).alias("v")).repartition(7)
+    order = lambda r: (r.v is None, r.v or 0, r.id)
+    got = sorted(relational.numbered(rows, [F.col("v").asc_nulls_last(), F.col("id")], "n").collect(), key=lambda r: r.n)
+    assert [r.n for r in got] == list(range(1, 20001)) and got == sorted(got, key=order)
+    assert relational.numbered(rows.limit(0), ["id"], "n").count() == 0
