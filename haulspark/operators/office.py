@@ -128,11 +128,12 @@ def best_block(values: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("_t", top).select(*values.columns, F.when(F.col("_t.s") < 0, F.col("_t.no")).alias("block_no"), F.greatest(-F.col("_t.s"), F.lit(0)).alias("shared"))
 
 
-def inbox(rows: DataFrame, dismissed: DataFrame) -> DataFrame:
-    """Notifications not deleted, unread first, then newest: ``key, created_at, is_read, pos``."""
+def inbox(rows: DataFrame, dismissed: DataFrame, user: str | None = None) -> DataFrame:
+    """Notifications not deleted, unread first, then newest: ``key, created_at, is_read, pos``; with ``user``, numbered for each user, whose column comes first."""
     state = dismissed.select(F.col("key").alias("_k"), "read_at", "deleted_at")
     out = rows.join(state, F.col("key") == F.col("_k"), "left").where("deleted_at is null").withColumn("is_read", F.col("read_at").isNotNull())
-    return out.select("key", "created_at", "is_read").withColumn("pos", F.row_number().over(Window.orderBy("is_read", F.desc("created_at"), "key")))
+    by = Window.orderBy("is_read", F.desc("created_at"), "key") if user is None else Window.partitionBy(user).orderBy("is_read", F.desc("created_at"), "key")
+    return out.select(*([user] if user else []), "key", "created_at", "is_read").withColumn("pos", F.row_number().over(by))
 
 
 def waybill_drafts(routes: DataFrame, stops: DataFrame, existing: DataFrame, kinds: Sequence[str] = ("livrare", "schimb")) -> DataFrame:

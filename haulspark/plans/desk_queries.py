@@ -126,8 +126,20 @@ with n as (select event_id as key, ts, event_id % 3 = 0 as is_read from events w
 select key, is_read, row_number() over (order by is_read, ts desc, key) as pos from n""")
 def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("event_id < 300").select(F.col("event_id").alias("key"), F.col("ts").alias("created_at"))
-    state = e.select("key", F.when(F.col("key") % 3 == 0, F.col("created_at")).alias("read_at"), F.when(F.col("key") % 7 == 0, F.col("created_at")).alias("deleted_at"))
-    return office.inbox(e, state).select("key", "is_read", "pos")
+    return office.inbox(e, _inbox_state(e)).select("key", "is_read", "pos")
+
+
+@query("""
+with n as (select user_id, event_id as key, ts, event_id % 3 = 0 as is_read from events where event_id % 7 <> 0)
+select user_id, key, is_read, row_number() over (partition by user_id order by is_read, ts desc, key) as pos from n""")
+def inbox_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inbox of every user, over all events."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("key"), F.col("ts").alias("created_at"))
+    return office.inbox(e, _inbox_state(e), "user_id").select("user_id", "key", "is_read", "pos")
+
+
+def _inbox_state(e: DataFrame) -> DataFrame:
+    return e.select("key", F.when(F.col("key") % 3 == 0, F.col("created_at")).alias("read_at"), F.when(F.col("key") % 7 == 0, F.col("created_at")).alias("deleted_at"))
 
 
 @query("""
@@ -158,13 +170,23 @@ def events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 select c_custkey as id, '{"plate":"B1","routing":"' || case when c_custkey % 2 = 0 then 'auto' else 'hitl' end || '"}' as data, case when c_custkey % 2 = 0 then 'auto' else 'hitl' end as routing from customer where c_custkey % 3 = 0""")
 def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 == 0))
+
+
+@query("""
+select c_custkey as id, '{"plate":"B1","routing":"' || case when c_custkey % 2 = 0 then 'auto' else 'hitl' end || '"}' as data, case when c_custkey % 2 = 0 then 'auto' else 'hitl' end as routing from customer""")
+def json_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As json_merge, of every customer."""
+    return _merged(table(spark, sf_dir, "customer"))
+
+
+def _merged(customers: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
     old = F.from_json(F.lit('{"plate":"B1","routing":"none"}'), "map<string,string>")
     change = F.create_map(F.lit("routing"), F.when(k % 2 == 0, "auto").otherwise("hitl"))
     merged = F.map_concat(F.map_filter(old, lambda key, _: ~F.map_contains_key(change, key)), change)
     data = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(merged))))
-    rows = table(spark, sf_dir, "customer").where(k % 3 == 0).select(k.alias("id"), data.alias("data"))
-    return rows.withColumn("routing", F.get_json_object("data", "$.routing"))
+    return customers.select(k.alias("id"), data.alias("data")).withColumn("routing", F.get_json_object("data", "$.routing"))
 
 
 @query("""

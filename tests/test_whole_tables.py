@@ -52,3 +52,13 @@ def test_numbers_run_over_all_ranges(spark):
     got = sorted(relational.numbered(rows, [F.col("v").asc_nulls_last(), F.col("id")], "n").collect(), key=lambda r: r.n)
     assert [r.n for r in got] == list(range(1, 20001)) and got == sorted(got, key=order)
     assert relational.numbered(rows.limit(0), ["id"], "n").count() == 0
+
+
+def test_desk_and_office_queries_keep_every_row(spark):
+    customers, orders = table(spark, SF, "customer"), table(spark, SF, "orders")
+    events = table(spark, SF, "events").where("event_id % 7 <> 0")
+    for name, rows, key, column in (("json_merge_all", customers, "c_custkey", "id"), ("invoice_xml_all", orders.select("o_custkey").distinct(), "o_custkey", "invoice_id"), ("inbox_all", events, "event_id", "key")):
+        out = QUERIES[name](spark, SF)
+        assert out.count() == rows.count() and ids(out, column) == ids(rows, key), name
+    firsts = QUERIES["inbox_all"](spark, SF).where("pos = 1")
+    assert firsts.count() == events.select("user_id").distinct().count()
