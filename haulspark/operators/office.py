@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from haulspark.functions.numeric import half_up
 from haulspark.functions.text import fold
+from haulspark.operators.relational import numbered
 from haulspark.sources.shipping import ship_package
 
 
@@ -63,8 +64,7 @@ def trusted(disabled: Column, verified: Column, source: Column, seen: Column) ->
 def merge_order(rows: DataFrame, key: str, day: str, index: str) -> DataFrame:
     """``row_no`` by key (blank last), then day, then the order they came in."""
     blank = F.coalesce(F.trim(F.col(key)), F.lit("")) == ""
-    w = Window.orderBy(blank, F.trim(F.col(key)), F.col(day).asc_nulls_last(), index)
-    return rows.withColumn("row_no", F.row_number().over(w))
+    return numbered(rows, [blank, F.trim(F.col(key)), F.col(day).asc_nulls_last(), index], "row_no")
 
 
 def street_zone(houses: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -132,8 +132,8 @@ def inbox(rows: DataFrame, dismissed: DataFrame, user: str | None = None) -> Dat
     """Notifications not deleted, unread first, then newest: ``key, created_at, is_read, pos``; with ``user``, numbered for each user, whose column comes first."""
     state = dismissed.select(F.col("key").alias("_k"), "read_at", "deleted_at")
     out = rows.join(state, F.col("key") == F.col("_k"), "left").where("deleted_at is null").withColumn("is_read", F.col("read_at").isNotNull())
-    by = Window.orderBy("is_read", F.desc("created_at"), "key") if user is None else Window.partitionBy(user).orderBy("is_read", F.desc("created_at"), "key")
-    return out.select(*([user] if user else []), "key", "created_at", "is_read").withColumn("pos", F.row_number().over(by))
+    out, order = out.select(*([user] if user else []), "key", "created_at", "is_read"), [F.col("is_read"), F.desc("created_at"), F.col("key")]
+    return out.withColumn("pos", F.row_number().over(Window.partitionBy(user).orderBy(*order))) if user else numbered(out, order, "pos")
 
 
 def waybill_drafts(routes: DataFrame, stops: DataFrame, existing: DataFrame, kinds: Sequence[str] = ("livrare", "schimb")) -> DataFrame:

@@ -64,10 +64,12 @@ def top_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], most
 def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """``rows`` numbered 1, 2, ... in ``order``, which must tell all rows apart, without a window over all rows in one task.
 
-    Rows are dealt by ranges of the order and kept, so that the ranges are drawn once; each is numbered by itself from
+    Rows are dealt by ranges of the order and kept under ``spark.checkpoint.dir`` (on the executors only where that is
+    unset), so that the ranges are drawn once; each is numbered by itself from
     the count of rows in the ranges before it. The only window in one task has a row a range.
     """
-    placed = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).localCheckpoint()
+    placed = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    placed = placed.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else placed.localCheckpoint()
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = placed.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulspark.functions.numeric import exact_sum, half_up
+from haulspark.operators.relational import numbered
 
 #: Sources whose zero means that nothing was entered.
 ZERO_IS_UNSET = ("valoare_tpo", "taxe_suplimentare", "km_parcursi", "tarif_km")
@@ -28,7 +29,7 @@ def project(rows: DataFrame, template: Sequence[Mapping[str, str | None]], order
             blank = blank | ((F.col(source) == 0) & default.isNotNull())
         return F.when(blank, default).otherwise(value).alias(column["key"])
 
-    return rows.select(F.row_number().over(Window.orderBy(*order)).alias("row_no"), *[cell(c) for c in template])
+    return numbered(rows, order, "_row").select(F.col("_row").alias("row_no"), *[cell(c) for c in template])
 
 
 def tonnes(gross_kg: Column) -> Column:

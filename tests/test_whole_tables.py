@@ -1,6 +1,6 @@
 """Registered queries run over all rows of their tables."""
 
-from haulspark.operators import relational
+from haulspark.operators import office, relational, reporting
 from haulspark.plans.registry import QUERIES
 from haulspark.sources.tables import table
 from pyspark.sql import functions as F
@@ -62,3 +62,15 @@ def test_desk_and_office_queries_keep_every_row(spark):
         assert out.count() == rows.count() and ids(out, column) == ids(rows, key), name
     firsts = QUERIES["inbox_all"](spark, SF).where("pos = 1")
     assert firsts.count() == events.select("user_id").distinct().count()
+
+
+def test_no_numbering_moves_all_rows_into_one_task(spark):
+    rows = spark.range(2000).select("id", F.concat(F.lit("k"), F.col("id") % 9).alias("key"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 50).cast("int")).alias("day"))
+    notes = rows.select(F.col("id").alias("key"), F.col("day").alias("created_at"))
+    state = notes.select("key", F.when(F.col("key") % 3 == 0, F.col("created_at")).alias("read_at"), F.lit(None).cast("date").alias("deleted_at"))
+    for out in (office.merge_order(rows, "key", "day", "id"), office.inbox(notes, state), reporting.project(rows, [{"key": "name", "source": "key", "default": None}], [F.col("id")])):
+        text = out._jdf.queryExecution().executedPlan().toString()
+        facts = [part for part in text.split("Window [row_number()")[1:]]
+        assert facts and all("SinglePartition" not in part.split("BroadcastExchange")[0] for part in facts)
+        number = "pos" if "pos" in out.columns else "row_no"
+        assert sorted(r[0] for r in out.select(number).collect()) == list(range(1, 2001))
