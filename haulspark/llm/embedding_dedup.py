@@ -62,7 +62,7 @@ def bucket_keys(vectors: np.ndarray, salt: np.ndarray) -> np.ndarray:
         for p in range(PROBES):
             key = mix(salt + _U(t))
             for k in range(HASHES):
-                key = mix(key ^ codes[rows, k, swaps[best[:, p], k]] + _U(k + 1) * _U(0x9E3779B97F4A7C15))
+                key = mix(key ^ codes[rows, k, swaps[best[:, p], k]] + _U((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
             out[:, t, p] = key
     return out.reshape(n, -1)
 
@@ -78,10 +78,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = unit = None
             if values is not None and len(values) and not values.null_count:
                 v = values.to_numpy(zero_copy_only=False).astype(np.float64)
-                norm = np.sqrt(v @ v)
-                if np.isfinite(norm) and norm > 0:
+                largest = np.abs(v).max()
+                if np.isfinite(largest) and largest > 0:
                     digest = hashlib.blake2b(v.tobytes(), digest_size=16).digest()
-                    unit = (v / norm).tobytes()
+                    v = v / largest  # so that no square over- or underflows
+                    unit = (v / np.sqrt(v @ v)).tobytes()
             digests.append(digest)
             units.append(unit)
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(digests, pa.binary()), pa.array(units, pa.binary())], schema=_ROWS)
@@ -100,7 +101,8 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(at), 4000):
                 rows = at[lo : lo + 4000]
                 vectors = np.frombuffer(b"".join(units[i] for i in rows)).reshape(len(rows), -1)
-                keys = bucket_keys(vectors, mix(labels[rows].view(_U) + _U(size) * _U(0xD6E8FEB86659FD93))).view(np.int64)
+                salt = np.array([int(size) * 0xD6E8FEB86659FD93 % (1 << 64)], _U)
+                keys = bucket_keys(vectors, mix(labels[rows].view(_U) + salt)).view(np.int64)
                 bounds = np.arange(len(rows) + 1, dtype=np.int32) * keys.shape[1]
                 yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys.reshape(-1)))], schema=_KEYED)
 
@@ -108,46 +110,50 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PARTIAL = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
+def _first_meeting(keys: np.ndarray, table: int, key: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which of the pairs (one, two) of rows meet in no earlier table, and in ``table`` in no smaller bucket than ``key``."""
+    first = np.ones(len(one), bool)
+    for t in range(table + 1):
+        for lo in range(0, len(one), 1 << 14):
+            at = lo + np.flatnonzero(first[lo : lo + (1 << 14)])
+            same = keys[one[at], t][:, :, None] == keys[two[at], t][:, None, :]
+            if t == table:
+                same &= (keys[one[at], t] < key)[:, :, None]
+            first[at[same.any(axis=(1, 2))]] = False
+    return first
+
+
 def _compare(least: float):
     """Links within a bucket, or between two blocks of one: their number a vector, and its component's root.
 
-    A pair that meets in several buckets is counted in the one with the smallest key of those they share.
+    A pair that meets in several buckets is counted in the smallest one of the first table in which it meets.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        rep, copies, block, label = (table.column(c).to_numpy() for c in ("rep", "copies", "block", "label"))
-        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
-        raw = table.column("unit").to_pylist()
+    def run(group: pa.Table) -> pa.Table:
+        rep, copies, block, label = (group.column(c).to_numpy() for c in ("rep", "copies", "block", "label"))
+        key, table, i, j = (group.column(c)[0].as_py() for c in ("key", "table", "i", "j"))
+        raw = group.column("unit").to_pylist()
         size = np.array([len(u) for u in raw])
-        keys = [np.asarray(k) for k in table.column("keys").to_pylist()]
-        width = max(size) // 8
-        unit = np.zeros((len(rep), width))
+        keys = np.array(group.column("keys").to_pylist(), np.int64).reshape(len(rep), TABLES, PROBES)
+        unit = np.zeros((len(rep), max(size) // 8))
         for r, u in enumerate(raw):
             unit[r, : len(u) // 8] = np.frombuffer(u)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         linked = unit[left] @ unit[right].T >= least
         linked &= (label[left][:, None] == label[right]) & (size[left][:, None] == size[right])
         if i == j:
-            np.fill_diagonal(linked, False)
-        smaller = [k[k < key] for k in keys]
-        values, inverse, count = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
-        rows = np.repeat(np.arange(len(rep)), [len(k) for k in smaller])
-        often = count[inverse] > 1
-        names, column = np.unique(inverse[often], return_inverse=True)
-        met = np.zeros((len(rep), len(names)), np.float32)
-        met[rows[often], column] = 1
-        counted = linked & ~(met[left] @ met[right].T > 0) if len(names) else linked
+            linked = np.triu(linked, 1)
+        one, two = np.nonzero(linked)
+        one, two = left[one], right[two]
+        counted = _first_meeting(keys, table, key, one, two)
         links = np.zeros(len(rep), np.int64)
-        links[left] += counted @ copies[right]
-        if i != j:
-            links[right] += counted.T @ copies[left]
+        np.add.at(links, one[counted], copies[two[counted]])
+        np.add.at(links, two[counted], copies[one[counted]])
         root = rep.copy()
-        while True:
+        while len(one):
             before = root.copy()
-            far = np.iinfo(np.int64).max
-            if linked.any():
-                root[left] = np.minimum(root[left], np.where(linked, root[right][None, :], far).min(axis=1))
-                root[right] = np.minimum(root[right], np.where(linked, root[left][:, None], far).min(axis=0))
+            np.minimum.at(root, one, root[two])
+            np.minimum.at(root, two, root[one])
             if (root == before).all():
                 break
         some = (links > 0) | (root != rep)
@@ -161,8 +167,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Returns one row per input row: ``vec_id, n_links`` (other vectors linked directly), ``component_id`` (smallest
     id reachable) and ``kept``. Vectors that are null, empty, zero, or hold a null or a component that is not
-    finite, and those with a null label, link with nothing, nor do vectors of different lengths. A row without an
-    id is given back with no links and kept. Equal vectors of a label are one class and count as links of each other.
+    finite, and those with a null label, link with nothing, nor do vectors of different lengths. Every row is a vector
+    of its own, so rows that repeat an id link as any two rows do. A row without an id is given back with no links and
+    kept. Equal vectors of a label are one class and count as links of each other. No rows give no rows.
 
     Classes are hashed into several tables; only buckets with two classes or more are compared, in blocks of
     about ``block_rows``, each pair of blocks a group of its own, so a bucket of any size is spread out. Blocks give
@@ -172,25 +179,26 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "embedding-dedup")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("embedding"))
     described = scratch.save(rows.mapInArrow(_describe, "vec_id long, label long, digest binary, unit binary"), "described")
-    classes = scratch.save(
-        described.where("digest is not null and vec_id is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")),
-        "classes",
-    )
-    hashed = scratch.save(classes.mapInArrow(_hash, "rep long, keys array<long>"), "hashed")
-    entries = hashed.select("rep", F.explode(F.array_distinct("keys")).alias("key"))
+    grouped = described.where("digest is not null and vec_id is not null").groupBy("label", "digest").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    # a class is named by a number of its own: ids may repeat under other vectors
+    classes = scratch.save(grouped.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    hashed = scratch.save(classes.select("rep", "label", "unit").mapInArrow(_hash, "rep long, keys array<long>"), "hashed")
+    entries = hashed.select("rep", F.posexplode("keys").alias("at", "key")).withColumn("table", F.floor(F.col("at") / PROBES).cast("int")).drop("at").distinct()
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     placed = entries.join(shared, "key").withColumn("nb", F.ceil(F.col("n") / block_rows).cast("int"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
+    placed = placed.select("key", "table", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
     full = placed.join(classes.select("rep", "label", "copies", "unit").join(hashed, "rep"), "rep")
     partial = scratch.save(full.groupBy("key", "i", "j").applyInArrow(_compare(least), "rep long, links long, root long"), "partial")
     links = partial.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(partial.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     known = scratch.save(
         classes.join(links, "rep", "left").join(parts, classes.rep == parts.node, "left")
-        .select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")),
+        .select("label", "digest", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("part")),
         "known",
     )
+    smallest = scratch.save(known.groupBy("part").agg(F.min("low").alias("component")), "smallest")
+    known = scratch.save(known.join(smallest, "part").select("label", "digest", "n_links", "component"), "named")
     return described.join(known, ["label", "digest"], "left").select(
         "vec_id",
         F.when(F.col("vec_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
