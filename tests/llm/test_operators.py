@@ -234,7 +234,7 @@ def test_pseudonyms_keep_their_format(spark):
     values = [*cards, "+1 (706) 555-3138", "97.51.17.173", "a.b12@mail7.example.com", "1985-02-28", "31/12/2000", "01.03.1996", "123-45-6789", "GB82WEST12345698765432", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"']
     left = ["9807915762804490", "300.1.1.1", "31.02.2000", "666-45-6789", "version 3.0.", "CC BY-NC 4.0.", "GB82WEST12345698765433", "12:30", "a@b"]
     rows = [(i, f"before {v} and {v}!! after") for i, v in enumerate(values)] + [(100 + i, f"x {v} y") for i, v in enumerate(left)]
-    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "corpus").collect()}
     shape = lambda s: re.sub("[a-z]", "a", re.sub("[0-9]", "9", s))
     new = {}
     for i, v in enumerate(values):
@@ -265,10 +265,10 @@ def test_pii_edges(spark):
     long = "word " * 40_000 + "4845168114407329"
     rows = [(1, None), (2, ""), (3, "4845168114407329"), (3, "4845168114407329"), (None, "4845168114407329 4845168114407329"), (4, long)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"pii_kinds": F.lit(1), "found": F.lit(2)})
-    out = pii.pseudonymise(df).collect()
+    out = pii.pseudonymise(df, "corpus").collect()
     assert out[0].text is None and out[0].pii_kinds == [] and out[1].text == "" and out[2].text == out[3].text != "4845168114407329"
     assert out[4].text == f"{out[2].text} {out[2].text}" and out[5].text == "word " * 40_000 + out[2].text and out[0].found == 2
-    assert pii.pseudonymise(df.limit(0)).count() == 0
+    assert pii.pseudonymise(df.limit(0), "corpus").count() == 0
 
 
 def archive_folder(spark):
