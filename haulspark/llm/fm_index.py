@@ -39,14 +39,13 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Index of sequences of words; suffixes are sorted by their first 64 words, enough for patterns up to that.
+    """Index of sequences of words; suffixes are sorted by at least their first ``window`` words, enough for the patterns asked.
 
     ``groups`` are the runs of suffixes that agree in their first ``window`` words, each with the smallest owner of
     its suffixes' sequences.
     """
 
     def __init__(self, sequences: np.ndarray, bounds: np.ndarray, owners: np.ndarray, window: int):
-        assert window < 64
         self.window = window
         n_seq, n = len(bounds) - 1, len(sequences) + len(bounds) - 1
         lengths = np.diff(bounds)
@@ -57,32 +56,35 @@ class FmIndex:
         inside[self.begins + lengths] = False
         text[inside] = local + 1
         self.text, self.lengths = text, lengths
+        # two overlapping runs of ``part`` words, a power of two, make up a window
+        part = 1 << (window.bit_length() - 1)
         rank, half = text.copy(), 1
-        ranks = {}
-        while half < 64:
-            ranks[half] = rank
-            after = np.zeros(n, np.int64)
-            after[: n - half] = rank[half:] + 1
-            rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1]
+        while half < part:
+            rank = self._joined(rank, half)
             half *= 2
-        order = np.argsort(rank, kind="stable")
+        windows = self._joined(rank, window - part) if window > part else rank
+        order = np.argsort(windows, kind="stable")
         before = np.where(order > 0, text[order - 1], 0)
         n_symbols = int(text.max()) + 1 if n else 1
         self.wavelet = WaveletMatrix(before, n_symbols)
         self.counts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])
-        # two overlapping runs of 32 words make up a window of up to 64
-        head = ranks[32]
-        tail = np.zeros(n, np.int64)
-        tail[: n - (window - 32)] = head[window - 32 :] + 1
-        one, two = head[order], tail[order]
+        ordered = windows[order]
         new = np.ones(n, bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        new[1:] = ordered[1:] != ordered[:-1]
         self.group_of = np.cumsum(new) - 1
         self.group_begin = np.flatnonzero(new)
         self.group_end = np.append(self.group_begin[1:], n)
         owner_of = np.repeat(owners, lengths + 1)
         self.group_owner = np.minimum.reduceat(owner_of[order], self.group_begin)
 
+    @staticmethod
+    def _joined(rank: np.ndarray, apart: int) -> np.ndarray:
+        """Ranks of places by their rank and then by that of the place ``apart`` words on."""
+        n = len(rank)
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - apart)] = rank[apart:] + 1
+        return np.unique(rank * (n + 2) + after, return_inverse=True)[1]
+
     def smallest_owners(self) -> list[np.ndarray]:
         """For each indexed sequence, the smallest owner of each of its windows, by backward search.
 

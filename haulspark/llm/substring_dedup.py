@@ -7,16 +7,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulspark.llm.bloom import filter_of_ids
 from haulspark.llm.common import Scratch, text_bytes
 from haulspark.llm.fm_index import FmIndex
 from haulspark.llm.tokens import _P, _P_INVERSE, Words, _powers, mix, runs_of_texts
 
 _U = np.uint64
-#: Words of an anchor; the smallest hash of a window's anchors decides its shard.
+#: Words of an anchor, fewer for short windows; the smallest hash of a window's anchors decides its shard.
 GRAM = 16
+#: How often a shard that is too large is dealt anew by a further anchor.
+LEVELS = 4
 #: Windows of one segment at most; a longer run of windows with the same anchor is cut.
 LONGEST = 256
 
@@ -31,19 +35,22 @@ def _sequence_hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return mix((sums[hi] - sums[lo]) * _powers(_P_INVERSE, len(sums))[lo])
 
 
-def segments_of(hashes: np.ndarray, first_word: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+def segments_of(hashes: np.ndarray, first_word: np.ndarray, window: int, level: int = 0) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, anchor, hash of the words) of runs of windows that share their anchor.
 
     Windows of equal words have equal anchors wherever they stand. ``first window`` counts from the text's start.
+    Each ``level`` has an order of hashes, and so anchors, of its own.
     """
-    n = len(hashes)
+    n, gram = len(hashes), max(1, min(GRAM, window // 3))
     sums = _sums(hashes)
     empty = np.zeros(0, np.int64)
     if n < window:
         return empty, empty, empty, empty.view(_U), empty.view(_U)
-    starts = np.arange(n - GRAM + 1)
-    low = _sequence_hash(sums, starts, starts + GRAM)
-    span, covered = window - GRAM + 1, 1
+    starts = np.arange(n - gram + 1)
+    low = _sequence_hash(sums, starts, starts + gram)
+    if level:
+        low = mix(low + _U(level))
+    span, covered = window - gram + 1, 1
     while covered * 2 <= span:
         low = np.minimum(low[:-covered], low[covered:])
         covered *= 2
@@ -68,6 +75,7 @@ def segments_of(hashes: np.ndarray, first_word: np.ndarray, window: int) -> tupl
 
 
 _RUNS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()), ("anchor", pa.int64()), ("segment", pa.int64()), ("windows", pa.int32()), ("start", pa.int32()), ("head", pa.bool_()), ("top", pa.int64())])
+_RUNS_DDL = "doc_id long, text_key long, n_words long, sha binary, anchor long, segment long, windows int, start int, head boolean, top long"
 
 
 def _describe(window: int):
@@ -89,8 +97,8 @@ def _describe(window: int):
                     text, start, count, anchor, segment = (x[known[text]] for x in (text, start, count, anchor, segment))
                 if not len(text):
                     continue
-                doc = ids.fill_null(0).to_numpy()[text]
-                order = np.lexsort((start, doc, count, segment, anchor))
+                doc, key = ids.fill_null(0).to_numpy()[text], keys.fill_null(0).to_numpy()[text]
+                order = np.lexsort((start, key, doc, count, segment, anchor))
                 new = np.ones(len(order), bool)
                 a, s, c = anchor[order], segment[order], count[order]
                 new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1]) | (c[1:] != c[:-1])
@@ -98,13 +106,24 @@ def _describe(window: int):
                 top = np.repeat(np.maximum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
                 m = len(order)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[order]), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.binary()), pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(start[order].astype(np.int32)), pa.array(new), pa.array(top)], schema=_RUNS
+                    [pa.array(doc[order]), pa.array(key[order]), none(m, pa.int64()), none(m, pa.binary()), pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(c.astype(np.int32)), pa.array(start[order].astype(np.int32)), pa.array(new), pa.array(top)], schema=_RUNS
                 )
 
     return run
 
 
 _SEGMENTS = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("windows", pa.int32()), ("rep", pa.int64()), ("words", pa.binary())])
+_SEGMENTS_DDL = "anchor long, segment long, windows int, rep long, words binary"
+
+
+def _holders(wanted: Broadcast):
+    """Rows whose id may be wanted; a filter of ids lets all of those through, and a few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.holds_ids(batch.column("id").fill_null(0).to_numpy())))
+
+    return run
 
 
 def _cut(window: int):
@@ -118,45 +137,40 @@ def _cut(window: int):
                 hashes = words.hashes()
                 cols: list[list] = [[] for _ in _SEGMENTS]
                 for i in range(lo, hi):
-                    base, last = words.first_word[i - lo], words.first_word[i - lo + 1]
+                    base = words.first_word[i - lo]
                     for w in wanted[i].as_py():
-                        begin, end = base + w["start"], base + w["start"] + w["windows"] + window - 1
-                        if end <= last and np.int64(_sequence_hash(_sums(hashes[begin:end]), np.zeros(1, int), np.full(1, end - begin)).view(np.int64)[0]) == w["segment"]:
-                            for out, v in zip(cols, (w["anchor"], w["segment"], w["windows"], reps[i], hashes[begin:end].tobytes()), strict=True):
-                                out.append(v)
+                        begin = base + w["start"]
+                        for out, v in zip(cols, (w["anchor"], w["segment"], w["windows"], reps[i], hashes[begin : begin + w["windows"] + window - 1].tobytes()), strict=True):
+                            out.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SEGMENTS, strict=True)], schema=_SEGMENTS)
 
     return run
 
 
-_WINDOWS = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("windows", pa.int32()), ("rep", pa.int64()), ("at", pa.int32()), ("window", pa.binary())])
+_AGAIN = pa.schema([*_SEGMENTS, ("sub_anchor", pa.int64()), ("sub_segment", pa.int64()), ("sub_windows", pa.int32()), ("at", pa.int32())])
 
 
-def _cut_windows(window: int):
-    """The windows of segments (anchor, segment, windows, rep, words), each by a 128-bit hash of its words."""
+def _cut_again(window: int, level: int):
+    """Segments cut by the anchors of ``level``; a part's anchor is that of its segment and its own together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            cols: list[list] = [[] for _ in _AGAIN]
             for anchor, segment, windows, rep, words in zip(*(batch.column(c).to_pylist() for c in _SEGMENTS.names), strict=True):
-                hashes = [hashlib.blake2b(words[8 * k : 8 * (k + window)], digest_size=16).digest() for k in range(windows)]
-                same = [pa.array([v] * windows, t) for v, t in ((anchor, pa.int64()), (segment, pa.int64()), (windows, pa.int32()), (rep, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(range(windows), pa.int32()), pa.array(hashes, pa.binary())], schema=_WINDOWS)
+                hashes = np.frombuffer(words, _U)
+                _, start, count, low, name = segments_of(hashes, np.array([0, len(hashes)]), window, level)
+                both = mix(low ^ np.array([anchor], np.int64).view(_U)).view(np.int64)
+                for i in range(len(start)):
+                    part = hashes[start[i] : start[i] + count[i] + window - 1].tobytes()
+                    for out, v in zip(cols, (anchor, segment, windows, rep, part, int(both[i]), int(name.view(np.int64)[i]), int(count[i]), int(start[i])), strict=True):
+                        out.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _AGAIN, strict=True)], schema=_AGAIN)
 
     return run
 
 
-def _by_windows(segments: DataFrame, key: list[str], window: int, scratch: Scratch) -> DataFrame:
-    """What ``_search`` finds, for anchors with more segments than a shard should hold: each window meets its equals.
-
-    Equal windows combine before they are shuffled, so no group grows with the number of texts around a passage.
-    """
-    cut = scratch.save(segments.mapInArrow(_cut_windows(window), "anchor long, segment long, windows int, rep long, at int, window binary"), "hot-windows")
-    owners = scratch.save(cut.groupBy("window").agg(F.min("rep").alias("owner")), "hot-owners")
-    gone = cut.join(owners, "window").where("owner < rep").select(*key, F.struct(F.col("at").alias("a"), (F.col("at") + window).cast("int").alias("b")).alias("span"))
-    return gone.groupBy(*key).agg(F.array_sort(F.collect_set("span")).alias("spans"))
-
-
 _FOUND = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("windows", pa.int32()), ("spans", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+_KEY = ["anchor", "segment", "windows"]
 
 
 def _search(window: int, shard_words: int):
@@ -194,6 +208,42 @@ def _search(window: int, shard_words: int):
     return run
 
 
+def _shifted(spans: str, by: str):
+    return F.transform(spans, lambda s: F.struct((s["a"] + F.col(by)).cast("int").alias("a"), (s["b"] + F.col(by)).cast("int").alias("b")))
+
+
+def _whole(windows: str, window: int):
+    return F.array(F.struct(F.lit(0).alias("a"), (F.col(windows) + (window - 1)).cast("int").alias("b")))
+
+
+def _spans_of(segments: DataFrame, window: int, shard_words: int, most_words: int, scratch: Scratch, level: int = 0) -> DataFrame:
+    """(anchor, segment, windows, spans) of distinct ``segments`` that share windows with one of a smaller rep.
+
+    A shard holds whole anchors. The segments of an anchor that hold more than ``most_words`` together are cut anew by
+    anchors of the next level, and their parts, each distinct one once, are dealt to shards of their own.
+    """
+    large = scratch.save(segments.groupBy("anchor").agg(F.sum(F.col("windows") + (window - 1)).alias("n")).where(F.col("n") > most_words).select("anchor"), f"large-{level}")
+    split = level < LEVELS and not large.isEmpty()
+    found = (
+        (segments.join(large, "anchor", "left_anti") if split else segments)
+        .select(*_SEGMENTS.names).repartition("anchor").sortWithinPartitions(*_KEY)
+        .mapInArrow(_search(window, shard_words), "anchor long, segment long, windows int, spans array<struct<a:int,b:int>>")
+    )
+    found = scratch.save(found, f"found-{level}")
+    if not split:
+        return found
+    cut = segments.join(large, "anchor", "left_semi").select(*_SEGMENTS.names)
+    cut = scratch.save(cut.mapInArrow(_cut_again(window, level + 1), f"{_SEGMENTS_DDL}, sub_anchor long, sub_segment long, sub_windows int, at int"), f"parts-{level}")
+    sub = ["sub_anchor", "sub_segment", "sub_windows"]
+    distinct = cut.groupBy(*sub).agg(F.min("rep").alias("rep"), F.first("words").alias("words"))
+    distinct = scratch.save(distinct.select(*(F.col(c).alias(k) for c, k in zip(sub, _KEY, strict=True)), "rep", "words"), f"distinct-{level}")
+    inner = _spans_of(distinct, window, shard_words, most_words, scratch, level + 1)
+    told = distinct.select(*_KEY, F.col("rep").alias("low")).join(inner, _KEY, "left").select(*(F.col(k).alias(c) for c, k in zip(sub, _KEY, strict=True)), "low", "spans")
+    hit = cut.join(told, sub).withColumn("gone", F.when(F.col("rep") == F.col("low"), F.col("spans")).otherwise(_whole("sub_windows", window))).where("gone is not null")
+    more = hit.select(*_KEY, _shifted("gone", "at").alias("gone")).groupBy(*_KEY).agg(F.flatten(F.collect_list("gone")).alias("spans"))
+    return found.unionByName(scratch.save(more, f"more-{level}"))
+
+
 _KEPT = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("n_removed", pa.int64()), ("sha", pa.binary()), ("kept_text", pa.string())])
 
 
@@ -216,53 +266,48 @@ def _remove(with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_words: int = 1 << 19, most_words: int = 1 << 23, with_text: bool = False) -> DataFrame:
-    """Removes words covered by a window of ``window`` words whose sequence also starts in a text with a smaller id.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_words: int = 1 << 19, most_words: int = 1 << 20, with_text: bool = False) -> DataFrame:
+    """Removes words covered by a window of ``window`` (2 or more) words whose sequence also starts in a text with a smaller id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none. Windows are judged on the input. Returns one row
     per input row: ``doc_id, n_words, n_removed, kept_sha256`` (of the kept words joined by one space) and, with
-    ``with_text``, ``kept_text`` for rows that lost words. Rows that repeat an id do not take words from each other; a
-    row without an id keeps all its words and takes none. No other column is read.
+    ``with_text``, ``kept_text`` for rows that lost words. Rows that repeat an id, with equal texts or other ones, do not
+    take words from each other; a row without an id keeps all its words and takes none. No rows give no rows. No other
+    column is read.
 
     A window goes to the shard of its anchor, the smallest hash among its runs of 16 words, so equal windows meet
     whatever surrounds them, and anchors of a single text meet nothing and stop there. Equal segments (runs of windows
     with one anchor) are one, held by the text with the smallest id. Each shard's segments are indexed and searched
     backwards through the wavelet matrix; spans found are removed from the holder, and whole segments from the others.
     A shard holds whole anchors, about ``shard_words`` words; an anchor whose distinct segments hold more than
-    ``most_words`` (a passage that very many texts set in words of their own) is settled window by window instead.
+    ``most_words`` (a passage that very many texts set in words of their own) is dealt to shards of its own by further
+    anchors.
     """
+    if window < 2:
+        raise ValueError("a window has two words or more")
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substring-dedup")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), text_bytes(text_col).alias("text"))
-    runs = scratch.save(
-        rows.mapInArrow(_describe(window), "doc_id long, text_key long, n_words long, sha binary, anchor long, segment long, windows int, start int, head boolean, top long"), "runs"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_key"), text_bytes(text_col).alias("text"))
+    runs = scratch.save(rows.mapInArrow(_describe(window), _RUNS_DDL), "runs")
     parts = runs.where("anchor is not null")
-    key = ["anchor", "segment", "windows"]
-    heads = parts.where("head").repartition("anchor")
-    classes = heads.groupBy(*key).agg(F.min(F.struct("doc_id", "start")).alias("rep"), F.max("top").alias("top"))
+    heads = parts.where("head")
+    classes = heads.groupBy(*_KEY).agg(F.min(F.struct("doc_id", "text_key", "start")).alias("rep"), F.max("top").alias("top"))
     span = heads.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("top").alias("hi")).where("lo < hi")
     repeated = scratch.save(
-        classes.join(span, "anchor").select(*key, F.col("rep.doc_id").alias("rep"), F.col("rep.start").alias("start"), (F.col("rep.doc_id") < F.col("top")).alias("shared")), "repeated"
-    )
-    wanted = repeated.groupBy("rep").agg(F.collect_list(F.struct("anchor", "segment", "windows", "start")).alias("wanted"))
-    texts = rows.select(F.col("id").alias("rep"), "text").join(wanted, "rep")
-    segments = texts.mapInArrow(_cut(window), "anchor long, segment long, windows int, rep long, words binary")
-    hot = scratch.save(repeated.groupBy("anchor").agg(F.sum(F.col("windows") + (window - 1)).alias("n")).where(F.col("n") > most_words).select("anchor"), "hot")
-    some_hot = not hot.isEmpty()
-    ordinary = segments.join(hot, "anchor", "left_anti") if some_hot else segments
-    found = (
-        ordinary.repartition("anchor").sortWithinPartitions("anchor", "segment", "windows")
-        .mapInArrow(_search(window, shard_words), "anchor long, segment long, windows int, spans array<struct<a:int,b:int>>")
+        classes.join(span, "anchor").select(*_KEY, F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key"), F.col("rep.start").alias("start"), (F.col("rep.doc_id") < F.col("top")).alias("shared")), "repeated"
     )
-    if some_hot:
-        found = found.unionByName(_by_windows(segments.join(hot, "anchor", "left_semi"), key, window, scratch))
-    found = scratch.save(found.dropDuplicates(key), "found")
-    told = scratch.save(repeated.join(found, key, "left").where("shared or spans is not null").select(*key, "rep", "spans"), "told")
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("windows") + (window - 1)).cast("int").alias("b")))
-    hit = parts.select("doc_id", *key, "start").join(told, key).withColumn("spans", F.when(F.col("doc_id") == F.col("rep"), F.col("spans")).otherwise(whole)).where("spans is not null")
-    shifted = F.transform("spans", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b")))
-    spans = scratch.save(hit.select(F.col("doc_id").alias("id"), shifted.alias("spans")).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    kept = scratch.save(rows.join(spans, "id").mapInArrow(_remove(with_text), "id long, text_key long, n_removed long, sha binary, kept_text string").dropDuplicates(["id", "text_key"]), "kept")
+    wanted = scratch.save(repeated.groupBy("rep", "rep_key").agg(F.collect_list(F.struct(*_KEY, "start")).alias("wanted")), "wanted")
+    holders = spark.sparkContext.broadcast(filter_of_ids(wanted.select(F.col("rep").alias("id")), wanted.count()))
+    held = rows.mapInArrow(_holders(holders), "id long, text_key long, text binary")
+    texts = held.select(F.col("id").alias("rep"), F.col("text_key").alias("rep_key"), "text").join(wanted, ["rep", "rep_key"])
+    segments = scratch.save(texts.select("rep", "text", "wanted").mapInArrow(_cut(window), _SEGMENTS_DDL).dropDuplicates(_KEY), "segments")
+    found = _spans_of(segments, window, shard_words, most_words, scratch)
+    told = scratch.save(repeated.join(found, _KEY, "left").where("shared or spans is not null").select(*_KEY, "rep", "spans"), "told")
+    hit = parts.select("doc_id", "text_key", *_KEY, "start").join(told, _KEY).withColumn("spans", F.when(F.col("doc_id") == F.col("rep"), F.col("spans")).otherwise(_whole("windows", window))).where("spans is not null")
+    spans = scratch.save(hit.select(F.col("doc_id").alias("id"), "text_key", _shifted("spans", "start").alias("spans")).groupBy("id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    losers = spark.sparkContext.broadcast(filter_of_ids(spans.select("id"), spans.count()))
+    touched = rows.mapInArrow(_holders(losers), "id long, text_key long, text binary")
+    kept = scratch.save(touched.join(spans, ["id", "text_key"]).mapInArrow(_remove(with_text), "id long, text_key long, n_removed long, sha binary, kept_text string").dropDuplicates(["id", "text_key"]), "kept")
+    scratch.drop("segments", "repeated", "wanted")
     out = runs.where("anchor is null").alias("d").join(kept.alias("k"), (F.col("d.doc_id") == F.col("k.id")) & (F.col("d.text_key") == F.col("k.text_key")), "left")
     columns = [
         "d.doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
