@@ -244,7 +244,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).cast("long").alias("id"),
         F.coalesce(F.length(F.col(text_col)), F.lit(0)).cast("long").alias("points"),
-        F.xxhash64(F.col(text_col)).alias("text_key"),
+        F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_key"),
         text_bytes(text_col).alias("text"),
     )
     local = scratch.save(rows.mapInArrow(_local_owners(trie_bytes), _LOCAL_DDL), "local")

@@ -146,7 +146,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(text_col).alias("text_key"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("text_key"),
     )
     items = scratch.save(sized.groupBy("source", "doc_id", "text_key", "size").agg(F.count("*").alias("rows")), "items")
     sizes = scratch.save(items.groupBy("source", "size").agg(F.sum("rows").alias("docs"), F.count("*").alias("items")), "sizes")

@@ -21,8 +21,6 @@ _U = np.uint64
 CHUNKS, SYMBOLS, ERRORS = 12, 5, 1
 #: By pigeonhole, two signatures that differ in at most this many symbols agree in one chunk up to ERRORS.
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-#: Signatures that differ in more symbols than this are no candidates: at a similarity of 0.8 one pair in 10^7.
-FURTHEST = 30
 _WIDTH = CHUNKS * SYMBOLS
 _rng = np.random.default_rng(71)
 _FACTORS = _rng.integers(1, 1 << 63, _WIDTH, dtype=np.uint64) * _U(2) + _U(1)
@@ -58,21 +56,24 @@ def chunk_keys(sigs: np.ndarray) -> np.ndarray:
 _DOCS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sig", pa.binary())])
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, keys = batch.column("doc_id"), batch.column("text_key")
-        for lo, hi, data, offsets in runs_of_texts(batch.column("text")):
-            sets = shingle_sets(Words(data, offsets, lower=True))
-            sizes = np.array([len(s) for s in sets], np.int64)
-            full = np.flatnonzero(sizes)
-            hashes, sigs = [None] * len(sets), [None] * len(sets)
-            if len(full):
-                bounds = np.concatenate([[0], np.cumsum(sizes[full])])
-                rows = signatures(np.concatenate([sets[i] for i in full]), bounds)
-                for i, row in zip(full.tolist(), rows, strict=True):
-                    hashes[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                    sigs[i] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([ids[lo:hi].cast(pa.int64()), keys[lo:hi], pa.array(sizes), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary())], schema=_DOCS)
+def _describe(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = batch.column("doc_id"), batch.column("text_key")
+            for lo, hi, data, offsets in runs_of_texts(batch.column("text")):
+                sets = shingle_sets(Words(data, offsets, lower=True), width)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                full = np.flatnonzero(sizes)
+                hashes, sigs = [None] * len(sets), [None] * len(sets)
+                if len(full):
+                    bounds = np.concatenate([[0], np.cumsum(sizes[full])])
+                    rows = signatures(np.concatenate([sets[i] for i in full]), bounds)
+                    for i, row in zip(full.tolist(), rows, strict=True):
+                        hashes[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                        sigs[i] = row.tobytes()
+                yield pa.RecordBatch.from_arrays([ids[lo:hi].cast(pa.int64()), keys[lo:hi], pa.array(sizes), pa.array(hashes, pa.binary()), pa.array(sigs, pa.binary())], schema=_DOCS)
+
+    return run
 
 
 _KEYS = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
@@ -123,17 +124,31 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _sharing(keys: np.ndarray, probes: np.ndarray, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each probe, the targets with which it shares a chunk key."""
+    flat = keys[targets].reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(targets, keys.shape[1])[order]
+    for i in probes.tolist():
+        lo, hi = np.searchsorted(flat, keys[i], "left"), np.searchsorted(flat, keys[i], "right")
+        n = hi - lo
+        if n.sum() < len(targets):
+            yield i, np.unique(owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        else:  # most targets share some: looking at each once is shorter
+            yield i, targets[(keys[targets] == keys[i]).any(axis=1)]
+
+
 def _across(percent: int):
     """Links between one block of outsiders and one block of their family, compared on full sets.
 
-    A pair is a candidate if it shares a chunk up to ERRORS and is near by signature. Rows that links of this
-    block have joined already are not compared again.
+    A pair is compared if it shares a chunk key. Rows that links of this block have joined already are not compared
+    again.
     """
 
     def run(table: pa.Table) -> pa.Table:
         rep, component, outside = (table.column(c).to_numpy() for c in ("rep", "component", "outside"))
         probe = table.column("probe").to_numpy()
-        sigs = _sig_matrix(table.column("sig"))
+        keys = chunk_keys(_sig_matrix(table.column("sig")))
         lists = table.column("shingles").combine_chunks()
         values, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
         sizes = np.diff(bounds)
@@ -145,13 +160,9 @@ def _across(percent: int):
             return c
 
         links = []
-        targets = np.flatnonzero(~probe)
-        for i in np.flatnonzero(probe):
-            j = targets[(component[targets] != component[i]) & (~outside[targets] | (rep[targets] > rep[i]))]
+        for i, j in _sharing(keys, np.flatnonzero(probe), np.flatnonzero(~probe)):
+            j = j[(component[j] != component[i]) & (~outside[j] | (rep[j] > rep[i]))]
             j = j[100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])]
-            differs = sigs[j] != sigs[i]
-            near = (differs.sum(axis=1) <= FURTHEST) & (differs.reshape(-1, CHUNKS, SYMBOLS).sum(axis=2).min(axis=1, initial=SYMBOLS) <= ERRORS)
-            j = j[near]
             mine = np.sort(values[bounds[i] : bounds[i + 1]])
             for lo in range(0, len(j), 256):
                 part = np.array([x for x in j[lo : lo + 256].tolist() if find(int(component[x])) != find(int(component[i]))], np.int64)
@@ -173,14 +184,23 @@ def _across(percent: int):
 _SETS = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
-def _sets(wanted: Broadcast):
-    """Full sets of the texts whose ids are wanted, and of a few others that the filter of ids lets through."""
+def _passed(wanted: Broadcast):
+    """Rows whose id is wanted, and a few others that the filter of ids lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.holds_ids(batch.column("id").to_numpy())))
+
+    return run
+
+
+def _sets(width: int):
+    """Full sets of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.value.holds_ids(batch.column("id").to_numpy())))
             for lo, hi, data, offsets in runs_of_texts(batch.column("text")):
-                sets = shingle_sets(Words(data, offsets, lower=True))
+                sets = shingle_sets(Words(data, offsets, lower=True), width)
                 bounds = np.cumsum([0, *(len(s) for s in sets)], dtype=np.int32)
                 values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("id")[lo:hi], pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))], schema=_SETS)
@@ -222,37 +242,41 @@ def _links_across(families: DataFrame, parts: DataFrame, reps: DataFrame, sets:
     return full.groupBy("family", "b", "c").applyInArrow(_across(percent), "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """Components of texts whose sets of 2-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5) -> DataFrame:
+    """Components of texts whose sets of ``width``-word shingles have a Jaccard similarity of ``percent`` / 100 or more.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; of one word, the set is that word; a null or empty
-    text has an empty set and is linked with nothing. Returns one row per input row: ``doc_id, n_shingles,
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; of fewer words, the set is the whole sequence; a null or
+    empty text has an empty set and is linked with nothing. Returns one row per input row: ``doc_id, n_shingles,
     component_id`` (smallest id reachable by links), ``kept`` (doc_id = component_id) and ``text_key``, a hash of
-    the text. A row without an id stands alone: its component is null and it is kept. No other column is read.
+    the text. Every row is a text of its own, so rows that repeat an id under other texts are linked only if their
+    texts are. A row without an id stands alone: its component is null and it is kept. No rows give no rows. No other
+    column is read.
 
     Equal sets are one class with one representative, so copies of a text are never paired. Signatures of
     representatives are split in chunks, and rows that share a chunk key are tied to the smallest of the key;
     those ties are confirmed on the full sets. Where a key's rows still lie in several components, the rows outside
-    the largest component of their family are compared, block by block, with all of the family that is near by
-    signature, so that no link is lost to the choice of a representative; pairs are never listed, links alone are.
+    the largest component of their family are compared, block by block, with all of the family with which they share
+    a key, so that no link is lost to the choice of a representative; pairs are never listed, links alone are.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near-dedup")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), text_bytes(text_col).alias("text"))
-    described = scratch.save(rows.mapInArrow(_describe, "doc_id long, text_key long, n_shingles long, set_hash binary, sig binary"), "described")
-    reps = scratch.save(
-        described.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "reps"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_key"), text_bytes(text_col).alias("text"))
+    described = scratch.save(rows.mapInArrow(_describe(width), "doc_id long, text_key long, n_shingles long, set_hash binary, sig binary"), "described")
+    grouped = described.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key")).alias("holder"), F.min("sig").alias("sig"))
+    # a class is named by a number of its own: ids may repeat under other texts
+    reps = scratch.save(grouped.select(F.monotonically_increasing_id().alias("rep"), "set_hash", "holder.*", "sig"), "reps")
     stars = scratch.save(
         reps.select("rep", "sig").mapInArrow(_enumerate, "key long, rep long")
-        .repartition("key").sortWithinPartitions("key", "rep")
+        .repartition("key").sortWithinPartitions("key", "rep")  # 16 bytes a row, streamed: a key of any size is held nowhere
         .mapInArrow(_stars, "key long, rep long, leader long"),
         "stars",
     )
     ties = scratch.save(stars.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "ties")
-    needed = scratch.save(ties.select(F.col("a").alias("id")).union(ties.select("b")).distinct(), "needed")
+    tied = ties.select(F.col("a").alias("rep")).union(ties.select("b")).distinct()
+    needed = scratch.save(reps.select("rep", F.col("doc_id").alias("id"), "text_key").join(tied, "rep"), "needed")
     wanted = spark.sparkContext.broadcast(filter_of_ids(needed, needed.count()))
-    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    sets = scratch.save(texts.mapInArrow(_sets(wanted), "id long, shingles array<long>"), "sets")
+    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text_key", "text").mapInArrow(_passed(wanted), "id long, text_key long, text binary")
+    texts = texts.join(needed, ["id", "text_key"]).groupBy("id", "text_key", "rep").agg(F.first("text").alias("text"))
+    sets = scratch.save(texts.select(F.col("rep").alias("id"), "text").mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
     links = scratch.save(_confirmed(ties, sets, percent), "links")
     parts = scratch.save(connected_components(links, scratch, "first"), "parts")
 
@@ -262,10 +286,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not loose.isEmpty():
         found = scratch.save(_links_across(connected_components(loose, scratch, "family"), parts, reps, sets, percent, scratch), "found")
         if not found.isEmpty():
-            parts = scratch.save(connected_components(links.union(found), scratch, "second"), "final-parts")
+            # what was found joins components, so their stars are enough to join them again
+            star = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            parts = scratch.save(connected_components(star.union(found), scratch, "second"), "final-parts")
     scratch.drop("stars", "sets")
-    classes = reps.select("set_hash", "rep").join(parts, reps.rep == parts.node, "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    classes = scratch.save(classes, "classes")
+    placed = reps.select("set_hash", "rep", "doc_id").join(parts, reps.rep == parts.node, "left").select("set_hash", "doc_id", F.coalesce("component", "rep").alias("part"))
+    placed = scratch.save(placed, "placed")
+    smallest = placed.groupBy("part").agg(F.min("doc_id").alias("component"))
+    classes = scratch.save(placed.join(smallest, "part").select("set_hash", "component"), "classes")
     return described.join(classes, "set_hash", "left").select(
         "doc_id",
         "n_shingles",
@@ -276,7 +304,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=2).drop("text_key")
 
 
 OP1_SQL = r"""

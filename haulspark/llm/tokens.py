@@ -83,12 +83,24 @@ def runs_of_texts(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple
         lo = hi
 
 
-def shingle_sets(words: Words) -> list[np.ndarray]:
-    """Per text, the sorted distinct hashes of its 2-word shingles; of one word, that word; of none, empty."""
+def _folded(parts: list[np.ndarray]) -> np.ndarray:
+    """One hash of word hashes in their order, place by place."""
+    out = parts[0]
+    for h in parts[1:]:
+        out = mix(out * _U(0xD6E8FEB86659FD93) + (h ^ (h >> _U(32))) * _U(0xCA5A826395121157))
+    return out
+
+
+def shingle_sets(words: Words, width: int = 2) -> list[np.ndarray]:
+    """Per text, the sorted distinct hashes of its ``width``-word shingles; of fewer words, all of them as one; of none, empty."""
     h = words.hashes()
-    pairs = mix(h[:-1] * _U(0xD6E8FEB86659FD93) + (h[1:] ^ (h[1:] >> _U(32))) * _U(0xCA5A826395121157)) if len(h) > 1 else h[:0]
+    n = len(h) - width + 1
+    all_ = _folded([h[k : k + n] for k in range(width)]) if n > 0 else h[:0]
     bounds = words.first_word
     out = []
     for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        out.append(np.unique(pairs[lo : hi - 1]) if hi - lo > 1 else mix(h[lo:hi] + _U(0x5851F42D4C957F2D)))
+        if hi - lo >= width:
+            out.append(np.unique(all_[lo : hi - width + 1]))
+        else:
+            out.append(mix(_folded([h[k : k + 1] for k in range(lo, hi)]) + _U(0x5851F42D4C957F2D + hi - lo)) if hi > lo else h[:0])
     return out

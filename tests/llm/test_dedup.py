@@ -66,12 +66,13 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def sets_of(rows):
-    out = {}
-    for i, t in rows:
-        w = WORD.findall((t or "").translate(LOWER))
-        out[i] = set(zip(w, w[1:], strict=False)) if len(w) > 1 else {(x,) for x in w}
-    return out
+def shingles(text, width):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+
+def sets_of(rows, width):
+    return {i: shingles(t, width) for i, t in rows}
 
 
 def components_of(ids, linked):
@@ -104,19 +105,19 @@ def near_rows(seed, groups=25, members=12):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_near_dedup_is_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "width"), [(3, 2), (4, 2), (5, 5), (6, 3)])
+def test_near_dedup_is_brute_force(spark, seed, width):
     rows = near_rows(seed)
-    sets = sets_of(rows)
+    sets = sets_of(rows, width)
     linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     want = components_of(sets, linked)
-    got = near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    got = near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), width=width).collect()
     assert {r.doc_id: r.component_id for r in got} == want
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
 def test_near_dedup_edges(spark):
-    rows = near_dedup(clash(spark.createDataFrame(EDGES, SCHEMA))).collect()
+    rows = near_dedup(clash(spark.createDataFrame(EDGES, SCHEMA)), width=2).collect()
     assert len(rows) == len(EDGES)
     got = {r.doc_id: r for r in rows if r.doc_id is not None}
     assert [got[i].n_shingles for i in (1, 2, 3, 4, 7, 9)] == [0, 0, 0, 1, 1, 1]

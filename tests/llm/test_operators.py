@@ -23,6 +23,8 @@ from haulspark.llm.sentencepiece_codec import MODEL, Encoder, Vocabulary, decode
 from haulspark.llm.url_filter import build_cascade, filter_urls
 from haulspark.llm.warc import DICTIONARY_FRAME, read_warc, write_warc
 
+from tests.llm.test_dedup import shingles
+
 DOCS = "doc_id long, text string, source string"
 
 
@@ -349,8 +351,7 @@ def test_pipeline_is_its_stages_by_brute_force(spark):
     assert sorted(r.doc_id for r in one) == sorted(min(c)[1] for c in classes.values())
     exact = spark.createDataFrame(one, docs.schema)
     near = cp.near(spark, exact, sf)
-    words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").lower()) for r in one}
-    sets = {i: set(zip(w, w[1:], strict=False)) if len(w) > 1 else {(x,) for x in w} for i, w in words.items()}
+    sets = {r.doc_id: shingles(r.text, 5) for r in one}
     root = {i: i for i in sets}
     changed = True
     while changed:

@@ -10,8 +10,9 @@ from haulspark.llm import substring_dedup as passages
 from haulspark.llm.embedding_dedup import embedding_dedup
 from haulspark.llm.exact_dedup import Owner, RadixTrie, exact_dedup
 from haulspark.llm.mixing import mix_sources
+from haulspark.llm.near_dedup import near_dedup
 from haulspark.llm.substring_dedup import substring_dedup
-from tests.llm.test_dedup import SCHEMA, brute_passages, passage_rows
+from tests.llm.test_dedup import SCHEMA, brute_passages, near_rows, passage_rows, shingles
 from tests.llm.test_operators import DOCS, VECTORS, targets_of
 
 
@@ -147,3 +148,21 @@ def test_one_text_held_by_a_third_of_all_rows(spark):
     df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
     got = mix_sources(df).groupBy("copies").count().collect()
     assert [(r.copies, r["count"]) for r in got] == [(1, 3000)]
+
+
+def test_near_copies_of_repeated_ids(spark):
+    rng = random.Random(7)
+    rows = [(rng.randrange(40), t) for _, t in near_rows(8, groups=10, members=10)]
+    rows += rows[:6]
+    sets = [shingles(t, 2) for _, t in rows]
+    low = [i for i, _ in rows]
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(rows)):
+            for b in range(a):
+                if low[a] != low[b] and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+                    changed = True
+    got = near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(s), c) for (i, _), s, c in zip(rows, sets, low, strict=True))
