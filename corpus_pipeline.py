@@ -29,32 +29,46 @@ def _rows_of(docs: DataFrame, told: DataFrame, extra: str | None = None) -> Data
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts good; it learns from the labelled ones among the corpus's own."""
+    """Documents that the classifier predicts good; it learns from the labelled ones among the corpus's own.
+
+    A null text is scored as an empty one; repeated rows are judged alike and all stay. Without labels of both kinds
+    nothing is learned and all stay. No rows give no rows.
+    """
     ranking = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_quality(docs, ranking, keep=[c for c in COLUMNS if c != "doc_id"])
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal texts."""
+    """One document of each class of texts that are equal but for spaces: the longest, then that of the smallest id.
+
+    Null and empty texts are one class. Of repeated rows one stays. No rows give no rows.
+    """
     kept = exact_dedup(docs).where("kept").select("doc_id", "text_key")
     return _rows_of(docs, kept).dropDuplicates(["doc_id", "text_key"]).select(*COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: that of the smallest id of those linked by five-word shingles at 0.8 or more.
+
+    Documents without words, or without an id, are linked with nothing and stay. Rows that repeat an id stay or go
+    each by its own text. No rows give no rows.
+    """
     kept = near_dedup(docs).where("kept").select("doc_id", "text_key")
     return _rows_of(docs, kept).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it: no row, or up to three.
+
+    A null source is one source, the last. Documents without words cost nothing and stay once. No rows give no rows.
+    """
     taken = mix_sources(docs).where("copies > 0").groupBy("doc_id", "text_key").agg(F.max("copies").alias("copies"))
     return _rows_of(docs, taken, "copies").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the text."""
+    """Token ids in place of the text; a null or empty text has none. Repeated rows are encoded alike; no rows give no rows."""
     return encode(docs.select(*COLUMNS))
 
 
