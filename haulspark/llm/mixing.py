@@ -141,7 +141,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
     to shrink gives up its longest documents first, one that is to grow repeats them. Copies are the whole numbers on
     either side of the rate, chosen within blocks of about ``block_rows`` distinct texts of a source, so that a source
     that holds most rows is spread over many tasks; a block's words miss its share by less than a short text, for which its last texts may be a copy further off. Repeated
-    rows are rounded together and given out one by one.
+    rows are rounded together and given out one by one. Documents without words have a rate of 1.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
     sized = docs.select(
@@ -162,7 +162,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
         .select("s.source", "source_size", "target", "most", "multiplier", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks")),
         "rates",
     )
-    rate = F.when(F.col("multiplier").isNotNull(), tilt(F.col("multiplier"), F.col("size") / F.col("most"), limit)).otherwise(0.0)
+    rate = F.when(F.col("size") == 0, 1.0).when(F.col("multiplier").isNotNull(), tilt(F.col("multiplier"), F.col("size") / F.col("most"), limit)).otherwise(0.0)
     placed = items.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source"))).select(
         "d.source", "doc_id", "text_key", "size", "rows", rate.alias("rate"), F.pmod(F.xxhash64("doc_id", "text_key"), F.col("blocks")).alias("block")
     )

@@ -166,3 +166,51 @@ def test_near_copies_of_repeated_ids(spark):
                     changed = True
     got = near_dedup(spark.createDataFrame(rows, SCHEMA).repartition(3), width=2).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(s), c) for (i, _), s, c in zip(rows, sets, low, strict=True))
+
+
+def test_long_texts_without_spaces_are_the_library(spark, monkeypatch):
+    import sentencepiece
+
+    from haulspark.llm import sentencepiece_codec as codec
+
+    library = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL)
+    rng = random.Random(9)
+    rows = [
+        "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(30_000)),
+        "".join(rng.choice("日本語字の文中国人一二三thein") for _ in range(20_000)),
+        "thein" * 3000, "x" * 9000, "short", "",
+    ]
+    monkeypatch.setattr(codec, "STRIP", 1000)
+    v = codec.Vocabulary.read(codec.MODEL)
+    ids, bounds = codec.Encoder(v).encode(rows)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == library.encode(rows)
+    assert len(codec.part_long(v, rows[0])) > 100 and "".join(codec.part_long(v, rows[1])) == rows[1]
+
+
+def test_edges_are_sorted_by_position():
+    from haulspark.llm import sentencepiece_codec as codec
+
+    v = codec.Vocabulary.read(codec.MODEL).prepare()
+    text = "▁the\0▁internationalisation\0"
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    got = [(int(p), int(s), v.pieces[i]) for place, size, piece in codec.occurrences(v, points) for p, s, i in zip(place, size, piece, strict=True)]
+    want = sorted((p, len(x), x) for i, x in enumerate(v.pieces) if v.kinds[i] == 1 for p in range(len(text)) if text.startswith(x, p))
+    assert got == want
+
+
+def test_decoding_is_the_library(spark):
+    import sentencepiece
+
+    from haulspark.llm import sentencepiece_codec as codec
+
+    library = sentencepiece.SentencePieceProcessor(model_file=codec.MODEL)
+    rng = random.Random(10)
+    n = library.get_piece_size()
+    lists = [[rng.randrange(n) for _ in range(rng.randint(0, 12))] for _ in range(200)] + library.encode(["a b", " é日本", "", "😀 x"])
+    rows = [(i, x) for i, x in enumerate(lists)] + [(900, None), (901, [None, 5, 10**6]), (902, [])]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").withColumn("text", F.lit("clash"))
+    got = {r.doc_id: r.text for r in codec.decode_ids(df.repartition(2)).collect()}
+    skip = {i for i, x in enumerate(lists) if any(library.is_byte(t) or library.is_unknown(t) for t in x)}
+    assert all(got[i] == library.decode(x) for i, x in enumerate(lists) if i not in skip or i >= 200)
+    assert got[900] is None and got[902] == "" and got[901] == codec.decode(codec.Vocabulary.read(codec.MODEL), [5])
+    assert codec.decode_ids(df.limit(0)).count() == 0
