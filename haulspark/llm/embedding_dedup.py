@@ -123,45 +123,81 @@ def _first_meeting(keys: np.ndarray, table: int, key: int, one: np.ndarray, two:
     return first
 
 
+def _compare_group(least: float, key: int, table: int, i: int, j: int, rep, copies, block, label, keys, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    size = np.array([len(u) for u in units])
+    unit = np.zeros((len(rep), size.max() // 8))
+    if (size == size[0]).all():
+        unit[:] = np.frombuffer(b"".join(units)).reshape(len(rep), -1)
+    else:
+        for r, u in enumerate(units):
+            unit[r, : len(u) // 8] = np.frombuffer(u)
+    left, right = (np.flatnonzero(block == i), np.flatnonzero(block == j)) if i != j else (slice(None), slice(None))
+    linked = unit[left] @ unit[right].T >= least
+    linked &= (label[left][:, None] == label[right]) & (size[left][:, None] == size[right])
+    if i == j:
+        linked = np.triu(linked, 1)
+    one, two = np.nonzero(linked)
+    if not len(one):
+        return None
+    if i != j:
+        one, two = left[one], right[two]
+    counted = _first_meeting(keys, table, key, one, two)
+    links = np.zeros(len(rep), np.int64)
+    np.add.at(links, one[counted], copies[two[counted]])
+    np.add.at(links, two[counted], copies[one[counted]])
+    root = rep.copy()
+    while True:
+        before = root.copy()
+        np.minimum.at(root, one, root[two])
+        np.minimum.at(root, two, root[one])
+        if (root == before).all():
+            break
+    some = (links > 0) | (root != rep)
+    return rep[some], links[some], root[some]
+
+
 def _compare(least: float):
     """Links within a bucket, or between two blocks of one: their number a vector, and its component's root.
 
-    A pair that meets in several buckets is counted in the smallest one of the first table in which it meets.
+    Rows come sorted by bucket and blocks, at most two blocks a group. A pair that meets in several buckets is counted
+    in the smallest one of the first table in which it meets.
     """
 
-    def run(group: pa.Table) -> pa.Table:
-        rep, copies, block, label = (group.column(c).to_numpy() for c in ("rep", "copies", "block", "label"))
-        key, table, i, j = (group.column(c)[0].as_py() for c in ("key", "table", "i", "j"))
-        raw = group.column("unit").to_pylist()
-        size = np.array([len(u) for u in raw])
-        keys = np.array(group.column("keys").to_pylist(), np.int64).reshape(len(rep), TABLES, PROBES)
-        unit = np.zeros((len(rep), max(size) // 8))
-        for r, u in enumerate(raw):
-            unit[r, : len(u) // 8] = np.frombuffer(u)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        linked = unit[left] @ unit[right].T >= least
-        linked &= (label[left][:, None] == label[right]) & (size[left][:, None] == size[right])
-        if i == j:
-            linked = np.triu(linked, 1)
-        one, two = np.nonzero(linked)
-        one, two = left[one], right[two]
-        counted = _first_meeting(keys, table, key, one, two)
-        links = np.zeros(len(rep), np.int64)
-        np.add.at(links, one[counted], copies[two[counted]])
-        np.add.at(links, two[counted], copies[one[counted]])
-        root = rep.copy()
-        while len(one):
-            before = root.copy()
-            np.minimum.at(root, one, root[two])
-            np.minimum.at(root, two, root[one])
-            if (root == before).all():
-                break
-        some = (links > 0) | (root != rep)
-        return pa.Table.from_arrays([pa.array(x[some]) for x in (rep, links, root)], schema=_PARTIAL)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part]).combine_chunks()
+            end = _last_group(held)
+            if end:
+                yield from groups(held.slice(0, end))
+                held = held.slice(end)
+        if held is not None and len(held):
+            yield from groups(held)
+
+    def groups(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, table, rep, copies, block, label = (rows.column(c).to_numpy() for c in ("key", "i", "j", "table", "rep", "copies", "block", "label"))
+        units = rows.column("unit").to_pylist()
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rows), TABLES, PROBES)
+        new = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        out = []
+        for lo, hi in zip(new.tolist(), [*new[1:].tolist(), len(rows)], strict=True):
+            got = _compare_group(least, key[lo], int(table[lo]), int(i[lo]), int(j[lo]), rep[lo:hi], copies[lo:hi], block[lo:hi], label[lo:hi], keys[lo:hi], units[lo:hi])
+            if got is not None:
+                out.append(got)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_PARTIAL)
 
     return run
 
 
+def _last_group(rows: pa.Table) -> int:
+    """Where the last group of the rows begins."""
+    key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
+    other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1])) if len(rows) else key
+    return int(other[-1]) + 1 if len(other) else 0
+
+
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, block_rows: int = 1024) -> DataFrame:
     """Links between vectors of one label whose cosine, in double precision, is ``least`` or more.
 
@@ -189,7 +225,9 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     placed = placed.select("key", "table", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
     full = placed.join(classes.select("rep", "label", "copies", "unit").join(hashed, "rep"), "rep")
-    partial = scratch.save(full.groupBy("key", "i", "j").applyInArrow(_compare(least), "rep long, links long, root long"), "partial")
+    # no group is larger than two blocks, so that none need be split further
+    dealt = full.select("key", "i", "j", "table", "rep", "copies", "block", "label", "keys", "unit").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    partial = scratch.save(dealt.mapInArrow(_compare(least), "rep long, links long, root long"), "partial")
     links = partial.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(partial.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     known = scratch.save(
