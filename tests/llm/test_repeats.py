@@ -214,3 +214,27 @@ def test_decoding_is_the_library(spark):
     assert all(got[i] == library.decode(x) for i, x in enumerate(lists) if i not in skip or i >= 200)
     assert got[900] is None and got[902] == "" and got[901] == codec.decode(codec.Vocabulary.read(codec.MODEL), [5])
     assert codec.decode_ids(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most_bytes", [60, 64 << 20])
+def test_rules_dealt_to_several_cascades(spark, most_bytes):
+    from haulspark.llm.url_filter import filter_urls
+    from tests.llm.test_operators import PAGES, judge
+
+    rng = random.Random(11)
+    rules = [(rng.choice(["block", "allow"]), f"{h}/{p}") for h in ("com", "a.com", "b.a.com", "org") for p in ("", "x", "x/y", "z/") if rng.random() < 0.8]
+    rules += [("block", "a.com/x"), ("allow", "a.com/x")]
+    urls = [f"http://{rng.choice(['com', 'a.com', 'b.a.com', 'q.org', 'net'])}/{rng.choice(['', 'x', 'x/y', 'x/yz', 'z', 'z/1'])}" for _ in range(300)]
+    got = filter_urls(spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], PAGES), rules, most_bytes=most_bytes)
+    blocked = {r for v, r in rules if v == "block"}
+    clear = [(v, r) for v, r in rules if v == "block" or r not in blocked]
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, *judge(u, clear, smallest=True)) for i, u in enumerate(urls))
+
+
+def test_keys_that_no_filter_can_tell_apart(spark):
+    from haulspark.llm.common import Scratch
+    from haulspark.llm.url_filter import build_cascade
+
+    df = lambda keys: spark.createDataFrame([(k,) for k in keys], "key string")
+    cascade = build_cascade(df(["a", "b"]), df(["a", "b", "c", "d"]), 4, Scratch(spark, "t"), "x", most_levels=1)
+    assert cascade.levels and not cascade.unclear  # one level suffices unless hashes are equal
