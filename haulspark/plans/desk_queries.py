@@ -121,18 +121,10 @@ def block_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return office.best_block(values, blocks, "doc").select("p_partkey", "block_no", "shared")
 
 
-@query("""
-with n as (select event_id as key, ts, event_id % 3 = 0 as is_read from events where event_id < 300 and event_id % 7 <> 0)
-select key, is_read, row_number() over (order by is_read, ts desc, key) as pos from n""")
-def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id < 300").select(F.col("event_id").alias("key"), F.col("ts").alias("created_at"))
-    return office.inbox(e, _inbox_state(e)).select("key", "is_read", "pos")
-
-
 @query("""
 with n as (select user_id, event_id as key, ts, event_id % 3 = 0 as is_read from events where event_id % 7 <> 0)
 select user_id, key, is_read, row_number() over (partition by user_id order by is_read, ts desc, key) as pos from n""")
-def inbox_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inbox of every user, over all events."""
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("key"), F.col("ts").alias("created_at"))
     return office.inbox(e, _inbox_state(e), "user_id").select("user_id", "key", "is_read", "pos")
@@ -167,16 +159,10 @@ def events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(newest, "day").select("day", "events", F.array_join(F.transform("n", lambda x: x["event_id"].cast("string")), ",").alias("newest"))
 
 
-@query("""
-select c_custkey as id, '{"plate":"B1","routing":"' || case when c_custkey % 2 = 0 then 'auto' else 'hitl' end || '"}' as data, case when c_custkey % 2 = 0 then 'auto' else 'hitl' end as routing from customer where c_custkey % 3 = 0""")
-def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(table(spark, sf_dir, "customer").where(F.col("c_custkey") % 3 == 0))
-
-
 @query("""
 select c_custkey as id, '{"plate":"B1","routing":"' || case when c_custkey % 2 = 0 then 'auto' else 'hitl' end || '"}' as data, case when c_custkey % 2 = 0 then 'auto' else 'hitl' end as routing from customer""")
-def json_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As json_merge, of every customer."""
+def json_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of every customer with a change merged in."""
     return _merged(table(spark, sf_dir, "customer"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulspark.functions.timez import in_days
@@ -62,22 +62,10 @@ def page_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.page(rows, [F.desc("o_totalprice"), F.asc("o_orderkey")], 3, 50)
 
 
-@query("""
-with r as (select o_orderkey, case when o_orderkey % 4 <> 0 then cast(o_orderdate as date) end as day, row_number() over (order by case when o_orderkey % 4 <> 0 then cast(o_orderdate as date) end asc nulls last, o_orderkey) as pos from orders)
-select o_orderkey, day, pos from r where pos <= 500 or o_orderkey % 4 = 0 and o_orderkey < 400""")
-def null_order_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate").cast("date")).alias("day"))
-    known, unknown = rows.where("day is not null"), rows.where("day is null")
-    n = known.agg(F.count("*").alias("n"))
-    first = known.orderBy(F.asc("day"), "o_orderkey").limit(500).withColumn("pos", F.row_number().over(Window.orderBy("day", "o_orderkey")).cast("long"))
-    last = unknown.where("o_orderkey < 400").withColumn("k", F.row_number().over(Window.orderBy("o_orderkey"))).crossJoin(F.broadcast(n)).select("o_orderkey", "day", (F.col("n") + F.col("k")).alias("pos"))
-    return first.unionByName(last)
-
-
 @query("""
 select o_orderkey, day, row_number() over (order by day asc nulls last, o_orderkey) as pos from (select o_orderkey, case when o_orderkey % 4 <> 0 then cast(o_orderdate as date) end as day from orders)""")
-def null_order_sort_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As null_order_sort, of every order."""
+def null_order_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order by its day, those without one last."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderdate").cast("date")).alias("day"))
     return rel.numbered(rows, [F.col("day").asc_nulls_last(), F.col("o_orderkey")], "pos")
 
@@ -125,18 +113,11 @@ def composite_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
 
 
-@query("""
-with e as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)
-select c_custkey, event_id, event_type from customer left join e on user_id = c_custkey and k = 1 where c_custkey < 400""")
-def lateral_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _latest(table(spark, sf_dir, "customer").where("c_custkey < 400"), table(spark, sf_dir, "events"))
-
-
 @query("""
 with e as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)
 select c_custkey, event_id, event_type from customer left join e on user_id = c_custkey and k = 1""")
-def lateral_latest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As lateral_latest, of every customer."""
+def lateral_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of every customer."""
     return _latest(table(spark, sf_dir, "customer"), table(spark, sf_dir, "events"))
 
 
@@ -145,14 +126,9 @@ def _latest(customers: DataFrame, events: DataFrame) -> DataFrame:
     return customers.select("c_custkey").join(latest, F.col("c_custkey") == F.col("user_id"), "left").select("c_custkey", "e.event_id", "e.event_type")
 
 
-@query("select o_orderkey, (select count(*) from lineitem where l_orderkey = o_orderkey and l_shipdate >= o_orderdate) as stop_count from orders where o_orderdate >= timestamp '2001-01-01'")
-def scalar_count_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stop_counts(table(spark, sf_dir, "orders").where("o_orderdate >= timestamp_ntz '2001-01-01'"), table(spark, sf_dir, "lineitem"))
-
-
 @query("select o_orderkey, (select count(*) from lineitem where l_orderkey = o_orderkey and l_shipdate >= o_orderdate) as stop_count from orders")
-def scalar_count_subquery_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As scalar_count_subquery, of every order."""
+def scalar_count_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops of every order from its date on."""
     return _stop_counts(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
 
 
@@ -246,20 +222,11 @@ def requirements_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("id"), F.array_join(F.array_except(needs, has), ",").alias("missing"))
 
 
-@query("""
-with n as (select coalesce(max(cast(regexp_extract(s_name, '#([0-9]+)$', 1) as bigint)), 0) as top from supplier), o as (select o_orderkey, row_number() over (order by o_orderkey) as k from orders where o_orderkey < 200)
-select o_orderkey, 'F-' || lpad((top + k)::varchar, 6, '0') as number from o, n""")
-def next_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = table(spark, sf_dir, "supplier").agg(F.coalesce(F.max(F.nullif(F.regexp_extract("s_name", "#([0-9]+)$", 1), F.lit("")).cast("bigint")), F.lit(0)).alias("top"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 200").select("o_orderkey", F.row_number().over(Window.orderBy("o_orderkey")).alias("k"))
-    return o.crossJoin(F.broadcast(top)).select("o_orderkey", F.concat(F.lit("F-"), F.lpad((F.col("top") + F.col("k")).cast("string"), 6, "0")).alias("number"))
-
-
 @query("""
 with n as (select coalesce(max(cast(regexp_extract(s_name, '#([0-9]+)$', 1) as bigint)), 0) as top from supplier), o as (select o_orderkey, row_number() over (order by o_orderkey) as k from orders)
 select o_orderkey, 'F-' || case when top + k < 1000000 then lpad((top + k)::varchar, 6, '0') else (top + k)::varchar end as number from o, n""")
-def next_number_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As next_number, of every order; a number of more than six digits keeps them all."""
+def next_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next number of every order; one of more than six digits keeps them all."""
     top = table(spark, sf_dir, "supplier").agg(F.coalesce(F.max(F.nullif(F.regexp_extract("s_name", "#([0-9]+)$", 1), F.lit("")).cast("bigint")), F.lit(0)).alias("top"))
     o = rel.numbered(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "k")
     n = F.col("top") + F.col("k")
@@ -267,7 +234,7 @@ def next_number_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MATCH_SQL = """
-facts as (select c_custkey as id, c_nationkey as key, 'supplier ' || (c_custkey % 120)::varchar as text from customer where c_custkey < 1500),
+facts as (select c_custkey as id, c_nationkey as key, 'supplier ' || (c_custkey % 120)::varchar as text from customer),
 names as (select s_nationkey as key, 'supplier ' || s_suppkey::varchar as name from supplier),
 s as (select id, name, floor((1 - levenshtein(text, name) / greatest(length(text), length(name))) * 10000 + 0.5) / 10000 as score from facts left join names using (key)),
 r as (select id, name, score, row_number() over (partition by id order by score desc, name) as k, lead(score) over (partition by id order by score desc, name) as second from s)"""
@@ -279,23 +246,7 @@ select id, case when score is not null and score >= 0.6 and not (second is not n
        case when score is null then 'no_candidate' when score < 0.6 then 'too_different' when second is not null and score - second < 0.15 then 'ambiguous' else 'matched' end as reason
 from r where k = 1""")
 def fuzzy_best_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _matched(table(spark, sf_dir, "customer").where("c_custkey < 1500"), table(spark, sf_dir, "supplier"))
-
-
-_MATCH_ALL_SQL = """
-facts as (select c_custkey as id, c_nationkey as key, 'supplier ' || (c_custkey % 120)::varchar as text from customer),
-names as (select s_nationkey as key, 'supplier ' || s_suppkey::varchar as name from supplier),
-s as (select id, name, floor((1 - levenshtein(text, name) / greatest(length(text), length(name))) * 10000 + 0.5) / 10000 as score from facts left join names using (key)),
-r as (select id, name, score, row_number() over (partition by id order by score desc, name) as k, lead(score) over (partition by id order by score desc, name) as second from s)"""
-
-
-@query(f"""
-with {_MATCH_ALL_SQL}
-select id, case when score is not null and score >= 0.6 and not (second is not null and score - second < 0.15) then name end as matched_name, score,
-       case when score is null then 'no_candidate' when score < 0.6 then 'too_different' when second is not null and score - second < 0.15 then 'ambiguous' else 'matched' end as reason
-from r where k = 1""")
-def fuzzy_best_margin_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As fuzzy_best_margin, of every customer."""
+    """The supplier that every customer names, if one is clearly best."""
     return _matched(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"))
 
 

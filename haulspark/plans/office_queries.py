@@ -134,22 +134,13 @@ def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.unique_names(rows, "name", [F.col("p_partkey")]).select("p_partkey", "unique_name")
 
 
-@query("""
-with l as (select o_custkey as invoice_id, row_number() over (partition by o_custkey order by o_orderkey) as seq, o_orderpriority || ' <&>' as label, floor(o_totalprice) / 4 as amount from orders where o_custkey < 100),
-s as (select invoice_id, string_agg('<Line><Id>' || seq || '</Id><Name>' || replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</Name><Amount>' || printf('%.2f', amount) || '</Amount></Line>', '' order by seq) as body, sum(amount::decimal(28,2))::double as net from l group by 1),
-v as (select *, floor(net * 19 / 100 * 100 + 0.5) / 100 as vat from s)
-select invoice_id, '<Invoice><ID>' || invoice_id || '</ID><Customer>client ' || invoice_id || '</Customer>' || body || '<Net>' || printf('%.2f', net) || '</Net><Tax>' || printf('%.2f', vat) || '</Tax><Total>' || printf('%.2f', net + vat) || '</Total></Invoice>' as xml from v""")
-def invoice_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _invoices(table(spark, sf_dir, "orders").where("o_custkey < 100"))
-
-
 @query("""
 with l as (select o_custkey as invoice_id, row_number() over (partition by o_custkey order by o_orderkey) as seq, o_orderpriority || ' <&>' as label, floor(o_totalprice) / 4 as amount from orders),
 s as (select invoice_id, string_agg('<Line><Id>' || seq || '</Id><Name>' || replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</Name><Amount>' || printf('%.2f', amount) || '</Amount></Line>', '' order by seq) as body, sum(amount::decimal(28,2))::double as net from l group by 1),
 v as (select *, floor(net * 19 / 100 * 100 + 0.5) / 100 as vat from s)
 select invoice_id, '<Invoice><ID>' || invoice_id || '</ID><Customer>client ' || invoice_id || '</Customer>' || body || '<Net>' || printf('%.2f', net) || '</Net><Tax>' || printf('%.2f', vat) || '</Tax><Total>' || printf('%.2f', net + vat) || '</Total></Invoice>' as xml from v""")
-def invoice_xml_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As invoice_xml, of every customer with orders."""
+def invoice_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The invoice of every customer with orders."""
     return _invoices(table(spark, sf_dir, "orders"))
 
 

@@ -282,20 +282,12 @@ def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.runs(spark, sf_dir).select("tpo_id", "line", "goods_id", "vehicle_id", "run_date", "km", note.alias("text"))
 
 
-@query("""
-select l_orderkey as tpo_id, l_linenumber as line, l_partkey as goods_id, l_suppkey as vehicle_id, case when l_partkey % 5 <> 0 then (l_orderkey + 1000000)::varchar end as tpo, 'A-' || (l_partkey + 100)::varchar as doc_no,
-       'B' || lpad((l_suppkey % 900 + 10)::varchar, 2, '0') || 'XYZ' as plate, cast(l_shipdate as date) as doc_date, l_quantity::int * 100.0::double as gross_kg, l_quantity::int * 100 - 50 + l_partkey % 7 * 20.0::double as net_kg, (l_partkey % 33 + 1)::int as pallets
-from lineitem where l_orderkey % 10 = 0""")
-def field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fields(_printed(spark, sf_dir).where("tpo_id % 10 = 0"))
-
-
 @query("""
 select l_orderkey as tpo_id, l_linenumber as line, l_partkey as goods_id, l_suppkey as vehicle_id, case when l_partkey % 5 <> 0 then (l_orderkey + 1000000)::varchar end as tpo, 'A-' || (l_partkey + 100)::varchar as doc_no,
        'B' || lpad((l_suppkey % 900 + 10)::varchar, 2, '0') || 'XYZ' as plate, cast(l_shipdate as date) as doc_date, l_quantity::int * 100.0::double as gross_kg, l_quantity::int * 100 - 50 + l_partkey % 7 * 20.0::double as net_kg, (l_partkey % 33 + 1)::int as pallets
 from lineitem""")
-def field_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As field_extract, of every run."""
+def field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of every note."""
     return _fields(_printed(spark, sf_dir))
 
 

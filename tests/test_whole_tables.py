@@ -35,14 +35,14 @@ def test_every_customer_can_drive(spark):
 
 def test_every_note_is_read(spark):
     lines = table(spark, SF, "lineitem")
-    out = QUERIES["field_extract_all"](spark, SF)
+    out = QUERIES["field_extract"](spark, SF)
     assert out.count() == lines.count() and ids(out, "tpo_id") == ids(lines, "l_orderkey")
 
 
 def test_list_queries_keep_every_row(spark):
     keys = {"null_order_sort": ("orders", "o_orderkey", "o_orderkey"), "lateral_latest": ("customer", "c_custkey", "c_custkey"), "scalar_count_subquery": ("orders", "o_orderkey", "o_orderkey"), "next_number": ("orders", "o_orderkey", "o_orderkey"), "fuzzy_best_margin": ("customer", "c_custkey", "id")}
     for name, (source, key, column) in keys.items():
-        out, all_rows = QUERIES[f"{name}_all"](spark, SF), table(spark, SF, source)
+        out, all_rows = QUERIES[name](spark, SF), table(spark, SF, source)
         assert out.count() == all_rows.count() and ids(out, column) == ids(all_rows, key), name
 
 
@@ -57,10 +57,10 @@ def test_numbers_run_over_all_ranges(spark):
 def test_desk_and_office_queries_keep_every_row(spark):
     customers, orders = table(spark, SF, "customer"), table(spark, SF, "orders")
     events = table(spark, SF, "events").where("event_id % 7 <> 0")
-    for name, rows, key, column in (("json_merge_all", customers, "c_custkey", "id"), ("invoice_xml_all", orders.select("o_custkey").distinct(), "o_custkey", "invoice_id"), ("inbox_all", events, "event_id", "key")):
+    for name, rows, key, column in (("json_merge", customers, "c_custkey", "id"), ("invoice_xml", orders.select("o_custkey").distinct(), "o_custkey", "invoice_id"), ("inbox", events, "event_id", "key")):
         out = QUERIES[name](spark, SF)
         assert out.count() == rows.count() and ids(out, column) == ids(rows, key), name
-    firsts = QUERIES["inbox_all"](spark, SF).where("pos = 1")
+    firsts = QUERIES["inbox"](spark, SF).where("pos = 1")
     assert firsts.count() == events.select("user_id").distinct().count()
 
 
