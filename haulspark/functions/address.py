@@ -6,60 +6,216 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from haulspark.functions.numeric import half_up
-from haulspark.functions.text import fold
-
-# Words that name a kind of street, and what they are written as.
-STREET_KINDS = {"str": "strada", "strada": "strada", "bd": "bulevard", "bdul": "bulevard", "bulevardul": "bulevard", "bulevard": "bulevard", "calea": "calea", "aleea": "aleea", "al": "aleea", "sos": "sosea", "soseaua": "sosea", "piata": "piata", "splaiul": "splai", "drumul": "drum", "intrarea": "intrare"}
-#: Confidence of what a search found, by how fine it is.
+from haulspark.functions.text import MARKED, PLAIN
+
+# Words of an address and what they are written as; "al" and "dr" are left alone, as names hold them.
+WORDS = {
+    "str": "strada", "stra": "strada", "strada": "strada",
+    "bd": "bulevardul", "bvd": "bulevardul", "bdul": "bulevardul", "blv": "bulevardul", "blvd": "bulevardul", "bld": "bulevardul", "bulevard": "bulevardul", "bulevardul": "bulevardul",
+    "sos": "soseaua", "soseaua": "soseaua", "cal": "calea", "calea": "calea", "pta": "piata", "piata": "piata",
+    "nr": "nr", "no": "nr", "numarul": "nr", "bl": "bl", "blocul": "bl", "sc": "sc", "scara": "sc", "ap": "ap", "apartament": "ap", "apartamentul": "ap", "et": "et", "etaj": "et", "etajul": "et",
+    "jud": "jud", "judetul": "jud", "judet": "jud", "com": "com", "comuna": "com", "sat": "sat", "satul": "sat", "mun": "mun", "municipiul": "mun", "or": "oras", "oras": "oras", "orasul": "oras",
+}
+# Words that name a kind of street, and those after which numbers are no house numbers.
+STREET_KINDS = ("strada", "bulevardul", "soseaua", "calea", "aleea", "piata", "intrarea", "drumul", "splaiul", "prelungirea", "zona", "parcul", "cartierul", "dn", "km")
+INSIDE = ("bl", "sc", "ap", "et")
+# Counties by code.
+COUNTIES = {
+    "AB": "alba", "AR": "arad", "AG": "arges", "BC": "bacau", "BH": "bihor", "BN": "bistrita nasaud", "BT": "botosani", "BR": "braila", "BV": "brasov", "B": "bucuresti", "BZ": "buzau",
+    "CL": "calarasi", "CS": "caras severin", "CJ": "cluj", "CT": "constanta", "CV": "covasna", "DB": "dambovita", "DJ": "dolj", "GL": "galati", "GR": "giurgiu", "GJ": "gorj", "HR": "harghita",
+    "HD": "hunedoara", "IL": "ialomita", "IS": "iasi", "IF": "ilfov", "MM": "maramures", "MH": "mehedinti", "MS": "mures", "NT": "neamt", "OT": "olt", "PH": "prahova", "SJ": "salaj", "SM": "satu mare",
+    "SB": "sibiu", "SV": "suceava", "TR": "teleorman", "TM": "timis", "TL": "tulcea", "VL": "valcea", "VS": "vaslui", "VN": "vrancea",
+}
+# Towns known by name, by the code of their county.
+TOWNS = {
+    "B": ("bucuresti",),
+    "IF": ("otopeni", "voluntari", "buftea", "pantelimon", "popesti leordeni", "bragadiru", "chitila", "chiajna", "magurele"),
+    "CJ": ("cluj napoca", "turda", "dej", "campia turzii"),
+    "TM": ("timisoara", "lugoj"),
+    "IS": ("iasi", "pascani"),
+    "CT": ("constanta", "mangalia", "medgidia", "navodari"),
+    "DJ": ("craiova", "calafat"),
+    "BV": ("brasov", "fagaras", "sacele", "codlea"),
+    "GL": ("galati", "tecuci"),
+    "PH": ("ploiesti", "campina"),
+    "BH": ("oradea", "salonta"),
+    "BR": ("braila",),
+    "AR": ("arad",),
+    "AG": ("pitesti", "mioveni", "campulung"),
+    "SB": ("sibiu", "medias"),
+    "BC": ("bacau", "onesti", "moinesti"),
+    "MS": ("targu mures", "reghin", "sighisoara"),
+    "MM": ("baia mare", "sighetu marmatiei"),
+    "BZ": ("buzau", "ramnicu sarat"),
+    "BT": ("botosani", "dorohoi"),
+    "SM": ("satu mare", "carei"),
+    "VL": ("ramnicu valcea",),
+    "MH": ("drobeta turnu severin",),
+    "SV": ("suceava", "radauti", "falticeni"),
+    "NT": ("piatra neamt", "roman"),
+    "GJ": ("targu jiu", "motru"),
+    "DB": ("targoviste",),
+    "VN": ("focsani", "adjud"),
+    "BN": ("bistrita",),
+    "CS": ("resita", "caransebes"),
+    "TL": ("tulcea",),
+    "OT": ("slatina", "caracal"),
+    "CL": ("calarasi", "oltenita"),
+    "AB": ("alba iulia", "sebes", "aiud"),
+    "GR": ("giurgiu",),
+    "HD": ("deva", "hunedoara", "petrosani", "orastie"),
+    "SJ": ("zalau",),
+    "CV": ("sfantu gheorghe", "targu secuiesc"),
+    "VS": ("vaslui", "barlad", "husi"),
+    "IL": ("slobozia", "fetesti", "urziceni"),
+    "TR": ("alexandria", "rosiorii de vede", "turnu magurele"),
+    "HR": ("miercurea ciuc", "odorheiu secuiesc", "gheorgheni"),
+}
+# Confidence of what a search found, by how fine it is, and from which a place is taken or flagged.
 PRECISION = {"address": 0.55, "street": 0.40, "locality": 0.25}
+OTHER_PRECISION, TAKEN, FLAGGED = 0.20, 0.8, 0.45
 
 
-def street_kind(text: Column) -> Column:
-    """Kind of the first street word in the folded text."""
-    word = F.regexp_extract(fold(text), r"\b(" + "|".join(sorted(STREET_KINDS, key=len, reverse=True)) + r")\b", 1)
-    table = F.create_map(*[F.lit(x) for pair in STREET_KINDS.items() for x in pair])
-    return F.try_element_at(table, word)
+def _table(pairs: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
-def house_number(text: Column) -> Column:
-    """House number after ``nr`` or after a comma, upper case."""
-    found = F.regexp_extract(F.upper(text), r"(?:\bNR\.?\s*|,\s*)([0-9]{1,4}[A-Z]?)\b", 1)
-    return F.nullif(found, F.lit(""))
+def words(text: Column) -> Column:
+    """Words of an address without marks and punctuation, each as it is written in full."""
+    plain = F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN), r"[.,;:()/\\\-\s]+", " "))
+    table = _table(WORDS)
+    return F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(table, w), w))
 
 
-def street_name(text: Column) -> Column:
-    """Words between the street kind and the number, folded."""
-    kinds = "|".join(sorted(STREET_KINDS, key=len, reverse=True))
-    found = F.regexp_extract(fold(text), rf"\b(?:{kinds})\s+(.+?)(?:\s+nr\b.*|\s+[0-9]+[a-z]?\b.*)?$", 1)
-    return F.nullif(F.trim(found), F.lit(""))
+def _join(tokens: Column) -> Column:
+    return F.array_join(tokens, " ")
 
 
-def postcode(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, r"(?:^|[^0-9])([0-9]{6})(?:[^0-9]|$)", 1), F.lit(""))
+def _rest(tokens: Column, n: Column | int) -> Column:
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.slice(tokens, n + 1, F.greatest(F.size(tokens) - n, F.lit(0)))
+
+
+def _town(tokens: Column) -> Column:
+    """(town, county, words) of the longest run of leading words that is a known town; null if there is none."""
+    table = _table({town: code for code, towns in TOWNS.items() for town in towns})
+    names = F.transform(F.array(F.lit(3), F.lit(2), F.lit(1)), lambda n: F.struct(_join(F.slice(tokens, 1, n)).alias("town"), n.alias("words")))
+    found = F.filter(names, lambda x: (x["words"] <= F.size(tokens)) & F.try_element_at(table, x["town"]).isNotNull())
+    return F.get(F.transform(found, lambda x: F.struct(x["town"].alias("town"), F.try_element_at(table, x["town"]).alias("county"), x["words"].alias("words"))), F.lit(0))
+
+
+def house_number(tokens: Column) -> Column:
+    """The number after ``nr``, else the last one before block, stair, flat or floor."""
+    is_number = lambda w: w.rlike("^[0-9]+[a-z]?$")
+    named = F.get(tokens, F.array_position(tokens, F.lit("nr")).cast("int"))
+    ends = F.filter(F.transform(tokens, lambda w, i: F.when(w.isin(*INSIDE), i)), lambda i: i.isNotNull())
+    outside = F.slice(tokens, 1, F.coalesce(F.get(ends, F.lit(0)), F.size(tokens)))
+    last = F.try_element_at(F.filter(outside, is_number), F.lit(-1))
+    return F.when(F.array_contains(tokens, "nr") & is_number(named), named).otherwise(last)
+
 
+def parse(text: Column) -> Column:
+    """``street, city, county, postcode, house_number, is_rural, city_known, has_street_kind, raw`` of a free-text address.
 
-def address_key(city: Column, text: Column) -> Column:
-    """What addresses are the same by: city, street and number, folded."""
-    return F.concat_ws("|", fold(F.coalesce(city, F.lit(""))), F.coalesce(street_name(text), F.lit("")), F.lower(F.coalesce(house_number(text), F.lit(""))))
+    Parts between commas are read in turn: a county by name or code, a village or commune, a town that is named as
+    one or known, words with a kind of street, else the first part is the town and later ones belong to the street.
+    What is absent is null.
+    """
+    raw = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    segments = F.filter(F.transform(F.split(raw, ","), lambda s: F.struct(F.trim(s).alias("raw"), words(s).alias("words"))), lambda s: F.size(s["words"]) > 0)
+    county_names, codes = _table({name: code for code, name in COUNTIES.items()}), list(COUNTIES)
+    told = F.transform(
+        segments,
+        lambda s: F.struct(
+            s["raw"].alias("raw"), s["words"].alias("words"), _town(s["words"]).alias("town"), _town(_rest(s["words"], 1)).alias("named"),
+            _join(_rest(s["words"], 1)).alias("rest"), F.get(s["words"], F.lit(0)).alias("first"),
+        ),
+    )
+
+    def state(s: Column, **new: Column) -> Column:
+        return F.struct(*[new.get(c, s[c]).alias(c) for c in ("city", "known", "county", "rural", "streets")])
+
+    def step(s: Column, x: Column) -> Column:
+        upper = F.upper(x["first"])
+        by_name = F.coalesce(F.try_element_at(county_names, x["rest"]), F.when(F.upper(x["rest"]).isin(*codes), F.upper(x["rest"])), s["county"])
+        rest = F.nullif(x["rest"], F.lit(""))
+        known = x["town"].isNotNull() & ~s["known"]
+        after = _join(_rest(x["words"], x["town"]["words"]))
+        more = lambda part: F.concat(s["streets"], F.array(part))
+        return (
+            F.when(x["first"] == "jud", state(s, county=by_name))
+            .when((F.size(x["words"]) == 1) & upper.isin(*codes), state(s, county=F.coalesce(s["county"], upper)))
+            .when(x["first"].isin("sat", "com"), state(s, rural=F.lit(True), city=F.coalesce(s["city"], rest)))
+            .when(x["first"].isin("mun", "oras"), state(s, city=F.coalesce(x["named"]["town"], rest, s["city"]), county=F.coalesce(s["county"], x["named"]["county"]), known=s["known"] | x["named"].isNotNull()))
+            .when(known, state(s, city=x["town"]["town"], county=F.coalesce(s["county"], x["town"]["county"]), known=F.lit(True), streets=F.when(after != "", more(after)).otherwise(s["streets"])))
+            .when(F.arrays_overlap(x["words"], F.array(*[F.lit(k) for k in STREET_KINDS])), state(s, streets=more(x["raw"])))
+            .when(s["city"].isNull(), state(s, city=_join(x["words"])))
+            .otherwise(state(s, streets=more(x["raw"])))
+        )
+
+    start = F.struct(F.lit(None).cast("string").alias("city"), F.lit(False).alias("known"), F.lit(None).cast("string").alias("county"), F.lit(False).alias("rural"), F.array().cast("array<string>").alias("streets"))
+    done = F.transform(F.array(F.aggregate(told, start, step)), lambda s: F.struct(F.nullif(F.array_join(s["streets"], ", "), F.lit("")).alias("street"), s.alias("s")))
+    with_words = F.transform(done, lambda d: F.struct(d["street"].alias("street"), d["s"].alias("s"), words(d["street"]).alias("words")))[0]
+    return F.struct(
+        with_words["street"].alias("street"), with_words["s"]["city"].alias("city"), with_words["s"]["county"].alias("county"), F.nullif(F.regexp_extract(raw, r"\b([0-9]{6})\b", 1), F.lit("")).alias("postcode"),
+        house_number(with_words["words"]).alias("house_number"), with_words["s"]["rural"].alias("is_rural"), with_words["s"]["known"].alias("city_known"),
+        F.arrays_overlap(with_words["words"], F.array(*[F.lit(k) for k in STREET_KINDS])).alias("has_street_kind"), raw.alias("raw"),
+    )
 
 
-def quality(city_known: Column, text: Column, county: Column, rural: Column) -> Column:
-    """0 to 1: a known city 0.4 (else 0.2), street kind, number and county 0.2 each; at most 0.75 without a number, 0.6 in the country."""
-    raw = (
-        F.when(city_known, 0.4).otherwise(0.2) + F.when(street_kind(text).isNotNull(), 0.2).otherwise(0.0)
-        + F.when(house_number(text).isNotNull(), 0.2).otherwise(0.0) + F.when(F.coalesce(F.trim(county), F.lit("")) != "", 0.2).otherwise(0.0)
+def address_key(parsed: Column) -> Column:
+    """What addresses are the same by: county, town and street without ``nr``; null for an empty address."""
+    street = _join(F.filter(words(parsed["street"]), lambda w: w != "nr"))
+    parts = F.filter(F.array(F.lower(F.coalesce(parsed["county"], F.lit(""))), _join(words(parsed["city"])), street), lambda p: p != "")
+    return F.coalesce(F.nullif(F.array_join(parts, "|"), F.lit("")), F.nullif(_join(words(parsed["raw"])), F.lit("")))
+
+
+def quality(parsed: Column) -> Column:
+    """``score, tier, flags``: how likely the address is to be found.
+
+    A known town counts 0.4 and another 0.2, kind of street, number and county 0.2 each; at most 0.75 without a number
+    and 0.6 in the country. An empty address is 0.
+    """
+    p, empty = parsed, parsed["raw"] == ""
+    town = F.when(p["city_known"], 0.4).when(p["city"].isNotNull(), 0.2).otherwise(0.0)
+    part = lambda ok: F.when(ok, 0.2).otherwise(0.0)
+    total = town + part(p["has_street_kind"]) + part(p["house_number"].isNotNull()) + part(p["county"].isNotNull())
+    capped = F.least(F.lit(1.0), total, F.when(p["house_number"].isNull(), 0.75).otherwise(1.0), F.when(p["is_rural"], 0.6).otherwise(1.0))
+    score = F.when(empty, 0.0).otherwise(half_up(capped, 2))
+    flags = F.filter(
+        F.array(
+            F.when(~p["city_known"], F.when(p["city"].isNotNull(), "oras_nerecunoscut").otherwise("fara_oras")), F.when(~p["has_street_kind"], "fara_tip_strada"),
+            F.when(p["house_number"].isNull(), "fara_numar"), F.when(p["county"].isNull(), "fara_judet"), F.when(p["is_rural"], "rural"),
+        ),
+        lambda f: f.isNotNull(),
     )
-    capped = F.least(raw, F.when(house_number(text).isNull(), 0.75).otherwise(1.0), F.when(rural, 0.6).otherwise(1.0))
-    return half_up(capped, 2)
+    return F.struct(score.alias("score"), tier(score).alias("tier"), F.when(empty, F.array(F.lit("fara_adresa"))).otherwise(flags).alias("flags"))
 
 
 def tier(score: Column) -> Column:
     return F.when(score >= 0.8, "good").when(score >= 0.5, "review").otherwise("poor")
 
 
+def postcode(text: Column) -> Column:
+    """Six digits; five are padded with the zero that was lost; null otherwise."""
+    digits = F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9]", "")
+    return F.when(F.length(digits) == 6, digits).when(F.length(digits) == 5, F.lpad(digits, 6, "0"))
+
+
+def plausible_leg(display: Column) -> Column:
+    """Whether a parsed leg looks like an address: no firm's name, a house number that is one, a town of letters."""
+    plain = F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(display, F.lit(""))), MARKED, PLAIN), "[^a-z0-9]+", " "))
+    house = F.regexp_extract(display, r"(?i)\bnr\.?\s*([^\s,]+)", 1)
+    town = F.regexp_extract(display, r"^[^,]*, (.*)$", 1)
+    return (
+        (plain != "") & ~plain.rlike("(?:^| )(?:srl|s r l|sa|snc|scs|ltd|gmbh|pfa)(?: |$)")
+        & ((house == "") | house.rlike("(?i)^[0-9]{1,4}[a-z]{0,2}(?:[-/][0-9a-z]{1,6})?$")) & ((F.trim(town) == "") | F.trim(town).rlike(r"^\p{L}[\p{L} .-]*$"))
+    )
+
+
 def match_score(precision: Column, same_city: Column, same_street: Column, same_number: Column, same_postcode: Column, country: Column) -> Column:
     """Fit of a found place: precision, then what agrees or differs (null: not known); another country is 0."""
-    base = F.when(precision == "address", 0.55).when(precision == "street", 0.40).when(precision == "locality", 0.25).otherwise(0.20)
+    base = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in PRECISION.items() for x in pair]), precision), F.lit(OTHER_PRECISION))
     agree = lambda c, plus, minus: F.when(c, plus).when(~c, minus).otherwise(0.0)
     city = F.when(same_city == "same", 0.2).when(same_city == "partial", 0.1).when(same_city == "different", -0.15).otherwise(0.0)
     total = base + city + agree(same_street, 0.1, -0.3) + agree(same_number, 0.15, -0.1) + F.when(same_postcode, 0.05).otherwise(0.0)
@@ -68,4 +224,4 @@ def match_score(precision: Column, same_city: Column, same_street: Column, same_
 
 def accept(score: Column) -> Column:
     """From 0.8 a place is taken, from 0.45 it is flagged, below nothing is."""
-    return F.when(score >= 0.8, "accepted").when(score >= 0.45, "flagged").otherwise("rejected")
+    return F.when(score >= TAKEN, "accepted").when(score >= FLAGGED, "flagged").otherwise("rejected")

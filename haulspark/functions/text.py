@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they fold to, place by place.
+# Letters with marks and what they fold to, place by place.
 MARKED = "ăâîșşțţáàäãåéèêëíìïóòôöõúùûüçñýÿ"
-PLAIN = "aaisstt" + "aaaaa" + "eeee" + "iii" + "ooooo" + "uuuu" + "cnyy"
+PLAIN = "aaissttaaaaaeeeeiiiooooouuuucnyy"
 
 
 def fold(text: Column) -> Column:
@@ -15,10 +15,15 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), "[^a-z0-9]+", " "))
 
 
+def unmarked(text: Column) -> Column:
+    """Lower case, marks off, runs of blanks one space."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\s+", " "))
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """1 - edit distance / longer length; 1 for two empty texts."""
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest > 0, 1 - F.levenshtein(a, b) / longest).otherwise(F.lit(1.0))
+    """1 - edit distance / longer length of the texts without case and marks; 0 if either is null or empty."""
+    x, y = F.coalesce(unmarked(a), F.lit("")), F.coalesce(unmarked(b), F.lit(""))
+    return F.when((x == "") | (y == ""), 0.0).otherwise(1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y)))
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -64,3 +69,57 @@ def route_legs(text: Column) -> Column:
 def norm_key(text: Column) -> Column:
     """Lower case and trimmed; null for blanks."""
     return F.nullif(F.lower(F.trim(text)), F.lit(""))
+
+
+def minutes_clock(minutes: Column) -> Column:
+    """``HH:MM`` of minutes since midnight, of any day; null stays null."""
+    m = F.pmod(minutes.cast("long"), F.lit(1440))
+    return F.when(minutes.isNotNull(), F.format_string("%02d:%02d", F.floor(m / 60), m % 60))
+
+
+# Digits that a scan takes for each other in a year.
+YEAR_SWAPS = {"0": "6", "6": "04", "4": "6"}
+
+
+def resolved_date(day: Column, month: Column, year: Column, today: Column) -> Column:
+    """``date, confidence, repaired`` of the parts of a printed date, as near to ``today`` as its digits allow.
+
+    Years of two digits are of this century, 200 to 209 have lost their last digit. A date from 400 days back to
+    tomorrow stands; else one swap of digits that scans confuse may bring its year in, the nearest to today's. A date
+    that no swap helps is kept as it is. Null if the parts cannot be a date.
+    """
+    cut = year.between(200, 209)
+    y = F.when(year < 100, year + 2000).when(cut, year * 10 + F.year(today) % 10).otherwise(year)
+    valid = day.between(1, 31) & month.between(1, 12) & y.between(1990, 2100)
+    written = lambda v: F.format_string("%04d-%02d-%02d", v.cast("int"), month.cast("int"), day.cast("int"))
+    low, high = F.date_format(F.date_add(today, -400), "yyyy-MM-dd"), F.date_format(F.date_add(today, 1), "yyyy-MM-dd")
+    fits = lambda v: written(v).between(low, high)
+    digits = y.cast("int").cast("string")
+
+    def swapped(at: int, old: str, new: str) -> Column:
+        there = F.substring(digits, at, 1) == old
+        return F.when(there, F.concat(F.substring(digits, 1, at - 1), F.lit(new), F.substring(digits, at + 1, 4)).cast("int"))
+
+    others = F.filter(F.array(*[swapped(at, old, new) for at in range(1, 5) for old, options in YEAR_SWAPS.items() for new in options]), lambda v: v.isNotNull() & fits(v))
+    best = F.array_min(F.transform(others, lambda v: F.struct(F.abs(v - F.year(today)).alias("far"), v.alias("year"))))["year"]
+    made = lambda v, confidence, repaired: F.struct(written(v).alias("date"), confidence.cast("double").alias("confidence"), repaired.alias("repaired"))
+    return (
+        F.when(~valid | day.isNull() | month.isNull() | year.isNull(), F.lit(None))
+        .when(fits(y), made(y, F.when(cut, 0.55).otherwise(0.9), cut))
+        .when(best.isNotNull(), made(best, F.lit(0.55), F.lit(True)))
+        .otherwise(made(y, F.when(cut, 0.5).otherwise(0.9), cut))
+    )
+
+
+# Mail providers whose addresses are a person's and not a firm's.
+PERSONAL_DOMAINS = (
+    "aol.com", "gmail.com", "googlemail.com", "gmx.com", "gmx.de", "gmx.net", "hotmail.com", "icloud.com", "live.com", "mac.com", "mail.com", "mail.ru", "me.com", "msn.com", "outlook.com",
+    "proton.me", "protonmail.com", "yahoo.co.uk", "yahoo.com", "yahoo.ro", "yandex.com", "yandex.ru", "ymail.com", "zoho.com",
+)
+
+
+def email_kind(email: Column) -> Column:
+    """``domain, personal, valid`` of a mail address, trimmed and in lower case."""
+    clean = F.lower(F.trim(F.coalesce(email, F.lit(""))))
+    domain = F.regexp_extract(clean, "^.+@([^@]*)$", 1)
+    return F.struct(domain.alias("domain"), domain.isin(*PERSONAL_DOMAINS).alias("personal"), clean.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]{2,}$").alias("valid"))

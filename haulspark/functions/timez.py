@@ -25,3 +25,17 @@ def in_days(day: Column, instant: Column, first: str, last: str, zone: str = ZON
 def local_week(instant: Column, zone: str = ZONE) -> Column:
     """Monday of the local week."""
     return F.date_trunc("week", F.from_utc_timestamp(instant, zone)).cast("date")
+
+
+def preset_days(preset: str, now: Column, zone: str = ZONE) -> tuple[Column, Column]:
+    """First and last local day of ``today``, ``week`` (from Monday) or ``month``; nulls for any other name."""
+    today = F.from_utc_timestamp(now, zone).cast("date")
+    if preset == "today":
+        return today, today
+    if preset == "week":
+        first = F.date_trunc("week", today.cast("timestamp")).cast("date")
+        return first, F.date_add(first, 6)
+    if preset == "month":
+        return F.trunc(today, "month"), F.last_day(today)
+    none = F.lit(None).cast("date")
+    return none, none

@@ -65,11 +65,31 @@ def merged_into(rows: DataFrame, id_col: str, into: str, hops: int = 5) -> DataF
     return out
 
 
-def unique_names(rows: DataFrame, name: str, order: Sequence[Column]) -> DataFrame:
-    """Names of files made unique by a number before the ending, in order."""
-    k = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(*order))
-    stem, ending = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return rows.withColumn("_k", k).withColumn("unique_name", F.when(F.col("_k") > 1, F.concat(stem, F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), ending)).otherwise(F.col(name))).drop("_k")
+def unique_names(rows: DataFrame, archive: str, name: str, order: Sequence[str]) -> DataFrame:
+    """``unique_name``: file names made unique within their archive, in ``order``: ``stem-1.end``, ``stem-2.end`` and on until one is free.
+
+    Folders of a name count with it. An archive is what a person downloads, so that its names fit in one walk.
+    """
+    names = rows.columns
+
+    def walk(_: object, columns: Rows) -> list[tuple]:
+        used, following, out = set(), {}, []
+        for i, told in enumerate(columns[name]):
+            folder, slash, base = str(told or "file").replace("\\", "/").rpartition("/")
+            base = base or "file"
+            stem, dot, end = base.rpartition(".")
+            if not stem:
+                stem, dot, end = base, "", ""
+            now, n = f"{folder}{slash}{base}", following.get((folder, base), 1)
+            while now in used:
+                now, n = f"{folder}{slash}{stem}-{n}{dot}{end}", n + 1
+            following[folder, base] = n
+            used.add(now)
+            out.append((*(columns[c][i] for c in names), now))
+        return out
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return walk_groups(rows, archive, order, walk, f"{schema}, unique_name string")
 
 
 def _xml(c: Column) -> Column:
@@ -111,7 +131,7 @@ def join_rows_of_pages(items: DataFrame, same_line: float = 3.0, gap: float = 6.
         out = []
         for n, (_, members) in enumerate(lines, 1):
             text, end = "", None
-            for i in sorted(members, key=lambda i: rows["x"][i]):
+            for i in sorted(members, key=lambda i: (rows["x"][i], -rows["y"][i], rows["text"][i])):
                 text += ("" if end is None else "\t" if rows["x"][i] - end > gap else " ") + rows["text"][i]
                 end = rows["x"][i] + rows["width"][i]
             out.append((key, n, text))
@@ -123,19 +143,22 @@ def join_rows_of_pages(items: DataFrame, same_line: float = 3.0, gap: float = 6.
 def split_pages(pages: DataFrame) -> DataFrame:
     """``doc_id, page_no, part``: pages (doc_id, page_no, keys) put in one part as long as they share a key with it.
 
-    A page without keys stays with the part before it; fewer than two keys in all, or one part, is no split (part 1).
+    A page without keys stays with the part before it. Where page and part both have numbers of their own, orders
+    (keys that begin with ``TPO-``) do not hold them together. Fewer than two keys in all is no split (part 1).
     """
 
     def walk(key: object, rows: Rows) -> list[tuple]:
-        part, held, parts = 1, set(), []
+        own = lambda keys: {k for k in keys if not k.startswith("TPO-")}
+        part, held, parts, every = 0, set(), [], set()
         for keys in rows["keys"]:
             now = set(keys) if keys is not None else set()
-            if now and held and not now & held:
+            every |= now
+            shared = own(now) & held if own(now) and own(held) else now & held
+            if not parts or (now and not shared):
                 part, held = part + 1, set()
             held |= now
             parts.append(part)
-        distinct = {k for keys in rows["keys"] if keys is not None for k in keys}
-        if len(distinct) < 2:
+        if len(every) < 2:
             parts = [1] * len(parts)
         return [(key, int(n), p) for n, p in zip(rows["page_no"], parts, strict=True)]
 

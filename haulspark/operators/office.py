@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from haulspark.functions.numeric import half_up
 from haulspark.functions.text import fold
+from haulspark.operators.joins import trusted  # noqa: F401
 from haulspark.operators.relational import numbered
 from haulspark.sources.shipping import ship_package
 
@@ -56,11 +57,6 @@ def tag_length_value(files: DataFrame, id_col: str = "id", content: str = "conte
     return files.select(id_col, content).mapInPandas(run, "id long, seq int, tag int, length int, text string")
 
 
-def trusted(disabled: Column, verified: Column, source: Column, seen: Column) -> Column:
-    """Not disabled, and verified, typed by a person, or seen on two documents."""
-    return ~F.coalesce(disabled, F.lit(False)) & (F.coalesce(verified, F.lit(False)) | source.isin("corrected", "manual") | (F.coalesce(seen, F.lit(0)) >= 2))
-
-
 def merge_order(rows: DataFrame, key: str, day: str, index: str) -> DataFrame:
     """``row_no`` by key (blank last), then day, then the order they came in."""
     blank = F.coalesce(F.trim(F.col(key)), F.lit("")) == ""
@@ -101,10 +97,10 @@ def margin(revenue: Column, cost: Column) -> Column:
 def skill_ids(rows: DataFrame, id_col: str, skills: str) -> DataFrame:
     """``id, skill_ids``: the folded skills of each row as numbers by their order among all skills.
 
-    The vocabulary is what operators type, a few dozen words; its ranks are joined, not collected.
+    The vocabulary's ranks are counted range by range and joined.
     """
     one = rows.select(F.col(id_col).alias("id"), F.explode(F.transform(skills, fold)).alias("skill")).distinct()
-    ranks = one.select("skill").distinct().withColumn("n", F.row_number().over(Window.orderBy("skill")))
+    ranks = numbered(one.select("skill").distinct(), ["skill"], "n").withColumn("n", F.col("n").cast("int"))
     found = one.join(ranks, "skill").groupBy("id").agg(F.array_sort(F.collect_list("n")).alias("skill_ids"))
     return rows.select(F.col(id_col).alias("id")).join(found, "id", "left").select("id", F.coalesce("skill_ids", F.array().cast("array<int>")).alias("skill_ids"))
 

@@ -51,13 +51,14 @@ def invoice_draft(lines: DataFrame, clients: DataFrame, stored: DataFrame) -> Da
 def zone_tax_status(rows: DataFrame) -> DataFrame:
     """The first condition that settles whether a run pays a zone's tax; ``ok`` if it does.
 
-    Reads weight_kg, zone_id, address, address_known, address_sure, plate, plate_ok, vehicle_known, mma, threshold and
+    Reads weight_kg, supported (whether zones exist in the address's town; null: yes), zone_id, address, address_known, address_sure, plate, plate_ok, vehicle_known, mma, threshold and
     rate; a missing flag counts as false.
     """
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     status = (
         F.when(F.col("weight_kg").isNull(), "no_weight")
         .when((F.col("weight_kg") <= 0) | (F.col("weight_kg") > 60_000), "weight_implausible")
+        .when(~F.coalesce("supported", F.lit(True)), "outside_city")
         .when(F.coalesce(F.trim("address"), F.lit("")) == "", "no_address")
         .when(~flag("address_known"), "address_unknown")
         .when(~flag("address_sure"), "address_unsure")

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulspark.sources.shared import settled
+
 
 def parse_order(text: str, allowed: Sequence[str], fallback: str = "-created_at") -> Column:
     """``-name`` sorts down and ``name`` up, nulls last going up and first going down; unknown names give the fallback."""
@@ -31,6 +33,11 @@ def holds(column: Column, text: str) -> Column:
     return F.contains(F.lower(F.coalesce(column, F.lit(""))), F.lower(F.lit(text)))
 
 
+def like_open(column: Column, text: str) -> Column:
+    """ILIKE in which ``%`` and ``_`` of the text are wildcards, as some screens allow."""
+    return F.lower(column).like(f"%{text.lower()}%")
+
+
 def like_escaped(column: Column, text: str) -> Column:
     """ILIKE for a text that is taken literally."""
     safe = text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
@@ -64,12 +71,10 @@ def top_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], most
 def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """``rows`` numbered 1, 2, ... in ``order``, which must tell all rows apart, without a window over all rows in one task.
 
-    Rows are dealt by ranges of the order and kept under ``spark.checkpoint.dir`` (on the executors only where that is
-    unset), so that the ranges are drawn once; each is numbered by itself from
-    the count of rows in the ranges before it. The only window in one task has a row a range.
+    Rows are dealt by ranges of the order and kept in the shared folder, so that the ranges are drawn once; each is
+    numbered by itself from the count of rows in the ranges before it. The only window in one task has a row a range.
     """
-    placed = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    placed = placed.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else placed.localCheckpoint()
+    placed = settled(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = placed.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
@@ -97,10 +102,6 @@ def expiring(rows: DataFrame, id_col: str, dates: Mapping[str, str], today: str,
     return out.where(F.col("expires") <= F.date_add(day, days)).withColumn("days_left", F.datediff("expires", day))
 
 
-#: Days after which rows of a table are dropped.
-RETENTION_DAYS = {"positions": 90, "gps_logs": 30, "chat": 365, "dismissals": 180, "sessions": 30, "geocodes": 730}
-
-
 def retained(rows: DataFrame, instant: str, now: str, days: int, keep: Column | None = None) -> DataFrame:
     """Rows younger than ``days`` at ``now``, and those that ``keep`` protects; a null instant is kept."""
     old = F.col(instant) < F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days))

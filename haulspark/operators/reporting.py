@@ -57,6 +57,37 @@ def report_warnings(rows: DataFrame, rules: Mapping[str, Column], id_col: str, m
     return counts.join(ids, "rule")
 
 
+#: Sources of a template that hold a weighed figure.
+WEIGHTS = ("gross_weight_kg", "greutate_bruta_kg", "greutate_bruta_tone")
+
+
+def document_warnings(docs: DataFrame, sources: Sequence[str], most_ids: int = 50) -> DataFrame:
+    """``rule, n, ids`` of what a person should know before documents leave by a template with columns from ``sources``.
+
+    Documents have id, status, needs_review, numar_tpo, data_efectuare_cursa, data_facturare, gross_weight_kg and ``consignment``, what one is told by.
+    Nine rules: not confirmed, unchecked fields, no order, no day, no day of invoice, no weight behind a quantity, no weight in a column of weights, a weight
+    that no column shows, one consignment more than once in an order.
+    """
+    c, has = F.col, set(sources)
+    blank = lambda name: F.coalesce(F.trim(c(name).cast("string")), F.lit("")) == ""
+    no = F.lit(False)
+    twins = docs.where(~blank("numar_tpo")).groupBy(F.lower(F.trim("numar_tpo")).alias("_o"), F.col("consignment").alias("_c")).agg(F.count("*").alias("_n")).where("_n > 1")
+    told = docs.withColumn("_k", F.lower(F.trim("numar_tpo"))).join(twins, (c("_k") == c("_o")) & c("consignment").eqNullSafe(c("_c")), "left")
+    weights = bool(has & set(WEIGHTS))
+    rules = {
+        "not_confirmed": ~F.coalesce(c("status"), F.lit("")).isin("", "confirmed"),
+        "needs_review": c("needs_review"),
+        "missing_tpo": blank("numar_tpo") if "numar_tpo" in has else no,
+        "missing_date": blank("data_efectuare_cursa") if "data_efectuare_cursa" in has else no,
+        "missing_invoice_date": blank("data_facturare") if "data_facturare" in has else no,
+        "missing_quantity_weight": c("gross_weight_kg").isNull() if "cantitate_marfa" in has else no,
+        "missing_gross_weight": c("gross_weight_kg").isNull() if weights else no,
+        "weight_not_exported": c("gross_weight_kg").isNotNull() if not weights and "cantitate_marfa" not in has else no,
+        "duplicate_tpo": c("_n").isNotNull(),
+    }
+    return report_warnings(told, rules, "id", most_ids)
+
+
 def run_identity(trip: Column, day: Column, plate: Column, row_id: Column) -> Column:
     """What makes rows one run: the trip, else day and plate, else the row alone."""
     clean = F.regexp_replace(F.upper(F.coalesce(plate, F.lit(""))), "[^A-Z0-9/]", "")

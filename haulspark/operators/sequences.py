@@ -118,30 +118,32 @@ def driving_rules(stops: DataFrame, group: str = "route_id", start: float = 480.
     """Stops (seq, leg_min, leg_km, service_min) with the breaks and rests that driving times demand between them.
 
     A break of 45 minutes falls when 4.5 hours were driven without one, a rest of 11 hours when 9 hours were driven
-    in the day; a leg is split where the limit is reached, its kilometres in proportion. Returns ``kind`` (stop,
-    break or rest), clocks in minutes and the kilometres driven up to each row since the one before.
+    in the day; a leg is split where the limit is reached, its kilometres in proportion. A leg of unknown length counts
+    no minutes, one of unknown kilometres keeps them unknown. Returns ``kind`` (stop, break or rest), clocks in minutes
+    and the kilometres driven up to each row since the one before.
     """
+    known = lambda v: v is not None and v == v
 
     def walk(key: object, rows: Rows) -> list[tuple]:
         out, clock, since_break, today = [], start, 0.0, 0.0
         for seq, leg_min, leg_km, service_min in zip(rows["seq"], rows["leg_min"], rows["leg_km"], rows["service_min"], strict=True):
-            left = whole = float(leg_min)
-            km = float(leg_km)
+            left = whole = max(0.0, float(leg_min)) if known(leg_min) else 0.0
+            km = float(leg_km) if known(leg_km) else None
             while left > 0:
                 room = min(DRIVE_LIMIT - since_break, DAY_LIMIT - today)
                 if left <= room:
                     break
                 clock, left = clock + room, left - room
-                part = float(np.floor(leg_km * room / whole * 1000 + 0.5) / 1000)
-                km -= part
+                part = float(np.floor(leg_km * room / whole * 1000 + 0.5) / 1000) if km is not None else None
+                km = max(0.0, round(km - part, 3)) if km is not None else None
                 rest = today + room >= DAY_LIMIT
                 stay = REST if rest else BREAK
                 out.append((key, int(seq), "rest" if rest else "break", clock, clock + stay, part))
                 clock += stay
                 since_break, today = 0.0, 0.0 if rest else today + room
             clock, since_break, today = clock + left, since_break + left, today + left
-            service = 15.0 if service_min is None or service_min != service_min else float(service_min)
-            out.append((key, int(seq), "stop", clock, clock + service, round(km, 3)))
+            service = float(service_min) if known(service_min) else 15.0
+            out.append((key, int(seq), "stop", clock, clock + service, km))
             clock += service
         return out
 

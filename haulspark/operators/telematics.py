@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulspark.functions.geo import haversine_m
+from haulspark.functions.text import clock_minutes
+from haulspark.functions.timez import ZONE
 
 #: km/h above which a sample is speeding, and critical.
 SPEED, SPEED_CRITICAL = 90.0, 110.0
-#: Minutes of grace, and from which lateness is critical.
-LATE, LATE_CRITICAL = 15, 45
+#: Minutes past the plan from which a stop is late, and critically so, and before its window that are too early.
+LATE, LATE_CRITICAL, EARLY = 15, 45, 30
 #: Metres from the nearest stop within which a vehicle is there, beyond which it is off route, and critically so.
 AT_STOP, OFF_ROUTE, OFF_ROUTE_CRITICAL = 150.0, 800.0, 2400.0
 #: km/h up to which a vehicle stands, minutes of standing that count, and that are critical.
 IDLE_SPEED, IDLE, IDLE_CRITICAL = 5.0, 20, 40
-EARLY = 30
 
 
 def rejection(now: Column) -> Column:
@@ -47,26 +48,51 @@ def idle_minutes(positions: DataFrame, key: str = "vehicle_id", ts: str = "ts")
     return marked.withColumn("idle_min", minutes).drop("_idle", "_spell")
 
 
-def exceptions_of(positions: DataFrame) -> DataFrame:
-    """``event_id, vehicle_id, ts, type, severity``, none or more a sample of (speed, stop_m, idle_min, has_open_stop)."""
+def next_open_stops(stops: DataFrame, key: str = "vehicle_id") -> DataFrame:
+    """Each vehicle's next stop that is owed: ``route_id, next_stop_id, next_lat, next_lon, planned_at, window_start``, the first by ``seq`` that is not closed and no pause."""
+    owed = stops.where(F.col("kind").isin("livrare", "ridicare", "schimb", "depot_end") & ~F.coalesce(F.col("status"), F.lit("")).isin("finalizat", "esuat", "sarit"))
+    first = owed.groupBy(key).agg(F.min(F.struct("seq", "stop_id", "route_id", "lat", "lon", "planned_at", "window_start")).alias("s"))
+    return first.select(key, "s.route_id", F.col("s.stop_id").alias("next_stop_id"), F.col("s.lat").alias("next_lat"), F.col("s.lon").alias("next_lon"), "s.planned_at", "s.window_start")
+
+
+def exceptions_of(positions: DataFrame, zone: str = ZONE) -> DataFrame:
+    """``event_id, vehicle_id, route_id, stop_id, ts, type, severity``, none or more a sample.
+
+    Samples have speed, lat, lon, stop_m (metres to the nearest stop of the route), idle_min and the columns of
+    ``next_open_stops``, null where nothing is owed. Speeding; late for the next stop and not there; there too early for its window; off the route while something is owed;
+    standing far from the plan, which away from every stop is an unplanned stop and else mere standing.
+    """
     c = F.col
-    one = lambda when, kind, severity: F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(kind).alias("type"), severity.alias("severity")))
+    one = lambda when, kind, severity, stop: F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(kind).alias("type"), severity.alias("severity"), stop.alias("stop_id")))
     level = lambda critical: F.when(critical, "critical").otherwise("warning")
-    far = c("stop_m") > OFF_ROUTE
+    none = F.lit(None).cast("long")
+    owed = c("next_stop_id").isNotNull()
+    there = F.coalesce(haversine_m(c("lat"), c("lon"), c("next_lat"), c("next_lon")) <= AT_STOP, F.lit(False))
+    behind = (F.unix_micros(c("ts")) - F.unix_micros(c("planned_at"))) / 60_000_000
+    local = F.from_utc_timestamp(c("ts"), zone)
+    opens = clock_minutes(F.regexp_extract(c("window_start"), r"^\d{1,2}:\d{2}", 0))
+    far, idle = c("stop_m") > OFF_ROUTE, F.floor(c("idle_min") + 0.5)
     found = F.array(
-        one(c("speed") > SPEED, "viteza", level(c("speed") > SPEED_CRITICAL)),
-        one(far & c("has_open_stop"), "abatere_traseu", level(c("stop_m") > OFF_ROUTE_CRITICAL)),
-        one((c("speed") <= IDLE_SPEED) & far & (c("idle_min") >= IDLE), "oprire_neplanificata", level(c("idle_min") >= IDLE_CRITICAL)),
+        one(c("speed") > SPEED, "viteza", level(c("speed") > SPEED_CRITICAL), none),
+        one(owed & (behind > LATE) & ~there, "intarziere", level(F.floor(behind + 0.5) >= LATE_CRITICAL), c("next_stop_id")),
+        one(owed & there & c("planned_at").isNotNull() & (F.hour(local) * 60 + F.minute(local) + EARLY < opens), "prea_devreme", F.lit("info"), c("next_stop_id")),
+        one(far & owed, "abatere_traseu", level(c("stop_m") > OFF_ROUTE_CRITICAL), c("next_stop_id")),
+        one((c("speed") <= IDLE_SPEED) & far & (idle >= IDLE), "oprire_neplanificata", level(idle >= IDLE_CRITICAL), none),
+        one((c("speed") <= IDLE_SPEED) & c("stop_m").isNull() & (idle >= IDLE), "stationare", level(idle >= IDLE_CRITICAL), none),
     )
-    return positions.select("event_id", "vehicle_id", "ts", F.explode(F.filter(found, lambda e: e.isNotNull())).alias("e")).select("event_id", "vehicle_id", "ts", "e.*")
+    out = positions.select("event_id", "vehicle_id", "route_id", "ts", F.explode(F.filter(found, lambda e: e.isNotNull())).alias("e"))
+    return out.select("event_id", "vehicle_id", "route_id", "e.stop_id", "ts", "e.type", "e.severity")
 
 
 def new_exceptions(found: DataFrame, open_: DataFrame) -> DataFrame:
-    """First of each (vehicle, type, stop) that is not open already; nulls are equal to each other."""
-    first = found.groupBy("vehicle_id", "type", "stop_id").agg(F.min(F.struct("ts", "event_id", "severity")).alias("e"))
-    o = open_.select(F.col("vehicle_id").alias("ov"), F.col("type").alias("ot"), F.col("stop_id").alias("os"))
-    same = F.col("vehicle_id").eqNullSafe(F.col("ov")) & F.col("type").eqNullSafe(F.col("ot")) & F.col("stop_id").eqNullSafe(F.col("os"))
-    return first.join(o, same, "left_anti").select("vehicle_id", "type", "stop_id", "e.*")
+    """First of each (type, vehicle, route, stop) that is not open already; nulls are equal to each other."""
+    key = ["type", "vehicle_id", "route_id", "stop_id"]
+    first = found.groupBy(*key).agg(F.min(F.struct("ts", "event_id", "severity")).alias("e"))
+    o = open_.select(*[F.col(k).alias(f"o_{k}") for k in key])
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"o_{k}"))
+    return first.join(o, same, "left_anti").select(*key, "e.*")
 
 
 def latest_positions(positions: DataFrame, key: str = "vehicle_id") -> DataFrame:

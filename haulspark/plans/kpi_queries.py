@@ -241,18 +241,18 @@ def invoice_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 with f as (
   select l_orderkey, l_linenumber, case when l_partkey % 9 <> 0 then l_quantity * 1400 end as weight_kg, case when l_suppkey % 4 <> 0 then l_suppkey % 4 end as zone_id,
-         case when l_partkey % 13 <> 0 then 'x' else ' ' end as address, l_partkey % 7 <> 0 as known, l_partkey % 8 <> 0 as sure, case when l_suppkey % 17 <> 0 then 'B01ABC' end as plate, l_suppkey % 19 <> 0 as plate_ok,
+         l_partkey % 11 <> 0 as supported, case when l_partkey % 13 <> 0 then 'x' else ' ' end as address, l_partkey % 7 <> 0 as known, l_partkey % 8 <> 0 as sure, case when l_suppkey % 17 <> 0 then 'B01ABC' end as plate, l_suppkey % 19 <> 0 as plate_ok,
          l_suppkey % 23 <> 0 as vehicle_known, case when l_suppkey % 3 <> 0 then l_suppkey % 65 end as mma, l_linenumber % 5 as r
   from lineitem
 ), s as (
-  select case when weight_kg is null then 'no_weight' when weight_kg <= 0 or weight_kg > 60000 then 'weight_implausible' when trim(address) = '' then 'no_address' when not known then 'address_unknown' when not sure then 'address_unsure'
+  select case when weight_kg is null then 'no_weight' when weight_kg <= 0 or weight_kg > 60000 then 'weight_implausible' when not supported then 'outside_city' when trim(address) = '' then 'no_address' when not known then 'address_unknown' when not sure then 'address_unsure'
               when zone_id is null then 'outside' when plate is null then 'plate_missing' when not plate_ok then 'plate_invalid' when not vehicle_known then 'vehicle_unknown' when mma is null then 'mma_missing'
               when mma < 1 or mma > 60 then 'mma_suspect' when mma <= 7.5 then 'under_threshold' when r = 0 then 'no_bracket' else 'ok' end as status from f)
 select status, count(*) as n from s group by 1""")
 def zone_tax_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p, s = table(spark, sf_dir, "lineitem"), F.col("l_partkey"), F.col("l_suppkey")
     rows = li.select(
-        F.when(p % 9 != 0, F.col("l_quantity") * 1400).alias("weight_kg"), F.when(s % 4 != 0, s % 4).alias("zone_id"), F.when(p % 13 != 0, "x").otherwise(" ").alias("address"),
+        F.when(p % 9 != 0, F.col("l_quantity") * 1400).alias("weight_kg"), F.when(s % 4 != 0, s % 4).alias("zone_id"), (p % 11 != 0).alias("supported"), F.when(p % 13 != 0, "x").otherwise(" ").alias("address"),
         (p % 7 != 0).alias("address_known"), (p % 8 != 0).alias("address_sure"), F.when(s % 17 != 0, "B01ABC").alias("plate"), (s % 19 != 0).alias("plate_ok"), (s % 23 != 0).alias("vehicle_known"),
         F.when(s % 3 != 0, s % 65).alias("mma"), F.lit(7.5).alias("threshold"), F.when(F.col("l_linenumber") % 5 != 0, 10.0).alias("rate"),
     )
@@ -271,16 +271,39 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reporting.report_totals(rows, ["km", "value", "weight"])
 
 
-@query("""
-with b as (
-  select c_custkey as id, unnest(list_filter([case when c_acctbal < 0 then 'negative_balance' end, case when c_mktsegment = 'BUILDING' and c_nationkey % 5 = 0 then 'segment_review' end, case when c_custkey % 97 = 0 then 'sampled_key' end], lambda x: x is not null)) as rule from customer)
-select rule, count(*) as n, array_to_string((list_sort(list(id)))[1:50], ',') as ids from b group by 1""")
-def report_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {"negative_balance": F.col("c_acctbal") < 0, "segment_review": (F.col("c_mktsegment") == "BUILDING") & (F.col("c_nationkey") % 5 == 0), "sampled_key": F.col("c_custkey") % 97 == 0}
-    out = reporting.report_warnings(table(spark, sf_dir, "customer"), rules, "c_custkey")
+_WARN_SQL = """
+with d as (
+  select o_orderkey as id, case when o_orderkey % 19 <> 0 then case o_orderstatus when 'F' then 'confirmed' when 'P' then 'extracted' else 'uploaded' end end as status, o_orderkey % 13 = 0 as review, case when o_orderkey % 17 = 0 then ' ' else 'T' || (o_custkey % 400) end as tpo,
+         case when o_orderkey % 11 <> 0 then cast(o_orderdate as date) end as day, case when o_orderkey % 3 <> 0 then o_totalprice / 10 end as gross, 'doc:' || (o_orderkey % 4) as consignment from orders),
+k as (select *, case when trim(tpo) <> '' then count(*) over (partition by lower(trim(tpo)), consignment) else 0 end as twins from d),
+b as (select id, unnest(list_filter([{rules}], lambda x: x is not null)) as rule from k)
+select rule, count(*) as n, array_to_string((list_sort(list(id)))[1:50], ',') as ids from b group by 1"""
+_EVERY = "case when status <> 'confirmed' then 'not_confirmed' end, case when review then 'needs_review' end, case when twins > 1 then 'duplicate_tpo' end"
+
+
+def _warned(spark: SparkSession, sf_dir: str, sources: list[str]) -> DataFrame:
+    k, status = F.col("o_orderkey"), F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "P", "extracted").otherwise("uploaded")
+    docs = table(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(k % 19 != 0, status).alias("status"), (k % 13 == 0).alias("needs_review"), F.when(k % 17 == 0, " ").otherwise(F.concat(F.lit("T"), (F.col("o_custkey") % 400).cast("string"))).alias("numar_tpo"),
+        F.when(k % 11 != 0, F.col("o_orderdate").cast("date")).alias("data_efectuare_cursa"), F.lit(None).cast("date").alias("data_facturare"), F.when(k % 3 != 0, F.col("o_totalprice") / 10).alias("gross_weight_kg"),
+        F.concat(F.lit("doc:"), (k % 4).cast("string")).alias("consignment"),
+    )
+    out = reporting.document_warnings(docs, sources)
     return out.withColumn("ids", F.array_join(F.transform("ids", lambda i: i.cast("string")), ","))
 
 
+@query(_WARN_SQL.format(rules=_EVERY + ", case when trim(tpo) = '' then 'missing_tpo' end, case when day is null then 'missing_date' end, 'missing_invoice_date', case when gross is null then 'missing_quantity_weight' end, case when gross is null then 'missing_gross_weight' end"))
+def report_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of a template that shows orders, days, invoices, quantities and weights."""
+    return _warned(spark, sf_dir, ["numar_tpo", "data_efectuare_cursa", "data_facturare", "cantitate_marfa", "gross_weight_kg"])
+
+
+@query(_WARN_SQL.format(rules=_EVERY + ", case when gross is not null then 'weight_not_exported' end"))
+def report_warnings_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of a template that shows neither weights nor quantities."""
+    return _warned(spark, sf_dir, ["ruta_transport"])
+
+
 @query("""
 with r as (
   select l_orderkey, case when l_partkey % 5 = 0 then 'trip:' || (l_partkey % 50)::varchar when l_suppkey % 7 <> 0 then strftime(l_shipdate, '%Y-%m-%d') || '|V' || l_suppkey::varchar else strftime(l_shipdate, '%Y-%m-%d') || '|id:' || l_partkey::varchar end as run from lineitem)
@@ -289,7 +312,7 @@ def distinct_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, v = F.col("goods_id"), F.col("vehicle_id")
     trip, plate = F.when(g % 5 == 0, g % 50), F.when(v % 7 != 0, F.concat(F.lit("v "), v.cast("string")))
     rows = t.runs(spark, sf_dir).withColumn("run", reporting.run_identity(trip, F.col("run_date"), plate, g))
-    return rows.groupBy("tpo_id").agg(F.count("*").alias("n_rows"), F.count_distinct("run").alias("n_runs"))
+    return reporting.distinct_runs(rows, "tpo_id", "run").groupBy("tpo_id").agg(F.count("*").alias("n_rows"), F.max("n_runs").alias("n_runs"))
 
 
 @query("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haulspark.functions.timez import in_days
 from haulspark.operators import relational as rel
-from haulspark.operators.joins import best_match, keep_newest, one_digit_off, small, zone_of
+from haulspark.operators.joins import best_match, distance_matrix, keep_newest, one_digit_off, small, zone_of
 from haulspark.sources import tables as t
 from haulspark.sources.tables import table
 
@@ -267,38 +267,58 @@ def hamming_plate_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_digit_off(plates, fleet).select("id", "digits", "fixed_digits")
 
 
-_ZONES = [  # zone, priority, active, cities, ring of (lon, lat)
-    (1, 5, True, ["city3"], [(26.00, 44.00), (26.06, 44.00), (26.06, 44.05), (26.00, 44.05), (26.00, 44.00)]),
-    (2, 9, True, ["city4"], [(26.03, 44.02), (26.09, 44.03), (26.05, 44.09), (26.03, 44.02)]),
-    (3, 9, False, ["city5"], [(26.00, 44.00), (26.10, 44.00), (26.10, 44.10), (26.00, 44.10), (26.00, 44.00)]),
-    (4, 1, True, ["city6", "city3"], [(26.08, 44.08), (26.10, 44.08), (26.10, 44.10), (26.08, 44.10), (26.08, 44.08)]),
+_SQUARE = lambda x, y, a: [(x, y), (x + a, y), (x + a, y + a), (x, y + a), (x, y)]
+_ZONES = [  # zone, priority, active, polygons of rings of (lon, lat), counties, cities, postcodes
+    (1, 5, True, [[_SQUARE(26.00, 44.00, 0.06), _SQUARE(26.02, 44.02, 0.01)]], [], ["city3"], []),
+    (2, 9, True, [[[(26.03, 44.02), (26.09, 44.03), (26.05, 44.09), (26.03, 44.02)]], [_SQUARE(26.085, 44.005, 0.01)]], [], ["city4"], []),
+    (3, 9, False, [[_SQUARE(26.00, 44.00, 0.10)]], [], ["city5"], []),
+    (4, 1, True, None, [], ["city6", "city3"], []),
+    (5, 2, True, None, ["B"], ["City 7", "city8"], []),
+    (6, 3, True, None, ["IF", "CJ"], [], []),
+    (7, 4, True, None, ["B"], [], ["01", "0234"]),
+    (8, 2, True, None, [], [], ["9"]),
+    (9, 8, True, None, [], [], []),
 ]
 
 
-def _edges_sql() -> str:
-    rows = [f"({z}, {p}, {i}, {a[0]!r}::double, {a[1]!r}::double, {b[0]!r}::double, {b[1]!r}::double)" for i, (z, p, on, _, ring) in enumerate(_ZONES) if on for a, b in zip(ring, ring[1:], strict=False)]
-    cities = [f"({z}, {p}, {i}, '{c}')" for i, (z, p, on, names, _) in enumerate(_ZONES) if on for c in names]
-    return f"edges(zone_id, priority, pos, ax, ay, bx, by_) as (values {', '.join(rows)}), cities(zone_id, priority, pos, city) as (values {', '.join(cities)})"
+def _zones_sql() -> str:
+    edges = [
+        f"({z}, {p}, {i}, {n}, {r}, {a[0]!r}::double, {a[1]!r}::double, {b[0]!r}::double, {b[1]!r}::double)"
+        for i, (z, p, on, polygons, *_) in enumerate(_ZONES) if on for n, rings in enumerate(polygons or []) for r, ring in enumerate(rings) for a, b in zip(ring, ring[1:], strict=False)
+    ]
+    names = [f"({z}, {p}, {i}, {counties or '[]::varchar[]'}, {[c.lower() for c in cities] or '[]::varchar[]'}, {codes or '[]::varchar[]'})" for i, (z, p, on, _, counties, cities, codes) in enumerate(_ZONES) if on]
+    return f"edges(zone_id, priority, pos, polygon, ring, ax, ay, bx, by_) as (values {', '.join(edges)}), names(zone_id, priority, pos, counties, cities, codes) as (values {', '.join(names)})"
 
 
 @query(f"""
-with {t.POSITIONS_SQL}, {_edges_sql()}, p as (select event_id, lon, lat, 'city' || (event_id % 10)::varchar as city from positions),
-inside as (select event_id, zone_id, any_value(priority) as priority, any_value(pos) as pos from p, edges where (ay > lat) <> (by_ > lat) and lon < (bx - ax) * (lat - ay) / (by_ - ay) + ax group by 1, 2 having count(*) % 2 = 1),
-hits as (select event_id, zone_id, 'polygon' as matched_by, 0 as r, -priority as q, pos from inside union all select event_id, zone_id, 'text', 1, -priority, pos from p join cities using (city)),
+with {t.POSITIONS_SQL}, {_zones_sql()}, p as (select event_id, lon, lat, case event_id % 12 when 7 then 'City  7' else 'city' || (event_id % 12) end as city, lower(case event_id % 12 when 7 then 'city 7' else 'city' || (event_id % 12) end) as folded, case event_id % 5 when 0 then 'b' when 1 then 'IF' when 2 then null else 'TM' end as county, case when event_id % 7 < 4 then lpad((event_id * 131 % 100000)::varchar, 6, '0') end as code from positions),
+rings as (select event_id, zone_id, priority, pos, polygon, ring from p, edges where (ay > lat) <> (by_ > lat) and lon < (bx - ax) * (lat - ay) / (by_ - ay) + ax group by all having count(*) % 2 = 1),
+inside as (select distinct event_id, zone_id, priority, pos from rings r where ring = 0 and not exists (select 1 from rings h where h.event_id = r.event_id and h.zone_id = r.zone_id and h.polygon = r.polygon and h.ring > 0)),
+told as (
+  select event_id, zone_id, priority, pos from p, names where len(counties) + len(cities) + len(codes) > 0 and (len(counties) = 0 or list_contains(counties, upper(coalesce(county, '')))) and (len(cities) = 0 or list_contains(cities, folded))
+    and (len(codes) = 0 or len(list_filter(codes, lambda x: starts_with(coalesce(code, ''), x))) > 0)),
+hits as (select event_id, zone_id, 'polygon' as matched_by, 0 as r, -priority as q, pos from inside union all select event_id, zone_id, 'text', 1, -priority, pos from told),
 best as (select *, row_number() over (partition by event_id order by r, q, pos) as k from hits)
 select p.event_id, zone_id, matched_by from p left join best b on b.event_id = p.event_id and k = 1""")
 def zone_pip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(z, p, i, on, c, [{"lon": x, "lat": y} for x, y in ring], min(x for x, _ in ring), max(x for x, _ in ring), min(y for _, y in ring), max(y for _, y in ring)) for i, (z, p, on, c, ring) in enumerate(_ZONES)]
-    zones = spark.createDataFrame(rows, "zone_id int, priority int, pos int, active boolean, cities array<string>, ring array<struct<lon:double,lat:double>>, min_lon double, max_lon double, min_lat double, max_lat double")
-    points = t.positions(spark, sf_dir).select("event_id", "lon", "lat", F.concat(F.lit("city"), (F.col("event_id") % 10).cast("string")).alias("city"))
+    rows = [(z, p, i, on, polygons and [[[{"lon": x, "lat": y} for x, y in ring] for ring in rings] for rings in polygons], counties, cities, codes) for i, (z, p, on, polygons, counties, cities, codes) in enumerate(_ZONES)]
+    zones = spark.createDataFrame(rows, "zone_id int, priority int, pos int, active boolean, polygons array<array<array<struct<lon:double,lat:double>>>>, counties array<string>, cities array<string>, postcodes array<string>")
+    k = F.col("event_id")
+    points = t.positions(spark, sf_dir).select(
+        "event_id", "lon", "lat", F.when(k % 12 == 7, "City  7").otherwise(F.concat(F.lit("city"), (k % 12).cast("string"))).alias("city"),
+        F.when(k % 5 == 0, "b").when(k % 5 == 1, "IF").when(k % 5 > 2, "TM").alias("county"), F.when(k % 7 < 4, F.lpad((k * 131 % 100000).cast("string"), 6, "0")).alias("postcode"),
+    )
     return zone_of(points, zones).select("event_id", "zone_id", "matched_by")
 
 
-@query("select a.n_nationkey as from_id, b.n_nationkey as to_id, abs(a.n_nationkey - b.n_nationkey) * 10 as km from nation a, nation b where a.n_regionkey = b.n_regionkey")
+@query("""
+with p as (select n_nationkey as id, n_nationkey * 0.7::double + 40 as lat, n_nationkey * 13 % 250 / 10 + 20 as lon from nation)
+select a.id as from_id, b.id as to_id, floor(2 * 6371.0::double * asin(least(1.0::double, sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)))) * 10 + 0.5) / 10 as km from p a, p b where a.id <> b.id""")
 def cross_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    a, b = n.select(F.col("n_nationkey").alias("from_id"), "n_regionkey"), n.select(F.col("n_nationkey").alias("to_id"), "n_regionkey")
-    return a.join(b, "n_regionkey").select("from_id", "to_id", (F.abs(F.col("from_id") - F.col("to_id")) * 10).alias("km"))
+    """Distances of all places of a plan from each other: every place is asked against the one list of places, which has a limit of 200."""
+    k = F.col("n_nationkey")
+    p = table(spark, sf_dir, "nation").select(k.alias("id"), (k * 0.7 + 40).alias("lat"), (k * 13 % 250 / 10 + 20).alias("lon"))
+    return distance_matrix(p).select("from_id", "to_id", "km")
 
 
 @query("""

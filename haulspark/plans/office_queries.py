@@ -49,18 +49,35 @@ def import_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.import_summary(imports.import_plan(rows, places, clients, existing))
 
 
-@query("""
-with a as (select c_custkey as id, c_custkey % 3 as s, c_custkey % 4 as n, c_custkey % 5 as c, c_custkey % 7 as r from customer),
-q as (select id, s, n, case when c <> 0 then 0.4::double else 0.2 end + case when s <> 0 then 0.2::double else 0 end + case when n <> 0 then 0.2::double else 0 end + case when id % 6 <> 0 then 0.2::double else 0 end as raw, r from a),
-x as (select id, s, n, floor(least(raw, case when n = 0 then 0.75 else 1.0 end, case when r = 0 then 0.6 else 1.0 end)::double * 100 + 0.5) / 100 as quality from q)
-select id, case s when 0 then null when 1 then 'strada' else 'bulevard' end as street_kind, case when n <> 0 then (id % 90 + 1)::varchar || 'A' end as number, quality, case when quality >= 0.8 then 'good' when quality >= 0.5 then 'review' else 'poor' end as tier from x""")
+_VARIANTS = [  # text with {n} for a number, street, city, county, rural, town known, kind of street, number, key with {n}, score, flags
+    ("Cluj-Napoca, str. Fabricii {n}", "str. Fabricii {n}", "cluj napoca", "CJ", False, True, True, "{n}", "cj|cluj napoca|strada fabricii {n}", 1.0, ""),
+    ("Timișoara Calea Aradului nr. {n}", "calea aradului nr {n}", "timisoara", "TM", False, True, True, "{n}", "tm|timisoara|calea aradului {n}", 1.0, ""),
+    ("sat Cornu, jud. Prahova, nr. {n}", "nr. {n}", "cornu", "PH", True, False, False, "{n}", "ph|cornu|{n}", 0.6, "oras_nerecunoscut,fara_tip_strada,rural"),
+    ("mun. Târgu Mureș, Bd. Unirii {n}, bl. A2, ap. 45", "Bd. Unirii {n}, bl. A2, ap. 45", "targu mures", "MS", False, True, True, "{n}", "ms|targu mures|bulevardul unirii {n} bl a2 ap 45", 1.0, ""),
+    ("Str. Dr. Felix, Al. Teilor", "Str. Dr. Felix", "al teilor", None, False, False, True, None, "al teilor|strada dr felix", 0.4, "oras_nerecunoscut,fara_numar,fara_judet"),
+    ("  ", None, None, None, False, False, False, None, None, 0.0, "fara_adresa"),
+    ("Str. 1 Decembrie 1918 nr. {n}, Iasi, IS", "Str. 1 Decembrie 1918 nr. {n}", "iasi", "IS", False, True, True, "{n}", "is|iasi|strada 1 decembrie 1918 {n}", 1.0, ""),
+    ("Depozit Vest, Blvd. Basarabiei", "Blvd. Basarabiei", "depozit vest", None, False, False, True, None, "depozit vest|bulevardul basarabiei", 0.4, "oras_nerecunoscut,fara_numar,fara_judet"),
+    ("Bolintin, DN 1", "DN 1", "bolintin", None, False, False, True, "1", "bolintin|dn 1", 0.6, "oras_nerecunoscut,fara_judet"),
+]
+
+
+def _variants_sql() -> str:
+    cell = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else repr(v) if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
+    return ", ".join(f"({i}, {', '.join(cell(v) for v in row[1:])})" for i, row in enumerate(_VARIANTS))
+
+
+@query(f"""
+with v(i, street, city, county, rural, known, kind, number, key, score, flags) as (values {_variants_sql()}), c as (select c_custkey as id, (c_custkey % 90 + 2)::varchar as n, c_custkey % {len(_VARIANTS)} as i from customer)
+select id, replace(street, '{{n}}', n) as street, city, county, rural as is_rural, replace(number, '{{n}}', n) as house_number, replace(key, '{{n}}', n) as address_key, score::double as score,
+       case when score >= 0.8 then 'good' when score >= 0.5 then 'review' else 'poor' end as tier, flags from c join v using (i)""")
 def address_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses written in nine ways, of which the parts are known."""
     k = F.col("c_custkey")
-    text = F.concat(F.when(k % 3 == 0, "").when(k % 3 == 1, "Str. ").otherwise("B-dul. ".replace("-", "")), F.lit("Ștefan cel Mare"), F.when(k % 4 != 0, F.concat(F.lit(" nr. "), (k % 90 + 1).cast("string"), F.lit("a"))).otherwise(""))
-    rows = table(spark, sf_dir, "customer").select(k.alias("id"), text.alias("text"))
-    score = address.quality(F.col("id") % 5 != 0, F.col("text"), F.when(F.col("id") % 6 != 0, "Cluj"), F.col("id") % 7 == 0)
-    out = rows.withColumns({"street_kind": address.street_kind(F.col("text")), "number": address.house_number(F.col("text")), "quality": score})
-    return out.select("id", "street_kind", "number", "quality", address.tier(F.col("quality")).alias("tier"))
+    texts = F.array(*[F.lit(row[0]) for row in _VARIANTS])
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), F.replace(F.get(texts, (k % len(_VARIANTS)).cast("int")), F.lit("{n}"), (k % 90 + 2).cast("string")).alias("text"))
+    told = rows.withColumn("p", address.parse(F.col("text"))).withColumn("q", address.quality(F.col("p")))
+    return told.select("id", "p.street", "p.city", "p.county", "p.is_rural", "p.house_number", address.address_key(F.col("p")).alias("address_key"), "q.score", "q.tier", F.array_join("q.flags", ",").alias("flags"))
 
 
 @query("""
@@ -127,11 +144,19 @@ def merge_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r as (select p_partkey, p_brand || '.pdf' as name, row_number() over (partition by p_brand order by p_partkey) as k, p_brand from part)
-select p_partkey, case when k > 1 then p_brand || ' (' || k || ').pdf' else name end as unique_name from r""")
+with recursive p as (select p_size as archive, p_partkey, case when p_partkey % 9 = 0 then 'a/' else '' end as folder, p_brand || case when p_partkey % 5 = 0 then '-1' else '' end as stem, case when p_partkey % 4 = 0 then '' else '.pdf' end as ending, row_number() over (partition by p_size order by p_partkey) as n from part),
+w as (
+  select distinct p_size as archive, 0::bigint as n, null::bigint as p_partkey, null::varchar as unique_name, []::varchar[] as used from part
+  union all
+  select archive, n, p_partkey, free, list_append(used, free)
+  from (select w.archive, p.n, p.p_partkey, w.used, list_filter(list_transform(range(0, 200), lambda i: p.folder || p.stem || case when i > 0 then '-' || i else '' end || p.ending), lambda x: not list_contains(w.used, x))[1] as free
+        from w join p on p.archive = w.archive and p.n = w.n + 1))
+select p_partkey, unique_name from w where n > 0""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit(".pdf")).alias("name"))
-    return lifecycle.unique_names(rows, "name", [F.col("p_partkey")]).select("p_partkey", "unique_name")
+    k = F.col("p_partkey")
+    name = F.concat(F.when(k % 9 == 0, "a/").otherwise(""), F.col("p_brand"), F.when(k % 5 == 0, "-1").otherwise(""), F.when(k % 4 == 0, "").otherwise(".pdf"))
+    rows = table(spark, sf_dir, "part").select("p_size", "p_partkey", name.alias("name"))
+    return lifecycle.unique_names(rows, "p_size", "name", ["p_partkey"]).select("p_partkey", "unique_name")
 
 
 @query("""
@@ -149,15 +174,31 @@ def _invoices(o: DataFrame) -> DataFrame:
     return lifecycle.invoice_xml(lines.withColumns({"vat_pct": F.lit(19.0), "client": F.concat(F.lit("client "), F.col("invoice_id").cast("string"))}))
 
 
-@query()
+@query("""
+with i as (select l_orderkey as page_id, l_linenumber as line, l_partkey % 40 * 10.0::double as x, l_linenumber * 12.0::double + l_partkey % 3 as y, l_partkey::varchar as text from lineitem),
+g as (select *, x - (lag(x) over w + 8) as apart from i window w as (partition by page_id, line order by x, y desc, text))
+select page_id, row_number() over (partition by page_id order by line desc)::int as line_no, string_agg(case when apart is null then '' when apart > 6 then chr(9) else ' ' end || text, '' order by x, y desc, text) as text from g group by page_id, line""")
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = F.col("goods_id")
     items = t.runs(spark, sf_dir).select(F.col("tpo_id").alias("page_id"), (g % 40 * 10.0).alias("x"), (F.col("line") * 12.0 + g % 3).alias("y"), F.lit(8.0).alias("width"), g.cast("string").alias("text"))
     return lifecycle.join_rows_of_pages(items)
 
 
-@query()
+@query("""
+with recursive p as (
+  select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, cast(l_shipdate as date), l_partkey, l_suppkey, l_extendedprice) as page_no,
+         list_filter([case when l_partkey % 3 <> 0 then 'PSL-' || (l_partkey % 4) end, case when l_suppkey % 2 = 0 then 'TPO-' || (l_suppkey % 3) end], lambda x: x is not null) as keys from lineitem),
+w as (
+  select doc_id, page_no, 1 as part, keys as held from p where page_no = 1
+  union all
+  select doc_id, page_no, case when stays then part else part + 1 end, case when stays then list_concat(held, keys) else keys end
+  from (select p.doc_id, p.page_no, p.keys, w.part, w.held, list_filter(p.keys, lambda x: not starts_with(x, 'TPO-')) as own, list_filter(w.held, lambda x: not starts_with(x, 'TPO-')) as theirs,
+               len(p.keys) = 0 or case when len(own) > 0 and len(theirs) > 0 then list_has_any(own, theirs) else list_has_any(p.keys, w.held) end as stays
+        from w join p on p.doc_id = w.doc_id and p.page_no = w.page_no + 1)),
+n as (select doc_id, len(list_distinct(flatten(list(keys)))) as n from p group by 1)
+select doc_id, page_no::int as page_no, case when n < 2 then 1 else part end as part from w join n using (doc_id)""")
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = resequence(t.runs(spark, sf_dir), "tpo_id", [F.col(c) for c in ("line", "run_date", "goods_id", "vehicle_id", "value")], "page_no")
-    keys = F.filter(F.array(F.when(F.col("goods_id") % 3 != 0, F.col("goods_id") % 4)), lambda x: x.isNotNull())
-    return lifecycle.split_pages(pages.select(F.col("tpo_id").alias("doc_id"), "page_no", keys.alias("keys")))
+    g, v = F.col("goods_id"), F.col("vehicle_id")
+    own, order = F.when(g % 3 != 0, F.concat(F.lit("PSL-"), (g % 4).cast("string"))), F.when(v % 2 == 0, F.concat(F.lit("TPO-"), (v % 3).cast("string")))
+    return lifecycle.split_pages(pages.select(F.col("tpo_id").alias("doc_id"), "page_no", F.filter(F.array(own, order), lambda x: x.isNotNull()).alias("keys")))

@@ -12,7 +12,7 @@ from haulspark.operators import documents, planning, sequences
 from haulspark.operators import telematics as tele
 from haulspark.sources import tables as t
 from haulspark.sources.tables import table
-from haulspark.streaming.runs import exceptions_to_the_end
+from haulspark.streaming.runs import exceptions_to_the_end, hours_to_the_end
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -112,10 +112,29 @@ def tariff_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _routes_for_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stops(spark, sf_dir).select("route_id", F.col("seq").cast("int").alias("seq"), (F.col("km") * 6).alias("leg_min"), (F.col("km") * 7).alias("leg_km"), "service_min")
+    known = F.col("km") % 10 != 0
+    return _stops(spark, sf_dir).select("route_id", F.col("seq").cast("int").alias("seq"), F.when(known, F.col("km") * 6).alias("leg_min"), F.when(F.col("km") % 9 != 0, F.col("km") * 7).alias("leg_km"), "service_min")
 
 
-@query()
+@query(f"""
+with recursive {_SEQ_SQL}, r as (select route_id, seq, case when km % 10 <> 0 then km * 6 else 0 end::double as leg, case when km % 9 <> 0 then km * 7 end::double as km, coalesce(service_min, 15)::double as service from stops),
+w(route_id, seq, whole, togo, full_km, km, clock, since, today, kind, arrival, departure, driven) as (
+  select route_id, 0::bigint, 0::double, 0::double, null::double, null::double, 480::double, 0::double, 0::double, null::varchar, null::double, null::double, null::double from (select distinct route_id from r)
+  union all
+  select route_id, seq, whole, case when halt then togo - room else -1 end, full_km, case when halt and km is not null then greatest(0, round(km - part, 3)) else km end,
+         case when halt then clock + room + stay else clock + togo + service end, case when halt then 0 else since + togo end, case when halt then case when night then 0 else today + room end else today + togo end,
+         case when not halt then 'stop' when night then 'rest' else 'break' end, clock + case when halt then room else togo end, clock + case when halt then room + stay else togo + service end, case when halt then part else km end
+  from (
+    select *, floor(full_km * room / whole * 1000 + 0.5) / 1000 as part, today + room >= 540 as night, case when today + room >= 540 then 660 else 45 end as stay
+    from (
+      select *, togo > room as halt
+      from (
+        select w.route_id, coalesce(n.seq, w.seq) as seq, coalesce(n.leg, w.whole) as whole, coalesce(n.leg, w.togo) as togo, case when n.seq is not null then n.km else w.full_km end as full_km, case when n.seq is not null then n.km else w.km end as km, w.clock, w.since, w.today,
+               least(270 - w.since, 540 - w.today) as room, coalesce(n.service, c.service) as service
+        from w left join r n on n.route_id = w.route_id and w.togo <= 0 and (w.kind = 'stop' or w.kind is null) and n.seq = w.seq + 1
+        left join r c on c.route_id = w.route_id and c.seq = w.seq
+        where n.seq is not null or w.togo > 0 or w.kind in ('break', 'rest')) x) y) z)
+select route_id, seq::int as seq, kind, arrival, departure, driven as km from w where kind is not null""")
 def driving_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.driving_rules(_routes_for_drivers(spark, sf_dir))
 
@@ -130,7 +149,14 @@ def trail_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.trail_metres(t.positions(spark, sf_dir), "vehicle_id", ["ts", "event_id"])
 
 
-@query()
+@query(f"""
+with recursive {t.POSITIONS_SQL}, p as (select *, row_number() over (partition by vehicle_id order by ts, event_id) as n, count(*) over (partition by vehicle_id) as total from positions),
+w as (
+  select vehicle_id, n, total, lat as klat, lon as klon, true as keep from p where n = 1
+  union all
+  select p.vehicle_id, p.n, p.total, case when far then p.lat else p.klat end, case when far then p.lon else p.klon end, far
+  from (select p.*, w.klat, w.klon, {_HAVERSINE.format(a='p.', b='w.k')} >= 4000 as far from w join p on p.vehicle_id = w.vehicle_id and p.n = w.n + 1) p)
+select p.event_id, p.vehicle_id, p.ts, p.speed, p.lat, p.lon from w join p using (vehicle_id, n) where w.keep or w.n = w.total""")
 def trail_downsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.thin_trail(t.positions(spark, sf_dir), "vehicle_id", ["ts", "event_id"], least_m=4000.0)
 
@@ -162,32 +188,40 @@ def idle_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tele.idle_minutes(_placed(spark, sf_dir)).where("idle_min is not null").select("event_id", (F.floor(F.col("idle_min") * 1000) / 1000).alias("idle_min"))
 
 
-_FOUND_SQL = _IDLE_SQL + """
-, found as (
-  select event_id, vehicle_id, stop_id, ts, 'viteza' as type, case when speed > 110 then 'critical' else 'warning' end as severity from clocked where speed > 90
-  union all select event_id, vehicle_id, stop_id, ts, 'abatere_traseu', case when stop_m > 2400 then 'critical' else 'warning' end from clocked where stop_m > 800 and vehicle_id % 2 = 0
-  union all select event_id, vehicle_id, stop_id, ts, 'oprire_neplanificata', case when idle_min >= 40 then 'critical' else 'warning' end from clocked where speed <= 5 and stop_m > 800 and idle_min >= 20)"""
+_FOUND_SQL = _IDLE_SQL + f"""
+, {t.VEHICLE_PLAN_SQL}, known as (
+  select c.*, p.lat, p.lon, n.route_id, n.next_stop_id, (epoch_us(c.ts) - epoch_us(n.planned_at)) / 60000000 as behind, n.planned_at is not null as planned, n.opens,
+         {_HAVERSINE.format(a='p.', b='n.next_')} <= 150 as there, extract(hour from local) * 60 + extract(minute from local) as now, floor(idle_min + 0.5) as idle_m
+  from (select *, timezone('Europe/Bucharest', timezone('UTC', ts)) as local from clocked) c join positions p using (event_id) left join vplan n on n.vehicle_id = c.vehicle_id),
+found as (
+  select event_id, vehicle_id, route_id, null::bigint as stop_id, ts, 'viteza' as type, case when speed > 110 then 'critical' else 'warning' end as severity from known where speed > 90
+  union all select event_id, vehicle_id, route_id, next_stop_id, ts, 'intarziere', case when floor(behind + 0.5) >= 45 then 'critical' else 'warning' end from known where next_stop_id is not null and behind > 15 and not coalesce(there, false)
+  union all select event_id, vehicle_id, route_id, next_stop_id, ts, 'prea_devreme', 'info' from known where planned and there and now + 30 < opens
+  union all select event_id, vehicle_id, route_id, next_stop_id, ts, 'abatere_traseu', case when stop_m > 2400 then 'critical' else 'warning' end from known where stop_m > 800 and next_stop_id is not null
+  union all select event_id, vehicle_id, route_id, null, ts, 'oprire_neplanificata', case when idle_m >= 40 then 'critical' else 'warning' end from known where speed <= 5 and stop_m > 800 and idle_m >= 20
+  union all select event_id, vehicle_id, route_id, null, ts, 'stationare', case when idle_m >= 40 then 'critical' else 'warning' end from known where speed <= 5 and stop_m is null and idle_m >= 20)"""
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clocked = tele.idle_minutes(_placed(spark, sf_dir)).withColumn("has_open_stop", F.col("vehicle_id") % 2 == 0)
-    return tele.exceptions_of(clocked)
+    return tele.exceptions_of(tele.idle_minutes(_placed(spark, sf_dir)).join(t.vehicle_plan(spark, sf_dir), "vehicle_id", "left"))
 
 
-@query(_FOUND_SQL + " select event_id, vehicle_id, type, severity from found")
+@query(_FOUND_SQL + " select event_id, vehicle_id, route_id, stop_id, type, severity from found")
 def exceptions_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _found(spark, sf_dir).select("event_id", "vehicle_id", "type", "severity")
+    return _found(spark, sf_dir).drop("ts")
 
 
 @query(_FOUND_SQL + """
-, f as (select vehicle_id, type, case when vehicle_id % 3 <> 0 then vehicle_id % 4 end as stop_id, ts, event_id, severity from found), first as (select *, row_number() over (partition by vehicle_id, type, stop_id order by ts, event_id, severity) as k from f)
-select vehicle_id, type, stop_id, event_id, severity from first where k = 1 and not (type = 'viteza' and vehicle_id % 6 = 0)""")
+, first as (select *, row_number() over (partition by type, vehicle_id, route_id, stop_id order by ts, event_id, severity) as k from found)
+select type, vehicle_id, route_id, stop_id, event_id, severity from first where k = 1 and not (type = 'viteza' and vehicle_id % 6 = 0 and vehicle_id % 4 <> 0)""")
 def exception_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is open already: speeding of some vehicles on their route; of others it is open on another route, which is another matter."""
     v = F.col("vehicle_id")
-    stop = F.when(v % 3 != 0, v % 4)
-    found = _found(spark, sf_dir).withColumn("stop_id", stop)
-    open_ = t.positions(spark, sf_dir).where(v % 6 == 0).select("vehicle_id", F.lit("viteza").alias("type"), stop.alias("stop_id")).distinct()
-    return tele.new_exceptions(found, open_).select("vehicle_id", "type", "stop_id", "event_id", "severity")
+    plan = t.vehicle_plan(spark, sf_dir)
+    open_ = t.positions(spark, sf_dir).where(v % 6 == 0).select("vehicle_id").distinct().join(plan.select("vehicle_id", F.col("route_id").alias("_r")), "vehicle_id", "left")
+    route = F.when(v % 4 == 0, F.lit(-1).cast("long")).otherwise(F.col("_r"))
+    open_ = open_.select(F.lit("viteza").alias("type"), "vehicle_id", route.alias("route_id"), F.lit(None).cast("long").alias("stop_id"))
+    return tele.new_exceptions(_found(spark, sf_dir), open_).select("type", "vehicle_id", "route_id", "stop_id", "event_id", "severity")
 
 
 @query(f"with {t.POSITIONS_SQL}, r as (select *, row_number() over (partition by vehicle_id order by ts desc, event_id desc) as k from positions) select vehicle_id, event_id, speed, lat, lon from r where k = 1")
@@ -207,10 +241,18 @@ def sample_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(F.coalesce(tele.rejection(F.lit("2024-02-01").cast("timestamp")), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_FOUND_SQL + " select event_id, vehicle_id, route_id, stop_id, type, severity from found")
 def stream_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming twin over the events file, run to its end and returned as the table it filled."""
-    return exceptions_to_the_end(spark, sf_dir)
+    """The streaming twin over the events file, run to its end and returned as the table it filled; it finds what the batch finds."""
+    return exceptions_to_the_end(spark, sf_dir).drop("ts")
+
+
+@query("""
+with h as (select date_trunc('hour', ts) as start, count(*) as n, max(value) as fastest from events group by 1)
+select start, n, fastest from h where start + interval 1 hour <= (select max(ts) - interval 10 minutes from events)""")
+def stream_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples an hour, given out once the watermark has passed the hour."""
+    return hours_to_the_end(spark, sf_dir)
 
 
 @query("select p_partkey, trim(regexp_replace(translate(lower('Țară ' || p_name || ' -ÉÂ'), 'ăâîșşțţáàäãåéèêëíìïóòôöõúùûüçñýÿ', 'aaissttaaaaaeeeeiiiooooouuuucnyy'), '[^a-z0-9]+', ' ', 'g')) as folded from part")
@@ -218,9 +260,16 @@ def fold_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.fold(F.concat(F.lit("Țară "), "p_name", F.lit(" -ÉÂ"))).alias("folded"))
 
 
-@query("select p_partkey, floor((1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))) * 10000 + 0.5) / 10000 as similarity_score from part")
+@query("""
+with x as (select p_partkey, case when p_partkey % 7 = 0 then '' else 'Șoseaua  ' || p_name end as a, case when p_partkey % 11 = 0 then null else 'soseaua ' || p_type || case when p_partkey % 3 = 0 then ' Ț' else '' end end as b from part),
+f as (select p_partkey, case when a = '' then '' else 'soseaua ' || lower(p_name) end as a, case when b is null then '' else 'soseaua ' || lower(p_type) || case when p_partkey % 3 = 0 then ' t' else '' end end as b from x join part using (p_partkey))
+select p_partkey, case when a = '' or b = '' then 0 else floor((1 - levenshtein(a, b) / greatest(length(a), length(b))) * 10000 + 0.5) / 10000 end as similarity_score from f""")
 def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", half_up(text.similarity(F.col("p_name"), F.col("p_type")), 4).alias("similarity_score"))
+    """Names without case and marks; an empty one is like nothing."""
+    k = F.col("p_partkey")
+    a = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("Șoseaua  "), "p_name"))
+    b = F.when(k % 11 != 0, F.concat(F.lit("soseaua "), "p_type", F.when(k % 3 == 0, " Ț").otherwise("")))
+    return table(spark, sf_dir, "part").select("p_partkey", half_up(text.similarity(a, b), 4).alias("similarity_score"))
 
 
 _NUMBERS = [("1.234,56", 1234.56, 1234.56), ("1,234.56", 1234.56, 1234.56), ("1.234", 1234.0, 1.234), ("12,5", 12.5, 12.5), ("1.234.567", 1234567.0, None), ("12.5", 12.5, 12.5), ("1,2,3", None, None), ("abc", None, None), ("1.2.34", 12.34, None), ("-7,25", -7.25, -7.25)]
@@ -276,14 +325,14 @@ def _printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, v = F.col("goods_id"), F.col("vehicle_id")
     note = F.concat(
         F.when(g % 5 != 0, F.concat(F.lit("TPO: "), (F.col("tpo_id") + 1000000).cast("string"), F.lit("\n"))).otherwise(""),
-        F.lit("Aviz nr. A-"), (g + 100).cast("string"), F.lit("\nB "), F.lpad((v % 900 + 10).cast("string"), 2, "0"), F.lit(" XYZ\n"), F.date_format("run_date", "dd.MM.yyyy"),
+        F.when(g % 4 != 0, "Aviz nr. PSL-").otherwise("Aviz nr. A-"), (g + 100).cast("string"), F.lit("\nB "), F.lpad((v % 900 + 10).cast("string"), 2, "0"), F.lit(" XYZ\n"), F.date_format("run_date", "dd.MM.yyyy"),
         F.lit("\nbrut "), (F.col("km").cast("int") * 100).cast("string"), F.lit(" kg net "), (F.col("km").cast("int") * 100 - 50 + g % 7 * 20).cast("string"), F.lit(" kg, "), (g % 33 + 1).cast("string"), F.lit(" paleti"),
     )
     return t.runs(spark, sf_dir).select("tpo_id", "line", "goods_id", "vehicle_id", "run_date", "km", note.alias("text"))
 
 
 @query("""
-select l_orderkey as tpo_id, l_linenumber as line, l_partkey as goods_id, l_suppkey as vehicle_id, case when l_partkey % 5 <> 0 then (l_orderkey + 1000000)::varchar end as tpo, 'A-' || (l_partkey + 100)::varchar as doc_no,
+select l_orderkey as tpo_id, l_linenumber as line, l_partkey as goods_id, l_suppkey as vehicle_id, case when l_partkey % 5 <> 0 then (l_orderkey + 1000000)::varchar end as tpo, case when l_partkey % 4 <> 0 then 'PSL-' else 'A-' end || (l_partkey + 100)::varchar as doc_no,
        'B' || lpad((l_suppkey % 900 + 10)::varchar, 2, '0') || 'XYZ' as plate, cast(l_shipdate as date) as doc_date, l_quantity::int * 100.0::double as gross_kg, l_quantity::int * 100 - 50 + l_partkey % 7 * 20.0::double as net_kg, (l_partkey % 33 + 1)::int as pallets
 from lineitem""")
 def field_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,16 +346,17 @@ def _fields(notes: DataFrame) -> DataFrame:
 
 
 @query("""
-with d as (select l_partkey % 5 <> 0 as has_tpo, l_quantity::int * 100 as g, l_quantity::int * 100 - 50 + l_partkey % 7 * 20 as n, l_shipdate, 0.4 + (l_partkey % 60) / 100.0 as c1, 0.5 + (l_suppkey % 50) / 100.0 as c2 from lineitem),
-w as (select greatest(case when not has_tpo or g < n or cast(l_shipdate as date) > date '2001-01-02' then 2 when year(l_shipdate) < 2000 then 1 else 0 end,
-                      case when c1 >= 0.8 then 0 when c1 >= 0.55 then 1 else 2 end, case when c2 >= 0.8 then 0 when c2 >= 0.5 then 1 else 1 end) as worst, (not has_tpo)::int as e1, (g < n)::int as e2, (cast(l_shipdate as date) > date '2001-01-02')::int as e3 from d)
-select ['auto', 'hitl_optional', 'hitl_required'][worst + 1] as routing, count(*) as n, sum(e1)::bigint as tpo_missing, sum(e2)::bigint as gross_below_net, sum(e3)::bigint as date_in_future from w group by 1""")
+with d as (select l_partkey % 5 <> 0 as has_tpo, l_partkey % 4 <> 0 as has_no, l_quantity::int * 100 as g, l_quantity::int * 100 - 50 + l_partkey % 7 * 20 as n, cast(l_shipdate as date) as day, 0.4 + (l_partkey % 60) / 100.0 as c1, 0.4 + (l_suppkey % 60) / 100.0 as c2 from lineitem),
+w as (select greatest(case when not has_tpo or g + 0.05 < n or year(day) <> 2000 or day > date '2000-07-02' then 2 when not has_no then 1 else 0 end,
+                      case when c1 >= 0.8 then 0 when c1 >= 0.55 then 1 else 2 end, case when c2 >= 0.8 then 0 when c2 >= 0.5 then 1 else 2 end) as worst, (not has_tpo)::int as e1, (g + 0.05 < n)::int as e2, (year(day) <> 2000)::int as e3, (year(day) = 2000 and day > date '2000-07-02')::int as e4 from d)
+select ['auto', 'hitl_optional', 'hitl_required'][worst + 1] as routing, count(*) as n, sum(e1)::bigint as tpo_missing, sum(e2)::bigint as gross_below_net, sum(e3)::bigint as date_wrong_year, sum(e4)::bigint as date_in_future from w group by 1""")
 def validate_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes read from their text, put to the rules and routed; pallets stand for the quantity."""
     g, v = F.col("goods_id"), F.col("vehicle_id")
-    docs = documents.extract_fields(_printed(spark, sf_dir)).withColumns({"c1": F.lit(0.4) + (g % 60) / 100.0, "c2": F.lit(0.5) + (v % 50) / 100.0})
-    routed = documents.route_to_review(documents.findings(docs, "2001-01-01"), {"c1": True, "c2": False})
+    docs = documents.extract_fields(_printed(spark, sf_dir)).withColumns({"quantity": F.col("pallets"), "c1": F.lit(0.4) + (g % 60) / 100.0, "c2": F.lit(0.4) + (v % 60) / 100.0})
+    routed = documents.route_to_review(documents.findings(docs, "2000-07-01"), {"c1": True, "c2": False})
     has = lambda rule: F.count_if(F.exists("findings", lambda f: f["rule"] == rule)).alias(rule)
-    return routed.groupBy("routing").agg(F.count("*").alias("n"), has("tpo_missing"), has("gross_below_net"), has("date_in_future"))
+    return routed.groupBy("routing").agg(F.count("*").alias("n"), has("tpo_missing"), has("gross_below_net"), has("date_wrong_year"), has("date_in_future"))
 
 
 @query("""
@@ -320,12 +370,12 @@ def duplicates_90d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with r(rule_id, toks, updated_at, pos) as (values (1, ['ring'], timestamp '2024-01-01', 0), (2, ['small', 'ring'], timestamp '2024-01-01', 1), (3, ['red'], timestamp '2024-01-02', 2), (4, ['red'], timestamp '2024-01-02', 3), (5, ['blue', 'ring'], timestamp '2023-01-01', 4)),
-h as (select p_partkey, rule_id, row_number() over (partition by p_partkey order by len(toks) desc, updated_at desc, pos desc) as k from part, r where len(list_filter(toks, lambda x: not list_contains(string_split(lower(p_name), ' '), x))) = 0)
+with r(rule_id, toks, vetoes, updated_at, pos) as (values (1, ['ring'], ['blue'], timestamp '2024-01-01', 0), (2, ['small', 'ring'], ['none'], timestamp '2024-01-01', 1), (3, ['red'], ['none'], timestamp '2024-01-02', 2), (4, ['red'], ['ring', 'widget'], timestamp '2024-01-02', 3), (5, ['blue', 'ring'], ['none'], timestamp '2023-01-01', 4)),
+h as (select p_partkey, rule_id, row_number() over (partition by p_partkey order by len(toks) desc, updated_at desc, pos desc) as k from part, r where len(list_filter(toks, lambda x: not list_contains(string_split(lower(p_name), ' '), x))) = 0 and len(list_filter(vetoes, lambda x: list_contains(string_split(lower(p_name), ' '), x))) = 0)
 select p.p_partkey, h.rule_id from part p left join h on h.p_partkey = p.p_partkey and k = 1""")
 def rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame([(1, ["ring"], "2024-01-01", 0), (2, ["small", "ring"], "2024-01-01", 1), (3, ["red"], "2024-01-02", 2), (4, ["red"], "2024-01-02", 3), (5, ["blue", "ring"], "2023-01-01", 4)], "rule_id int, tokens array<string>, updated_at string, pos int").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
-    return documents.matching_rule(table(spark, sf_dir, "part").select("p_partkey", "p_name"), rules, "p_name").select("p_partkey", "rule_id")
+    rules = spark.createDataFrame([(1, ["ring"], ["blue"], "2024-01-01", 0), (2, ["small", "ring"], None, "2024-01-01", 1), (3, ["red"], [], "2024-01-02", 2), (4, ["red"], ["ring", "widget"], "2024-01-02", 3), (5, ["blue", "ring"], None, "2023-01-01", 4)], "rule_id int, tokens array<string>, vetoes array<string>, updated_at string, pos int").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    return documents.matching_rule(table(spark, sf_dir, "part").select("p_partkey", "p_name"), rules, "p_partkey", "p_name").select("p_partkey", "rule_id")
 
 
 @query("select p_partkey, p_name || ' / ' || p_type || ' - ' || p_brand as route, 3 as n_places, p_name as origin, p_brand as destination from part")
@@ -364,14 +414,32 @@ def packer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.pack(items, "route_id", 6.0, 2.4, 2.4)
 
 
-@query()
+@query("""
+with recursive v as (select s_nationkey as depot, s_suppkey as vehicle_id, s_suppkey * 7 % 1500 as preferred, row_number() over (partition by s_nationkey order by s_suppkey) as n from supplier where s_nationkey in (select c_nationkey from customer)),
+d as (select c_nationkey as depot, list(c_custkey order by c_custkey) as drivers from customer group by 1),
+w as (
+  select depot, 0::bigint as n, null::bigint as vehicle_id, null::bigint as driver_id, []::bigint[] as taken, drivers from d
+  union all
+  select depot, n, vehicle_id, pick, case when pick is null then taken else list_append(taken, pick) end, drivers
+  from (select w.depot, v.n, v.vehicle_id, w.taken, w.drivers, case when list_contains(w.drivers, v.preferred) and not list_contains(w.taken, v.preferred) then v.preferred else list_filter(w.drivers, lambda x: not list_contains(w.taken, x))[1] end as pick
+        from w join v on v.depot = w.depot and v.n = w.n + 1))
+select vehicle_id, driver_id from w where n > 0
+union all select s_suppkey, null from supplier where s_nationkey not in (select c_nationkey from customer)""")
 def driver_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     vehicles = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("depot"), F.col("s_suppkey").alias("vehicle_id"), (F.col("s_suppkey") * 7 % 1500).alias("preferred"))
     drivers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("depot"), F.col("c_custkey").alias("driver_id"))
     return planning.assign_drivers(vehicles, drivers, "depot")
 
 
-@query()
+@query(f"""
+with recursive {_SEQ_SQL}, p as (select route_id, seq, 44 + goods_id * 37 % 1000 / 500 as lat, 25 + place * 91 % 1000 / 500 as lon from stops),
+s as (select route_id, list({{'seq': seq, 'lat': lat, 'lon': lon}} order by seq) as all_ from p group by 1),
+w as (
+  select route_id, 1::bigint as visit, all_[1] as now, list_filter(all_, lambda x: x.seq <> 1) as togo from s
+  union all
+  select route_id, visit + 1, {{'seq': best.seq, 'lat': best.lat, 'lon': best.lon}}, list_filter(togo, lambda x: x.seq <> best.seq)
+  from (select route_id, visit, togo, list_sort(list_transform(togo, lambda x: {{'d': power(x.lat - w.now.lat, 2) + power(x.lon - w.now.lon, 2), 'seq': x.seq, 'lat': x.lat, 'lon': x.lon}}))[1] as best from w where len(togo) > 0) b)
+select route_id, now.seq as stop_id, visit::int as visit from w""")
 def route_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _stops(spark, sf_dir)
     return planning.nearest_neighbour_order(s.select("route_id", F.col("seq").cast("long").alias("stop_id"), "seq", (44 + F.col("goods_id") * 37 % 1000 / 500).alias("lat"), (25 + F.col("place") * 91 % 1000 / 500).alias("lon")), "route_id")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulspark.operators.telematics import next_open_stops
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -156,3 +158,24 @@ vstops as (
          44.0::double + ((vehicle_id * 13 + k * 333) % 1000) / 10000.0::double as lat, 26.0::double + ((vehicle_id * 29 + k * 333) % 1000) / 10000.0::double as lon
   from (select distinct user_id as vehicle_id from events), range(3) t(k)
 )"""
+
+
+def vehicle_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next stop that every other vehicle owes: one of its own, planned within January, with a window that opens at some half hour."""
+    v = F.col("vehicle_id")
+    stops = vehicle_stops(spark, sf_dir).where(v % 2 == 0).select(
+        "vehicle_id", "stop_id", "lat", "lon", (F.col("stop_id") - v * 10).alias("seq"), (v * 7).alias("route_id"),
+        F.when(F.col("stop_id") - v * 10 < v % 3, "finalizat").otherwise("planificat").alias("status"), F.lit("livrare").alias("kind"),
+        F.when(v % 10 != 0, F.lit("2024-01-02").cast("timestamp") + F.make_dt_interval(days=(v % 28).cast("int"), hours=(v % 24).cast("int"))).alias("planned_at"),
+        F.when(v % 6 != 0, F.concat(F.lpad((v % 24).cast("string"), 2, "0"), F.lit(":30:00"))).alias("window_start"),
+    )
+    return next_open_stops(stops)
+
+
+VEHICLE_PLAN_SQL = """
+vplan as (
+  select vehicle_id, vehicle_id * 7 as route_id, stop_id as next_stop_id, lat as next_lat, lon as next_lon,
+         case when vehicle_id % 10 <> 0 then timestamp '2024-01-02' + to_days(cast(vehicle_id % 28 as int)) + to_hours(cast(vehicle_id % 24 as int)) end as planned_at,
+         case when vehicle_id % 6 <> 0 then vehicle_id % 24 * 60 + 30 end as opens
+  from vstops where vehicle_id % 2 = 0 and stop_id - vehicle_id * 10 = vehicle_id % 3
+)"""

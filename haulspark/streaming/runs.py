@@ -1,25 +1,54 @@
-"""Streams over the test tables, run until their files are read."""
+"""Streams run until their files are read, and sinks for live screens."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulspark.sources import tables as t
-from haulspark.streaming.telematics import stream_exceptions
+from haulspark.sources.shared import shared_root
+from haulspark.streaming.telematics import counted_by_hour, stream_exceptions
 
 
-def exceptions_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exceptions of the events as a stream, collected by a memory sink; for tests and demonstration."""
+def run_to_the_end(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream in append mode gives for all there is to read, as a Parquet table in the shared folder."""
+    folder = f"{shared_root(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def publish(stream: DataFrame, company: str, send: Callable[[str, list[dict]], None], folder: str, most: int = 1000):
+    """A live sink: each micro-batch's newest rows (at most ``most`` a company, as a screen shows no more) are sent once a company.
+
+    ``folder`` keeps the stream's place; a batch that is tried again is sent again.
+    """
+
+    def each(batch: DataFrame, _: int) -> None:
+        newest = batch.groupBy(company).agg(F.slice(F.sort_array(F.collect_list(F.struct("ts", F.to_json(F.struct(*batch.columns)).alias("row"))), asc=False), 1, most).alias("rows"))
+        for r in newest.toLocalIterator():
+            send(r[company], [x["row"] for x in r["rows"]])
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", folder).outputMode("append")
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    samples = events.select(
+    return events.select(
         "event_id", F.col("user_id").alias("vehicle_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("speed"),
         (44.0 + (F.col("event_id") * 37 % 1000) / 10000.0).alias("lat"), (26.0 + (F.col("event_id") * 91 % 1000) / 10000.0).alias("lon"),
     )
-    name = f"exceptions_{uuid.uuid4().hex}"
-    run = stream_exceptions(samples, t.vehicle_stops(spark, sf_dir)).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+
+
+def exceptions_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exceptions of the events as a stream."""
+    return run_to_the_end(stream_exceptions(_samples(spark, sf_dir), t.vehicle_stops(spark, sf_dir), t.vehicle_plan(spark, sf_dir)), "exceptions")
+
+
+def hours_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples an hour of the events as a stream; the last hours, which the watermark has not passed, are not given out."""
+    return run_to_the_end(counted_by_hour(_samples(spark, sf_dir)), "hours")

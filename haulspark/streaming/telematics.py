@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from haulspark.operators.telematics import AT_STOP, IDLE_SPEED, exceptions_of, nearest_stop
 from haulspark.sources.shipping import ship_package
 
-_OUT = "event_id long, vehicle_id long, ts timestamp, speed double, lat double, lon double, stop_id long, stop_m double, has_open_stop boolean, idle_min double"
+_PLAN = "route_id long, next_stop_id long, next_lat double, next_lon double, planned_at timestamp, window_start string"
+_OUT = f"event_id long, vehicle_id long, ts timestamp, speed double, lat double, lon double, stop_id long, stop_m double, {_PLAN}, idle_min double"
 
 
 def _idle_clock(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,19 +37,25 @@ def _idle_clock(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     yield rows.assign(idle_min=minutes)
 
 
-def stream_exceptions(positions: DataFrame, stops: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Exceptions of a stream of positions (event_id, vehicle_id, ts, speed, lat, lon) against a static table of stops.
+def stream_exceptions(positions: DataFrame, stops: DataFrame, plan: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Exceptions of a stream of positions (event_id, vehicle_id, ts, speed, lat, lon) against static tables of stops and of next stops (``next_open_stops``).
 
-    A watermark of ``late`` on ``ts`` is our addition. The stops join is stream to static; state is one instant a
-    vehicle. Samples of one micro-batch are taken in order of time.
+    A watermark of ``late`` on ``ts`` is our addition. The joins are stream to static; state is one instant a vehicle.
+    Samples of one micro-batch are taken in order of time, those of one vehicle in one call.
     """
     ship_package(positions.sparkSession)
-    placed = nearest_stop(positions.withWatermark("ts", late), stops)
-    placed = placed.withColumn("has_open_stop", F.col("stop_id").isNotNull()).select("event_id", "vehicle_id", "ts", "speed", "lat", "lon", "stop_id", "stop_m", "has_open_stop")
-    clocked = placed.groupBy("vehicle_id").applyInPandasWithState(_idle_clock, _OUT, "since long", "append", GroupStateTimeout.NoTimeout)
+    placed = nearest_stop(positions.withWatermark("ts", late), stops).join(plan, "vehicle_id", "left")
+    columns = [part.split()[0] for part in _OUT.split(", ")][:-1]
+    clocked = placed.select(*columns).groupBy("vehicle_id").applyInPandasWithState(_idle_clock, _OUT, "since long", "append", GroupStateTimeout.NoTimeout)
     return exceptions_of(clocked)
 
 
+def counted_by_hour(positions: DataFrame, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """``start, n, fastest`` of the samples of each hour (every ``slide``, if given); a window is given out once the watermark has passed it, and what comes later is dropped."""
+    window = F.window("ts", "1 hour", slide) if slide else F.window("ts", "1 hour")
+    return positions.withWatermark("ts", late).groupBy(window).agg(F.count("*").alias("n"), F.max("speed").alias("fastest")).select(F.col("window.start").alias("start"), "n", "fastest")
+
+
 def stream_latest(positions: DataFrame, key: str = "vehicle_id") -> DataFrame:
     """The newest sample of each vehicle, for a sink in update mode."""
     return positions.groupBy(key).agg(F.max(F.struct("ts", "event_id", "speed", "lat", "lon")).alias("p")).select(key, "p.*")
