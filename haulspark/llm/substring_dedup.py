@@ -83,7 +83,7 @@ def _describe(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in runs_of_texts(batch.column("text"), 1 << 22):
+            for lo, hi, data, offsets in runs_of_texts(batch.column("text")):
                 ids, keys = batch.column("id")[lo:hi], batch.column("text_key")[lo:hi]
                 words = Words(data, offsets, lower=False)
                 whole = data.tobytes()
@@ -266,7 +266,7 @@ def _remove(with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_words: int = 1 << 19, most_words: int = 1 << 20, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, shard_words: int = 1 << 18, most_words: int = 1 << 20, with_text: bool = False) -> DataFrame:
     """Removes words covered by a window of ``window`` (2 or more) words whose sequence also starts in a text with a smaller id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; a null text has none. Windows are judged on the input. Returns one row
