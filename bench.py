@@ -1,6 +1,5 @@
 """Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one line of JSON."""
 
-import importlib.util
 import json
 import os
 import sys
@@ -31,10 +30,11 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries = {name: QUERIES[name] for name in HEADLINE}
-    if importlib.util.find_spec("haulspark.llm") is not None:
+    try:
         from haulspark.llm.queries import QUERIES as LLM
-
-        queries |= LLM
+    except ImportError:
+        LLM = {}
+    queries |= LLM
     run = lambda f: f(spark, sf_dir).write.format("noop").mode("overwrite").save()
     run(queries["cockpit_kpis"])  # starts the session's code
     seconds = {}

@@ -154,12 +154,17 @@ def parse(text: Column) -> Column:
         )
 
     start = F.struct(F.lit(None).cast("string").alias("city"), F.lit(False).alias("known"), F.lit(None).cast("string").alias("county"), F.lit(False).alias("rural"), F.array().cast("array<string>").alias("streets"))
-    done = F.transform(F.array(F.aggregate(told, start, step)), lambda s: F.struct(F.nullif(F.array_join(s["streets"], ", "), F.lit("")).alias("street"), s.alias("s")))
-    with_words = F.transform(done, lambda d: F.struct(d["street"].alias("street"), d["s"].alias("s"), words(d["street"]).alias("words")))[0]
-    return F.struct(
-        with_words["street"].alias("street"), with_words["s"]["city"].alias("city"), with_words["s"]["county"].alias("county"), F.nullif(F.regexp_extract(raw, r"\b([0-9]{6})\b", 1), F.lit("")).alias("postcode"),
-        house_number(with_words["words"]).alias("house_number"), with_words["s"]["rural"].alias("is_rural"), with_words["s"]["known"].alias("city_known"),
-        F.arrays_overlap(with_words["words"], F.array(*[F.lit(k) for k in STREET_KINDS])).alias("has_street_kind"), raw.alias("raw"),
+    # each step is bound to a variable, so that none is written out, or worked out, more than once
+    bound = lambda value, f: F.transform(F.array(value), f)[0]
+    done = bound(F.aggregate(told, start, step), lambda s: F.struct(F.nullif(F.array_join(s["streets"], ", "), F.lit("")).alias("street"), s["city"].alias("city"), s["county"].alias("county"), s["rural"].alias("rural"), s["known"].alias("known")))
+    with_words = bound(done, lambda d: F.struct(d.alias("d"), words(d["street"]).alias("words")))
+    return bound(
+        with_words,
+        lambda x: F.struct(
+            x["d"]["street"].alias("street"), x["d"]["city"].alias("city"), x["d"]["county"].alias("county"), F.nullif(F.regexp_extract(raw, r"\b([0-9]{6})\b", 1), F.lit("")).alias("postcode"),
+            house_number(x["words"]).alias("house_number"), x["d"]["rural"].alias("is_rural"), x["d"]["known"].alias("city_known"),
+            F.arrays_overlap(x["words"], F.array(*[F.lit(k) for k in STREET_KINDS])).alias("has_street_kind"), raw.alias("raw"),
+        ),
     )
 
 

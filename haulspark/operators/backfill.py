@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from haulspark.functions.address import address_key, parse, quality
 from haulspark.functions.numeric import exact_sum, half_up
 from haulspark.functions.text import unmarked
+from haulspark.sources.shared import settled
 
 
 def candidates(clients: DataFrame, trips: DataFrame) -> DataFrame:
@@ -34,9 +35,10 @@ def candidates(clients: DataFrame, trips: DataFrame) -> DataFrame:
 
 
 def assessed(rows: DataFrame) -> DataFrame:
-    """Candidates with ``parsed``, ``address_key``, ``score``, ``tier`` and ``flags``."""
-    told = rows.withColumn("parsed", parse(F.col("address")))
-    return told.withColumn("_q", quality(F.col("parsed"))).withColumns({"address_key": address_key(F.col("parsed")), "score": F.col("_q.score"), "tier": F.col("_q.tier"), "flags": F.col("_q.flags")}).drop("_q")
+    """Candidates with ``parsed``, ``address_key``, ``score``, ``tier`` and ``flags``, as a table in the shared folder: what follows reads it more than once."""
+    told = F.transform(F.array(parse(F.col("address"))), lambda p: F.struct(p.alias("parsed"), address_key(p).alias("address_key"), quality(p).alias("q")))[0]
+    out = rows.withColumn("_a", told).select(*rows.columns, "_a.parsed", "_a.address_key", "_a.q.score", "_a.q.tier", "_a.q.flags")
+    return settled(out)
 
 
 def one_an_address(rows: DataFrame, existing: DataFrame) -> DataFrame:

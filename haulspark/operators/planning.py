@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -88,10 +90,11 @@ def hull(points: DataFrame, group: str) -> DataFrame:
 
 
 def pack(items: DataFrame, route: str, length: float, width: float, height: float) -> DataFrame:
-    """Places of a route's boxes (item_id, stop_seq, l, w, h) in a hold; what does not fit has nulls.
+    """Places of a route's boxes (item_id, stop_seq, l, w, h, and perhaps tip) in a hold; what does not fit has nulls.
 
-    Last stops are loaded first. A box takes, of two rotations, the free corner with the smallest height, then depth,
-    then side, where at least half its base is carried. Returns ``item_id, x, y, z, dl, dw, dh``; one route is one group.
+    Last stops are loaded first. A box takes, of two rotations, or of six if it may tip, the free corner with the smallest
+    height, then depth, then side, where at least half its base is carried. Returns ``item_id, x, y, z, dl, dw, dh``;
+    one route is one group.
     """
 
     def load(key: object, rows: Rows) -> list[tuple]:
@@ -102,18 +105,19 @@ def pack(items: DataFrame, route: str, length: float, width: float, height: floa
         for i in order:
             l, w, h = rows["l"][i], rows["w"][i], rows["h"][i]  # noqa: E741
             best = None
-            for dl, dw in dict.fromkeys([(l, w), (w, l)]):
+            tips = "tip" in rows and rows["tip"][i]
+            for dl, dw, dh in dict.fromkeys(permutations((l, w, h)) if tips else [(l, w, h), (w, l, h)]):
                 for x, y, z in corners:
-                    if x + dl > length + 1e-9 or y + dw > width + 1e-9 or z + h > height + 1e-9:
+                    if x + dl > length + 1e-9 or y + dw > width + 1e-9 or z + dh > height + 1e-9:
                         continue
-                    score = (z * 1e6 + x * 1e3 + y, dl)
+                    score = (z * 1e6 + x * 1e3 + y, dl, dw)
                     if best is not None and score >= best[0]:
                         continue
-                    if any(x < q[0] + q[3] - 1e-9 and q[0] < x + dl - 1e-9 and y < q[1] + q[4] - 1e-9 and q[1] < y + dw - 1e-9 and z < q[2] + q[5] - 1e-9 and q[2] < z + h - 1e-9 for q in placed):
+                    if any(x < q[0] + q[3] - 1e-9 and q[0] < x + dl - 1e-9 and y < q[1] + q[4] - 1e-9 and q[1] < y + dw - 1e-9 and z < q[2] + q[5] - 1e-9 and q[2] < z + dh - 1e-9 for q in placed):
                         continue
                     carried = sum(max(0, min(x + dl, q[0] + q[3]) - max(x, q[0])) * max(0, min(y + dw, q[1] + q[4]) - max(y, q[1])) for q in placed if abs(q[2] + q[5] - z) <= 0.02)
                     if z <= 0.02 or carried >= 0.5 * dl * dw:
-                        best = (score, (x, y, z, dl, dw, h))
+                        best = (score, (x, y, z, dl, dw, dh))
             if best is None:
                 out.append((key, rows["item_id"][i], *[None] * 6))
                 continue
@@ -126,17 +130,52 @@ def pack(items: DataFrame, route: str, length: float, width: float, height: floa
     return walk_groups(items, route, ["stop_seq", "item_id"], load, f"{route} long, item_id long, x double, y double, z double, dl double, dw double, dh double")
 
 
+def grid_load(items: DataFrame, plan: str, length: float, width: float, height: float, cell: float = 0.2) -> DataFrame:
+    """Places of a plan's boxes (item_id, stop_seq, l, w, h, stackable) on a grid of ``cell`` metres, first fit; what does not fit has nulls.
+
+    Last stops are loaded first. A box takes the first cells, front to back and side to side, whose tops are level and may carry, in either of two
+    directions. Returns ``item_id, x, y, z, dl, dw, dh``; one plan is one group.
+    """
+    nx, ny = int(length / cell + 1e-9), int(width / cell + 1e-9)
+
+    def load(key: object, rows: Rows) -> list[tuple]:
+        top, open_ = np.zeros((nx, ny)), np.ones((nx, ny), bool)
+        out = []
+        for i in sorted(range(len(rows["item_id"])), key=lambda i: (-rows["stop_seq"][i], rows["item_id"][i])):
+            l, w, h = rows["l"][i], rows["w"][i], rows["h"][i]  # noqa: E741
+            place = None
+            for dl, dw in dict.fromkeys([(l, w), (w, l)]):
+                a, b = int(np.ceil(dl / cell - 1e-9)), int(np.ceil(dw / cell - 1e-9))
+                if a > nx or b > ny:
+                    continue
+                tops = np.lib.stride_tricks.sliding_window_view(top, (a, b))
+                fits = (tops.max(axis=(2, 3)) == tops.min(axis=(2, 3))) & np.lib.stride_tricks.sliding_window_view(open_, (a, b)).all(axis=(2, 3)) & (tops[:, :, 0, 0] + h <= height + 1e-9)
+                at = np.argwhere(fits)
+                if len(at) and (place is None or tuple(at[0]) < place[0]):
+                    place = (tuple(at[0]), a, b, dl, dw)
+            if place is None:
+                out.append((key, rows["item_id"][i], *[None] * 6))
+                continue
+            (x, y), a, b, dl, dw = place
+            z = float(top[x, y])
+            top[x : x + a, y : y + b] = z + h
+            open_[x : x + a, y : y + b] = bool(rows["stackable"][i])
+            out.append((key, rows["item_id"][i], round(x * cell, 6), round(y * cell, 6), z, dl, dw, h))
+        return out
+
+    return walk_groups(items, plan, ["stop_seq", "item_id"], load, f"{plan} long, item_id long, x double, y double, z double, dl double, dw double, dh double")
+
+
 def assign_drivers(vehicles: DataFrame, drivers: DataFrame, depot: str) -> DataFrame:
     """One pass over a depot's vehicles in order: the preferred driver if still free, else the next free one."""
     ship_package(vehicles.sparkSession)
 
     def give(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = right.sort_values("driver_id")["driver_id"].tolist()
-        out = []
+        drivers_ = right.sort_values("driver_id")["driver_id"].tolist()
+        free, following, out = set(drivers_), iter(drivers_), []
         for v in left.sort_values("vehicle_id").itertuples():
-            chosen = v.preferred if v.preferred in free else free[0] if free else None
-            if chosen is not None:
-                free.remove(chosen)
+            chosen = v.preferred if v.preferred in free else next((d for d in following if d in free), None)
+            free.discard(chosen)
             out.append((v.vehicle_id, chosen))
         return pd.DataFrame(out, columns=["vehicle_id", "driver_id"]).astype({"driver_id": "Int64"})
 

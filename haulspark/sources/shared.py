@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,16 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage ends there, and its rows no longer depend on scheduling."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """``df`` as Parquet in the shared folder: its lineage ends there, it is worked out once, and its rows no longer depend on scheduling."""
+    path = f"{shared_root(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    atexit.register(_remove, df.sparkSession, path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session may have ended before the interpreter
+        pass
