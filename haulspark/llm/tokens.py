@@ -66,7 +66,7 @@ class Words:
         return mix(raw + (self.ends - self.starts).astype(_U))
 
 
-def runs_of_texts(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs_of_texts(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, text offsets) of consecutive rows of about ``most_bytes``; a longer text is alone."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
