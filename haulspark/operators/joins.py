@@ -17,11 +17,12 @@ from haulspark.functions.text import fold, hamming, similarity
 SMALL_BYTES = 32 << 20
 
 
-def small(packed: DataFrame, rows: DataFrame, most_bytes: int = SMALL_BYTES) -> DataFrame:
-    """``packed``, made of ``rows``, with a broadcast hint if these take no more than ``most_bytes``; above, Spark joins by shuffle.
+def small(packed: DataFrame, rows: DataFrame | None = None, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """``packed``, made of ``rows`` (or those itself), with a broadcast hint if these take no more than ``most_bytes``; above, Spark joins by shuffle.
 
     The rows are measured, not counted: they may hold arrays and texts of any length. One pass without a shuffle decides.
     """
+    rows = packed if rows is None else rows
     size = rows.agg(F.coalesce(F.sum(F.length(F.to_json(F.struct(*rows.columns)))), F.lit(0))).first()[0]
     return F.broadcast(packed) if size <= most_bytes else packed
 
