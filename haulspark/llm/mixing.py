@@ -80,20 +80,17 @@ def balance(sizes: DataFrame, sources: DataFrame, limit: float, scratch: Scratch
     )
     state = scratch.save(state, "dual-0")
     for k in range(1, MOST_STEPS):
-        got = scratch.save(_moments(sizes, state, limit), f"moments-{k}")
         apart = F.abs(F.col("words") - F.col("target")) / F.col("target")
-        worst = got.agg(F.max(F.when(F.col("low") < F.col("high"), apart))).first()[0]
-        if worst is None or worst <= CLOSE:
-            break
         under = F.col("words") < F.col("target")
         low, high = F.when(under, F.greatest("low", "m")).otherwise(F.col("low")), F.when(under, F.col("high")).otherwise(F.least("high", "m"))
         newton = F.col("m") - (F.log("words") - F.log("target")) * F.col("words") / F.nullif(F.col("slope"), F.lit(0.0))
-        told = got.withColumns({"lo": low, "hi": high, "newton": newton})
+        told = _moments(sizes, state, limit).withColumns({"lo": low, "hi": high, "newton": newton, "open": (apart > CLOSE) & (F.col("low") < F.col("high"))})
         inside = F.col("newton").isNotNull() & (F.col("newton") > F.col("lo")) & (F.col("newton") < F.col("hi"))
-        m = F.when((F.col("low") >= F.col("high")) | (apart <= CLOSE), F.col("m")).when(inside, F.col("newton")).otherwise((F.col("lo") + F.col("hi")) / 2)
-        after = scratch.save(told.select("source", "target", "most", m.alias("m"), F.col("lo").alias("low"), F.col("hi").alias("high")), f"dual-{k}")
-        scratch.drop(f"dual-{k - 1}", f"moments-{k}")
-        state = after
+        m = F.when(~F.col("open"), F.col("m")).when(inside, F.col("newton")).otherwise((F.col("lo") + F.col("hi")) / 2)
+        state = scratch.save(told.select("source", "target", "most", m.alias("m"), F.col("lo").alias("low"), F.col("hi").alias("high"), "open"), f"dual-{k}")
+        scratch.drop(f"dual-{k - 1}")
+        if not state.where("open").limit(1).count():
+            break
     return state.select("source", F.col("m").alias("multiplier"))
 
 
