@@ -11,6 +11,7 @@ from haulspark.llm.quality import op6_quality_classifier
 from haulspark.llm.sentencepiece_codec import op7_sentencepiece
 from haulspark.llm.substring_dedup import OP5_SQL, op5_substring_dedup
 from haulspark.llm.url_filter import OP3_SQL, op3_url_filter
+from haulspark.llm.vector_codes import OP13_SQL, op13_vector_codes
 from haulspark.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_warc": op10_warc,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -33,4 +35,5 @@ ORACLE_SQL = {
     "op10_warc": OP10_SQL,
     "op3_url_filter": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op13_vector_codes": OP13_SQL,
 }
