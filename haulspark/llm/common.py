@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,18 @@ class Scratch:
             self._remove(f"{self.path}/{name}")
 
 
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int):
+    """Arrow batches of few rows, for jobs whose rows are whole blocks; the session's own setting returns afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_bytes(text: str = "text") -> Column:
     """The text as UTF-8 bytes; null stays null."""
     return F.col(text).cast("binary")

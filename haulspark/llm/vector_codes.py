@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from haulspark.llm.common import Scratch
+from haulspark.llm.common import Scratch, few_rows_a_batch
 from haulspark.llm.integers import products, stacked, whole_vectors
 
 #: Numbers in a block of vectors: so many rows share one set of heaps and one set of sums.
@@ -288,9 +288,11 @@ def vector_codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             drift[p * n_entries : (p + 1) * n_entries] += step[p] + others
         books = after.reshape(parts, n_entries, width)
         if k < rounds:
-            state = scratch.save(state.mapInArrow(_next_round(books, drift.copy(), length), state_type), f"round-{k}")
+            with few_rows_a_batch(spark, 4):
+                state = scratch.save(state.mapInArrow(_next_round(books, drift.copy(), length), state_type), f"round-{k}")
             scratch.drop(f"round-{k - 1}")
-    coded = scratch.save(state.mapInArrow(_last_round(books, drift, length), out_type), "coded")
+    with few_rows_a_batch(spark, 4):
+        coded = scratch.save(state.mapInArrow(_last_round(books, drift, length), out_type), "coded")
     digest = hashlib.sha256(",".join(str(int(v)) for v in books.reshape(-1)).encode()).hexdigest()
     by_label = scratch.save(coded.groupBy("label").agg(F.sum("error").alias("label_error")), "labels")
     told = coded.alias("c").join(by_label.alias("l"), F.col("c.label").eqNullSafe(F.col("l.label"))).select("vec_id", "code", "error", "label_error")
