@@ -100,7 +100,7 @@ def _round(group: pd.DataFrame, limit: int) -> pd.DataFrame:
     A row stands for ``rows`` equal documents, of which ``more`` get one copy above ``copies``. What is owed at the end
     is made up by one copy more or less of the largest texts that it is worth.
     """
-    group = group.sort_values(["size", "doc_id", "text_key"], ascending=[False, True, True], na_position="last", kind="stable")
+    group = group.sort_values(["size", "known", "doc_id", "text_key"], ascending=[False, False, True, True], kind="stable")
     low = np.minimum(np.floor(group["rate"].to_numpy() + 1e-9), limit).astype(np.int64)
     part = np.where(low < limit, np.maximum(group["rate"].to_numpy() - low, 0.0), 0.0)
     sizes, rows = group["size"].tolist(), group["rows"].tolist()
@@ -121,7 +121,7 @@ def _round(group: pd.DataFrame, limit: int) -> pd.DataFrame:
         if n and 2 * abs(owed) >= n:
             give(i, -min(rows[i], total[i]), min(rows[i], limit * rows[i] - total[i]))
     copies, more = np.divmod(np.array(total, np.int64), group["rows"].to_numpy())
-    return group[["source", "doc_id", "text_key", "size", "rows"]].assign(copies=copies, more=more)
+    return group[["source", "known", "doc_id", "text_key", "size", "rows"]].assign(copies=copies, more=more)
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_rows: int = 1000) -> DataFrame:
@@ -163,9 +163,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), limit: in
     placed = items.alias("d").join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source"))).select(
         "d.source", "doc_id", "text_key", "size", "rows", rate.alias("rate"), F.pmod(F.xxhash64("doc_id", "text_key"), F.col("blocks")).alias("block")
     )
-    rounded = placed.groupBy("source", "block").applyInPandas(
-        lambda group: _round(group, limit), "source string, doc_id long, text_key long, size long, rows long, copies long, more long"
-    )
+    # a column of longs with a null in it would reach pandas as doubles, which change large ids
+    whole = placed.withColumns({"known": F.col("doc_id").isNotNull(), "doc_id": F.coalesce("doc_id", F.lit(0))})
+    rounded = whole.groupBy("source", "block").applyInPandas(
+        lambda group: _round(group, limit), "source string, known boolean, doc_id long, text_key long, size long, rows long, copies long, more long"
+    ).withColumn("doc_id", F.when(F.col("known"), F.col("doc_id")))
     # equal rows come out one by one, by thousands, so that no array grows with them
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     thousands = rounded.withColumn("thousand", upto(F.ceil(F.col("rows") / 1000)))
