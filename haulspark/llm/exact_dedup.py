@@ -138,13 +138,13 @@ class _Out:
         self.cols, self.held = [[] for _ in self.schema], 0
 
 
-_BEST = [("points", pa.int64()), ("known", pa.int64()), ("minus_id", pa.int64()), ("minus_row", pa.int64())]
+_BEST = [("points", pa.int64()), ("known", pa.int64()), ("not_id", pa.int64()), ("minus_row", pa.int64())]
 _LOCAL = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("owner", pa.int64()), ("sha", pa.binary()), ("text_key", pa.int64()), ("bytes", pa.binary()), *_BEST, ("smallest", pa.int64()), ("rows", pa.int64())])
-_LOCAL_DDL = "row long, id long, owner long, sha binary, text_key long, bytes binary, points long, known long, minus_id long, minus_row long, smallest long, rows long"
+_LOCAL_DDL = "row long, id long, owner long, sha binary, text_key long, bytes binary, points long, known long, not_id long, minus_row long, smallest long, rows long"
 
 
 def _rank(points: int, doc: int | None, row: int) -> tuple[int, int, int, int]:
-    return points, int(doc is not None), -doc if doc is not None else 0, -row
+    return points, int(doc is not None), ~doc if doc is not None else 0, -row
 
 
 def _local_owners(trie_bytes: int):
@@ -179,7 +179,7 @@ def _local_owners(trie_bytes: int):
 
 
 _MERGED = pa.schema([("members", pa.list_(pa.int64())), ("bytes", pa.binary()), *_BEST, ("smallest", pa.int64()), ("rows", pa.int64()), ("settled", pa.bool_()), ("size", pa.int64()), ("head", pa.int64())])
-_MERGED_DDL = "members array<long>, bytes binary, points long, known long, minus_id long, minus_row long, smallest long, rows long, settled boolean, size long, head long"
+_MERGED_DDL = "members array<long>, bytes binary, points long, known long, not_id long, minus_row long, smallest long, rows long, settled boolean, size long, head long"
 
 
 def _merge_owners(trie_bytes: int, stem: int):
@@ -201,13 +201,13 @@ def _merge_owners(trie_bytes: int, stem: int):
                 yield from out.add((t.members, data if open_ else None, *t.best, t.smallest, t.rows, not open_, len(data), head), (len(data) if open_ else 0) + 8 * len(t.members))
 
         for batch in batches:
-            for members, data, points, known, minus_id, minus_row, smallest, rows in zip(*(batch.column(c) for c in _MERGED.names[:8]), strict=True):
+            for members, data, points, known, not_id, minus_row, smallest, rows in zip(*(batch.column(c) for c in _MERGED.names[:8]), strict=True):
                 data, members = data.as_py(), members.as_py()
                 if data[:stem] != now:
                     if spilled or trie.held() > trie_bytes:
                         yield from give(trie.drain(), now if spilled else None)
                     now, spilled, here = data[:stem], False, 0
-                best = (points.as_py(), known.as_py(), minus_id.as_py(), minus_row.as_py())
+                best = (points.as_py(), known.as_py(), not_id.as_py(), minus_row.as_py())
                 fresh = Owner(best, smallest.as_py(), rows.as_py(), members[0])
                 owner = trie.insert(data, fresh)
                 if owner is fresh:
@@ -248,7 +248,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         text_bytes(text_col).alias("text"),
     )
     local = scratch.save(rows.mapInArrow(_local_owners(trie_bytes), _LOCAL_DDL), "local")
-    state = ["points", "known", "minus_id", "minus_row", "smallest", "rows"]
+    state = ["points", "known", "not_id", "minus_row", "smallest", "rows"]
     head = F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long")
     open_ = local.where("bytes is not null").select(F.array("owner").alias("members"), "bytes", *state, F.octet_length("bytes").cast("long").alias("size"), head.alias("head"))
     settled, stem, k = [], 8, 0
@@ -263,10 +263,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = settled[0]
     for more in settled[1:]:
         classes = classes.unionByName(more)
-    owned = classes.select(F.explode("members").alias("owner"), "rows", "minus_id", "known", "minus_row", "smallest")
+    owned = classes.select(F.explode("members").alias("owner"), "rows", "not_id", "known", "minus_row", "smallest")
     return local.where("row is not null").select("row", "id", "owner", "sha", "text_key").join(owned, "owner").select(
         F.col("id").alias("doc_id"),
-        F.when(F.col("known") == 1, -F.col("minus_id")).alias("keep_id"),
+        F.when(F.col("known") == 1, F.bitwise_not("not_id")).alias("keep_id"),
         F.col("rows").alias("group_size"),
         (F.col("row") == -F.col("minus_row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
