@@ -479,12 +479,15 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, most_byt
     ship_package(spark)
     sent = spark.sparkContext.broadcast(_read_vocabulary(model))
     keep = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens", "round_trip")]
-    ready = docs.select(*keep, F.col(text_col).cast("binary").alias("text"))
+    named = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    # Spark hands columns to Python by plain names only
+    own = [f"kept {i}" for i in range(len(keep))]
+    ready = docs.select(*[named(c).alias(o) for c, o in zip(keep, own, strict=True)], named(text_col).cast("binary").alias("text to encode"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(sent.value)
         for batch in batches:
-            texts = [(x or b"").decode("utf-8", "replace") for x in batch.column("text").to_pylist()]
+            texts = [(x or b"").decode("utf-8", "replace") for x in batch.column("text to encode").to_pylist()]
             lo, held = 0, 0
             for hi, text in enumerate(texts):
                 held += len(text)
@@ -492,13 +495,13 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, most_byt
                     continue
                 ids, bounds = encoder.encode(texts[lo : hi + 1])
                 same = _same(encoder.v, ids, bounds, texts[lo : hi + 1])
-                arrays = [batch.column(c)[lo : hi + 1] for c in keep]
+                arrays = [batch.column(c)[lo : hi + 1] for c in own]
                 arrays += [pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(same)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *_ENCODED.names])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*own, *_ENCODED.names])
                 lo, held = hi + 1, 0
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.drop("text").schema.fields)
-    return ready.mapInArrow(run, (schema + ", " if schema else "") + "n_tokens long, ids array<int>, round_trip boolean")
+    told = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    return ready.mapInArrow(run, T.StructType([*ready.schema.fields[:-1], *told])).toDF(*keep, *[f.name for f in told])
 
 
 def decode_ids(tokens: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
