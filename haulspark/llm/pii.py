@@ -11,14 +11,19 @@ ROUNDS = 8
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœß"
 ACCENTED_UPPER = "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝŸŒ"
-LETTERS_AND_DIGITS = (DIGITS, LOWER, UPPER, ACCENTED, ACCENTED_UPPER)
+EXTENDED = "".join(map(chr, range(0x100, 0x180)))
+GREEK, GREEK_UPPER = "αβγδεζηθικλμνξοπρστυφχψωάέήίόύώϊϋΐΰς", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩΆΈΉΊΌΎΏΪΫ"
+CYRILLIC, CYRILLIC_UPPER = "".join(map(chr, range(0x430, 0x460))), "".join(map(chr, range(0x400, 0x430)))
+LETTERS_AND_DIGITS = (DIGITS, LOWER, UPPER, ACCENTED, ACCENTED_UPPER, EXTENDED, GREEK, GREEK_UPPER, CYRILLIC, CYRILLIC_UPPER)
+#: Letters of no alphabet above move within runs of so many code points.
+RUN = 32
 
 #: Country codes of one and two digits in telephone numbers; all others have three.
 COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 
 #: What may be a value, by kind and in the order they are tried; look-arounds keep a match from starting within a word.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+\-])[\p{L}\p{M}\p{N}._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
     "secret": r"(?i:(?<![a-z])(?:token|secret|password|api[_\-]?key)\s{0,3}[=:]\s{0,3}(?:\"[A-Za-z0-9+/_\-]{8,200}\"|'[A-Za-z0-9+/_\-]{8,200}'|(?=[A-Za-z+/_\-]{0,199}[0-9])[A-Za-z0-9+/_\-]{16,200}))",
     "key": r"(?<![A-Za-z0-9_\-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,64})(?![A-Za-z0-9_\-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
@@ -46,13 +51,16 @@ def hmac(key: str, message: Column) -> Column:
 def _moved(half: Column, other: Column, key: str, i: Column, alphabets: tuple[str, ...], always: bool = False) -> Column:
     """Each character of ``half`` moved on in its own alphabet by a byte of the keyed hash of ``other``; an empty half stays.
 
-    With ``always`` no character may stay as it is.
+    With ``always`` no character may stay as it is. Under all alphabets, a letter or digit of a script that has none moves within its run of
+    ``RUN`` code points, which may hold signs that are no letters.
     """
     digest = F.array(hmac(key, F.concat_ws("|", i.cast("string"), other)))  # in an array, so that it is made once
 
     def move(c: Column, j: Column) -> Column:
         step = _number(digest[0], (j % 32) * 2 + 1, 2)
-        out = c
+        point = F.ascii(c)
+        other = (point - point % RUN + (point % RUN + (step % (RUN - 1) + 1 if always else step)) % RUN).cast("long")
+        out = F.when((point > 0xAA) & c.rlike(r"^[\p{L}\p{M}\p{N}]"), F.decode(F.unhex(F.lpad(F.hex(other), 8, "0")), "UTF-32")).otherwise(c) if len(alphabets) > 4 else c
         for letters in reversed(alphabets):
             at = F.instr(F.lit(letters), c)
             by = step % (len(letters) - 1) + 1 if always else step
