@@ -18,7 +18,7 @@ from haulspark.llm.tokens import _LOWER, runs_of_texts
 from haulspark.operators.relational import numbered
 
 #: Bytes of text that are cut into words at once, keys a task holds before it gives them away, and counts in a block of the sums.
-RUN_BYTES, HELD_KEYS, BLOCK = 4 << 20, 1 << 21, 1024
+RUN_BYTES, HELD_KEYS, BLOCK = 1 << 20, 1 << 19, 1024
 _BREAK, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[[*b".,;:!?\n\x0b\x0c\r"]] = True
 _BLANK[[0x20, 0x09]] = True
@@ -41,7 +41,7 @@ def words_of_run(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.nd
     bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[solid])])
     told = words.dictionary_encode()
-    piece = np.cumsum(breaks, dtype=np.int64)[starts] + np.searchsorted(offsets, starts, "right")
+    piece = np.cumsum(breaks, dtype=np.int32)[starts] + np.searchsorted(offsets, starts, "right")
     return told.dictionary, told.indices.to_numpy().astype(np.int64), piece
 
 
