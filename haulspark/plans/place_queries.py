@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulspark.functions import geo, goods, text
-from haulspark.operators import backfill, documents, fleet
+from haulspark.functions import geo, goods, scans, text
+from haulspark.operators import backfill, documents, fleet, sheets
 from haulspark.operators.joins import known_address
 from haulspark.sources.tables import table
 
@@ -170,16 +170,22 @@ def annex_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("line").agg(F.sum(F.col("a").cast("decimal(28,4)")).cast("double").alias("by_km"), F.sum(F.col("b").cast("decimal(28,4)")).cast("double").alias("by_order"))
 
 
-_SCANS = [
-    ("Greutate brutä  12 kg\r\n\r\n\r\n\r\nsfârșit", "Greutate brută 12 kg\n\nsfârșit", None), ("| 72.00 | buc |\n|---|---|\n**tare**", "72.00 buc\n\ntare", None), ("Balote$i și chi$inău", "Baloteștii și chișinău".replace("știi", "ști"), None),
-    ("„ghilimele” – și…linie", '"ghilimele" - și…linie', None), ("a.....b​c", "a bc", None), ("TP0-O0&5813 și PSL O12345", "TP0-O0&5813 și PSL O12345", "TPO-005813 și PSL-012345"), ("", "", ""), (None, None, None),
+_SCANS = [  # as scanned, cleaned, and with its codes read; null where cleaning is all
+    ("Greutate brutä  12 kg\r\n\r\n\r\n\r\nsfârșit", "Greutate brută 12 kg\n\nsfârșit", None), ("| Nr | Km |\n|---|---|\n| 1 | 420 |\nTotal ...... 9 ####", "Nr Km\n\n1 420\nTotal 9", None),
+    ("| 7 | **72.00** | buc |", "7 72.00 buc", None), ("Str. 20, Balote$i și chi$inău, $12", "Str. 20, Balotești și chișinău, $12", None), ("„unu”\u00a0– \u2018doi\u2019 \u2212 5\u2026", "\"unu\" - 'doi' - 5\u2026", None),
+    ("Adresă\0Client\nstr  Garlei\tALEEA   1", "Adresă\tClient\nstr Garlei\tALEEA 1", None), ("TP\u200b0-O0&5813 și PSL O12345", "TP0-O0&5813 și PSL O12345", "TPO-005813 și PSL-012345"),
+    ("expeditiePSL-0012345 transport_TPO-0033395", "expeditiePSL-0012345 transport_TPO-0033395", "expeditie PSL-0012345 transport TPO-0033395"),
+    ("Comanda de transfer TPO-0010692\nAviz de expediție rezumat: TPO-0033395", "Comanda de transfer TPO-0010692\nAviz de expediție rezumat: TPO-0033395", "Comanda de transfer TRO-0010692\nAviz de expediție rezumat: TPO-0033395"),
+    ("TRO-OOI\n1300\nx IRO-OOI 1300", "TRO-OOI\n1300\nx IRO-OOI 1300", "TRO-0011300\nx TRO-0011300"), ("B33oSRS, b 1l2 vfm, B OO SRS; 5 s ac 02.10.202O", "B33oSRS, b 1l2 vfm, B OO SRS; 5 s ac 02.10.202O", "B 330 SRS, B 112 VFM, B OO SRS; 5 sac 02.10.2020"),
+    ("Str. Kepublicii, Bolintin dina, Bd. Piperii", "Str. Kepublicii, Bolintin dina, Bd. Piperii", "Str. Republicii, Bolintin-Deal, Bd. Pipera"), ("TPO 2026-1088 TPO 12", "TPO 2026-1088 TPO 12", "TPO-2026-1088 TPO 12"), ("", "", ""), (None, None, None),
 ]
 
 
 @query(f"with s(i, clean, codes) as (values {_sql([(i, c, k if k is not None else c) for i, (_, c, k) in enumerate(_SCANS)])}) select c_custkey as id, clean, codes from customer join s on i = c_custkey % {len(_SCANS)}")
 def scan_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans as they come, cleaned, and with the codes and plates that they print."""
     raw = F.get(F.array(*[F.lit(r).cast("string") for r, *_ in _SCANS]), (F.col("c_custkey") % len(_SCANS)).cast("int"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), goods.clean_scan(raw).alias("clean"), goods.scanned_codes(raw).alias("codes"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), scans.clean_scan(raw).alias("clean"), scans.scanned_codes(raw).alias("codes"))
 
 
 @query("""
@@ -263,11 +269,30 @@ def repaired_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.merged_fields(rows, ["plate"]).select("id", "plate", "plate_conf")
 
 
-@query("""
-with s as (select c_custkey as id, unnest([1, 2, 4, 9]) as slot from customer)
-select id, slot::int as slot, case slot when 1 then 'doc_date' when 2 then 'plate' when 4 then 'tpo' else 'gross_kg' end as field, case slot when 1 then '05.03.2026' when 2 then 'B 12 ABC' when 4 then 'TPO ' || id else (id % 9) || '.500 kg' end as value from s where slot <> 2 or id % 2 = 0""")
+_SHEETS = [  # a sheet, {t} its seven digits, and the fields, values, confidences and lines that it fills on 2026-10-19
+    (
+        "carnet de bord\n1. TPO-{t}\n2. 11.08.2026\n3. -\n4. B 112 VFM\n5. Bolintin -> Ploiesti\n6. nisip\n7. 9.96\n8. 15744 kg\n9. 15000 kg\n10. PSL-{t}\n11. 2\n12. gol\n13. 120\n14. 4.5",
+        [("tpo", "TPO-{t}", 0.92, 1), ("doc_date", "2026-08-11", 0.9, 2), ("plate", "B-112-VFM", 0.9, 4), ("route", "Bolintin -> Ploiesti", 0.82, 5), ("goods", "nisip", 0.82, 6), ("quantity", "9.96", 0.86, 7), ("gross_kg", "15744.0", 0.84, 8), ("net_kg", "15000.0", 0.84, 9), ("doc_no", "PSL-{t}", 0.9, 10), ("runs", "2", 0.86, 11), ("km", "120.0", 0.84, 13), ("tariff", "4.5", 0.84, 14)],
+    ),
+    (
+        "1. B - 100 - PLM\n2. 12.03.2026\n3. TPO {t}\n4. Str. Lunga 4 – Iasi\n5. 18.5 m3\n6. 3 curse\n7. 22.500 kg\n14. 7,5 lei",
+        [("plate", "B-100-PLM", 0.84, 1), ("doc_date", "2026-03-12", 0.9, 2), ("tpo", "TPO-{t}", 0.84, 3), ("route", "Str. Lunga 4 – Iasi", 0.78, 4), ("quantity", "18.5 m³", 0.82, 5), ("runs", "3", 0.82, 6), ("gross_kg", "22500.0", 0.8, 7), ("tariff", "7.5", 0.84, 14)],
+    ),
+    ("1. TPO-{t}\n2. gol\n7) 40 saci\nnothing", []),
+    (
+        "1) {t}\n2) saci\n3- 40 saci\n5. Bol -> Cluj\n5. again -> no\n8. 12\n9. 15000\n22. lost",
+        [("tpo", "TPO-{t}", 0.8, 1), ("goods", "saci", 0.84, 2), ("quantity", "40.0 saci", 0.82, 3), ("route", "Bol -> Cluj", 0.82, 5), ("net_kg", "15000.0", 0.84, 9)],
+    ),
+    ("9. nisip\n10. 21000\n3. 9.96\n4. 10-10-2026\n1. x\n12. 55 ron", [("order_value", "9.96", 0.84, 3), ("doc_date", "2026-10-10", 0.84, 4), ("goods", "nisip", 0.78, 9), ("gross_kg", "21000.0", 0.8, 10), ("taxes", "55.0", 0.84, 12)]),
+]
+
+
+@query(f"""
+with f(i, field, value, confidence, line) as (values {_sql([(i, *f) for i, (_, fields) in enumerate(_SHEETS) for f in fields])})
+select c_custkey as id, field, replace(value, '{{t}}', lpad(c_custkey::varchar, 7, '0')) as value, confidence::double as confidence, line from customer join f on i = c_custkey % {len(_SHEETS)}""")
 def numbered_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Handwritten sheets whose lines are numbered."""
+    """Handwritten sheets in the guide's order, shifted, renumbered and too short."""
     k = F.col("c_custkey")
-    sheet = F.concat(F.lit("carnet\n1. 05.03.2026\n"), F.when(k % 2 == 0, " 2) B 12 ABC \n").otherwise(""), F.lit("4. TPO "), k.cast("string"), F.lit("\n9.  "), (k % 9).cast("string"), F.lit(".500 kg\n4. again\n77. none"))
-    return documents.numbered_sheet(table(spark, sf_dir, "customer").select(k.alias("id"), sheet.alias("text")), "id")
+    layout = F.get(F.array(*[F.lit(t) for t, _ in _SHEETS]), (k % len(_SHEETS)).cast("int"))
+    docs = table(spark, sf_dir, "customer").select(k.alias("id"), F.replace(layout, F.lit("{t}"), F.lpad(k.cast("string"), 7, "0")).alias("text"))
+    return sheets.numbered_sheets(docs, "id", "2026-10-19")
