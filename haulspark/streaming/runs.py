@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulspark.operators.relational import top_rows
 from haulspark.sources import tables as t
 from haulspark.sources.shared import shared_root
+from haulspark.streaming.openings import STORE, stream_openings
 from haulspark.streaming.telematics import counted_by_hour, stream_exceptions
 
 
@@ -28,7 +30,8 @@ def publish(stream: DataFrame, company: str, send: Callable[[str, list[dict]], N
     """
 
     def each(batch: DataFrame, _: int) -> None:
-        newest = batch.groupBy(company).agg(F.slice(F.sort_array(F.collect_list(F.struct("ts", F.to_json(F.struct(*batch.columns)).alias("row"))), asc=False), 1, most).alias("rows"))
+        rows = top_rows(batch.select(company, "ts", F.to_json(F.struct(*batch.columns)).alias("row")), [company], [F.col("ts").desc(), F.col("row").desc()], most)
+        newest = rows.groupBy(company).agg(F.sort_array(F.collect_list(F.struct("ts", "row")), asc=False).alias("rows"))
         for r in newest.toLocalIterator():
             send(r[company], [x["row"] for x in r["rows"]])
 
@@ -52,3 +55,23 @@ def exceptions_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hours_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples an hour of the events as a stream; the last hours, which the watermark has not passed, are not given out."""
     return run_to_the_end(counted_by_hour(_samples(spark, sf_dir)), "hours")
+
+
+def speeding(samples: DataFrame) -> DataFrame:
+    """Findings of samples that are too fast."""
+    none = F.lit(None).cast("long")
+    return samples.where("speed > 90").select(F.lit("viteza").alias("type"), "vehicle_id", none.alias("route_id"), none.alias("stop_id"), "ts", F.when(F.col("speed") > 110, "critical").otherwise("warning").alias("severity"))
+
+
+def resolutions(samples: DataFrame) -> DataFrame:
+    """An office that half an hour after every fifth sample resolves what its vehicle has open of two types."""
+    none = F.lit(None).cast("long")
+    kinds = F.explode(F.array(F.lit("viteza"), F.lit("stationare")))
+    return samples.where("event_id % 5 = 0").select(kinds.alias("type"), "vehicle_id", none.alias("route_id"), none.alias("stop_id"), (F.col("ts") + F.expr("interval 30 minutes")).alias("ts"))
+
+
+def openings_to_the_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings and closings of speeding on the events as a stream, and of their resolutions as another."""
+    spark.conf.set(*STORE)
+    samples = _samples(spark, sf_dir)
+    return run_to_the_end(stream_openings(speeding(samples), resolutions(samples)), "openings")
