@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from haulspark.sources.shipping import ship_package
 
@@ -21,12 +23,20 @@ def walk_groups(rows: DataFrame, key: str, order: Sequence[str], walk: Callable[
     would cost milliseconds.
     """
     ship_package(rows.sparkSession)
-    names = [part.split()[0] for part in schema.split(", ")]
+    kind = StructType.fromDDL(schema)
+    out_schema = to_arrow_schema(kind)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def columns_of(batch: pa.RecordBatch) -> Rows:
+        # whole numbers stay whole beside nulls, which a pandas column of them would turn into doubles
+        return {name: (c.to_pandas() if pa.types.is_floating(c.type) or pa.types.is_temporal(c.type) else c).tolist() for name, c in zip(batch.schema.names, batch.columns, strict=True)}
+
+    def given(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type, from_pandas=True) for c, f in zip(zip(*out, strict=True), out_schema, strict=True)], schema=out_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, None
-        for pdf in batches:
-            columns = {c: pdf[c].tolist() for c in pdf.columns}
+        for batch in batches:
+            columns = columns_of(batch)
             keys, out, lo = columns[key], [], 0
             for at in range(len(keys) + 1):
                 if at < len(keys) and at > lo and keys[at] == keys[lo]:
@@ -41,8 +51,8 @@ def walk_groups(rows: DataFrame, key: str, order: Sequence[str], walk: Callable[
                         now, held = keys[lo], part
                 lo = at
             if out:
-                yield pd.DataFrame(out, columns=names)
-        if held is not None:
-            yield pd.DataFrame(walk(now, held), columns=names)
+                yield given(out)
+        if held is not None and (out := walk(now, held)):
+            yield given(out)
 
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return rows.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInArrow(run, kind)

@@ -174,11 +174,14 @@ def assign_drivers(vehicles: DataFrame, drivers: DataFrame, depot: str) -> DataF
         drivers_ = right.sort_values("driver_id")["driver_id"].tolist()
         free, following, out = set(drivers_), iter(drivers_), []
         for v in left.sort_values("vehicle_id").itertuples():
-            chosen = v.preferred if v.preferred in free else next((d for d in following if d in free), None)
+            wanted = v.preferred if v.known else None
+            chosen = wanted if wanted in free else next((d for d in following if d in free), None)
             free.discard(chosen)
             out.append((v.vehicle_id, chosen))
         return pd.DataFrame(out, columns=["vehicle_id", "driver_id"]).astype({"driver_id": "Int64"})
 
+    # a null among longs would reach pandas as doubles
+    vehicles = vehicles.withColumns({"known": F.col("preferred").isNotNull(), "preferred": F.coalesce("preferred", F.lit(0))})
     return vehicles.groupBy(depot).cogroup(drivers.groupBy(depot)).applyInPandas(give, "vehicle_id long, driver_id long")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +16,16 @@ from haulspark.operators.joins import keep_newest
 def upsert(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[Column], update: bool = True) -> DataFrame:
     """``target`` after ``rows`` are written to it: of rows that share a key the first in ``order`` counts.
 
-    With ``update`` a known key takes the new row, else it keeps its own; new keys are added either way. Keys must be
-    unique in ``target``, and its columns among those of ``rows``.
+    With ``update`` a known key takes the new row, else it keeps its own; new keys are added either way. A key with a null in it is like no other,
+    as a unique constraint has it: such rows are all added and replace none. Other keys must be unique in ``target``, and its columns among those of ``rows``.
     """
-    new = keep_newest(rows, keys, order).select(*target.columns)
+    whole = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    new = keep_newest(rows.where(whole), keys, order).select(*target.columns)
+    lone = rows.where(~whole).select(*target.columns)
     if update:
-        return target.join(new.select(*keys), list(keys), "left_anti").select(*target.columns).unionByName(new)
-    return target.unionByName(new.join(target.select(*keys), list(keys), "left_anti").select(*target.columns))
+        kept = target.join(new.select(*keys), list(keys), "left_anti").select(*target.columns)
+        return kept.unionByName(new).unionByName(lone)
+    return target.unionByName(new.join(target.select(*keys), list(keys), "left_anti").select(*target.columns)).unionByName(lone)
 
 
 @dataclass(frozen=True)
