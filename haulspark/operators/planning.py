@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import permutations
 
 import numpy as np
@@ -9,8 +11,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulspark.functions.numeric import percent
+from haulspark.functions.geo import haversine_km
+from haulspark.functions.numeric import exact_sum, percent
 from haulspark.operators.grouped import Rows, walk_groups
+from haulspark.operators.relational import top_rows
+from haulspark.sources.shared import settled
 from haulspark.sources.shipping import ship_package
 
 
@@ -20,44 +25,64 @@ def location_weight(m3: Column, kg: Column, stops: Column) -> Column:
     return F.when(w > 0, w).otherwise(1.0)
 
 
-def territories(locations: DataFrame, depot: str, k: int, rounds: int = 25, seed: int = 7) -> DataFrame:
-    """Each depot's locations (location_id, lat, lon, weight) in ``k`` clusters of about equal weight.
+#: Points of a depot from which its seeds are chosen, those of smallest hash.
+SEED_POINTS = 256
 
-    Capacitated k-means: seeds are drawn far apart, then locations, heaviest first, take the cluster with the
-    smallest distance in km plus five times its overload, until nothing moves. One depot is one group.
+
+def _seeds(locations: DataFrame, depot: str, k: int) -> DataFrame:
+    """Up to ``k`` centres a depot, each the sampled point farthest from those before it; the sample is bounded."""
+
+    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
+        places = np.radians(pdf.sort_values(["_h", "lat", "lon"])[["lat", "lon"]].drop_duplicates().to_numpy())
+        flat = places * [1, np.cos(places[:, 0].mean())]
+        chosen, nearest = [0], np.full(len(flat), np.inf)
+        while len(chosen) < min(k, len(flat)):
+            nearest = np.minimum(nearest, ((flat - flat[chosen[-1]]) ** 2).sum(axis=1))
+            chosen.append(int(nearest.argmax()))
+        at = np.degrees(places[chosen])
+        return pd.DataFrame({depot: pdf[depot].iloc[0], "cluster": np.arange(len(at), dtype=np.int32), "clat": at[:, 0], "clon": at[:, 1]})
+
+    hashed = locations.select(depot, "lat", "lon", F.xxhash64("location_id", "lat", "lon").alias("_h"))
+    sample = top_rows(hashed, [depot], [F.col("_h"), F.col("lat"), F.col("lon")], SEED_POINTS)
+    return sample.groupBy(depot).applyInPandas(spread, f"{depot} int, cluster int, clat double, clon double")
+
+
+def territories(locations: DataFrame, depot: str, k: int, rounds: int = 36) -> DataFrame:
+    """Each depot's locations (location_id, lat, lon, weight) in ``k`` clusters of about equal weight: ``depot, location_id, weight, cluster``.
+
+    A location goes where its squared distance in km plus the cluster's price is least. Every round is one job over the locations, which meet their depot's few centres and prices: a
+    cluster's price rises where it has more than its share and falls where it has less, at first while centres move to the middle of what they have, then with centres at rest; a price
+    that overshot takes smaller steps. Of all rounds each depot keeps the one whose heaviest deviation was smallest. Only centres, prices and loads are gathered, as small tables; locations are never brought together, so a depot may
+    hold any share of all rows. A depot with fewer places than ``k`` has as many clusters. Locations without a place are left out.
     """
     ship_package(locations.sparkSession)
-
-    def km(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        half = np.sin((b - a) / 2) ** 2
-        return 2 * 6371 * np.arcsin(np.minimum(1, np.sqrt(half[..., 0] + np.cos(a[..., 0]) * np.cos(b[..., 0]) * half[..., 1])))
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "location_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        places = np.radians(pdf[["lat", "lon"]].to_numpy())
-        weights = pdf["weight"].to_numpy()
-        n, count = len(pdf), min(k, len(pdf))
-        rng = np.random.default_rng(seed)
-        centres = places[[int(rng.integers(n))]]
-        while len(centres) < count:
-            nearest = km(places[:, None], centres[None]).min(axis=1) ** 2
-            pick = rng.choice(n, p=nearest / nearest.sum()) if nearest.sum() > 0 else int(rng.integers(n))
-            centres = np.vstack([centres, places[pick]])
-        capacity = weights.sum() / count
-        owner = np.full(n, -1)
-        for _ in range(rounds):
-            load, before = np.zeros(count), owner.copy()
-            distance = km(places[:, None], centres[None])
-            for i in range(n):
-                over = np.maximum(0, load + weights[i] - capacity) / capacity
-                owner[i] = int(np.argmin(distance[i] + 5 * over * distance[i].mean()))
-                load[owner[i]] += weights[i]
-            if (owner == before).all():
-                break
-            centres = np.array([np.average(places[owner == c], axis=0, weights=weights[owner == c]) if (owner == c).any() else centres[c] for c in range(count)])
-        return pdf.assign(cluster=owner.astype(np.int32))[[depot, "location_id", "weight", "cluster"]]
-
-    return locations.groupBy(depot).applyInPandas(split, f"{depot} int, location_id long, weight double, cluster int")
+    points = settled(locations.where("lat is not null and lon is not null").select(F.col(depot).cast("int").alias(depot), "location_id", "lat", "lon", F.col("weight").cast("double").alias("weight")))
+    state = settled(_seeds(points, depot, k).withColumns({"price": F.lit(0.0), "gain": F.lit(1.0), "before": F.lit(0.0), "round": F.lit(0)}))
+    kept = []
+
+    def nearest(state: DataFrame) -> DataFrame:
+        few = state.groupBy(depot).agg(F.array_sort(F.collect_list(F.struct("cluster", "clat", "clon", "price"))).alias("_c"))
+        squared = lambda c: F.pow(haversine_km(F.col("lat"), F.col("lon"), c["clat"], c["clon"]), F.lit(2.0))
+        best = F.array_min(F.transform("_c", lambda c: F.struct((squared(c) + c["price"]).alias("score"), c["cluster"].alias("cluster"), squared(c).alias("km2"))))
+        return points.join(few, depot).withColumn("_b", best).select(*points.columns, F.col("_b.cluster").alias("cluster"), F.col("_b.km2").alias("km2"))
+
+    for r in range(1, rounds + 1):
+        kg = F.col("weight")
+        loads = nearest(state).groupBy(depot, "cluster").agg(exact_sum(kg, 6).alias("load"), exact_sum(kg * F.col("lat"), 9).alias("y"), exact_sum(kg * F.col("lon"), 9).alias("x"), exact_sum(kg * F.col("km2"), 6).alias("spread"))
+        w = Window.partitionBy(depot)  # of a depot's clusters
+        told = state.join(loads, [depot, "cluster"], "left").withColumn("load", F.coalesce("load", F.lit(0.0)))
+        told = told.withColumns({"share": F.sum("load").over(w) / F.count("*").over(w), "scale": F.sum("spread").over(w) / F.sum("load").over(w)})
+        told = settled(told.withColumn("off", F.coalesce(F.col("load") / F.col("share") - 1, F.lit(0.0))).withColumn("worst", F.max(F.abs("off")).over(w)))
+        kept.append(told.select(depot, "cluster", "clat", "clon", "price", "round", "worst"))
+        moving = r <= rounds // 3
+        # a price that overshot takes half the step, one that did not a longer one
+        gain = F.when(F.col("off") * F.col("before") < 0, F.col("gain") / 2).otherwise(F.least(F.col("gain") * 1.3, F.lit(2.0)))
+        price = F.col("price") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("off"))) * F.greatest("scale", F.lit(1e-6)) * gain
+        centre = lambda old, new: F.when((F.col("load") > 0) & F.lit(moving), F.col(new) / F.col("load")).otherwise(F.col(old))  # noqa: B023, E731
+        state = told.select(depot, "cluster", centre("clat", "y").alias("clat"), centre("clon", "x").alias("clon"), price.alias("price"), gain.alias("gain"), F.col("off").alias("before"), F.lit(r).alias("round"))
+    every = settled(reduce(DataFrame.unionByName, kept))
+    chosen = every.groupBy(depot).agg(F.min(F.struct("worst", "round"))["round"].alias("round"))
+    return nearest(settled(every.join(chosen, [depot, "round"]).select(depot, "cluster", "clat", "clon", "price"))).select(depot, "location_id", "weight", "cluster")
 
 
 def balance_report(clusters: DataFrame, depot: str, limit_pct: float = 15.0) -> DataFrame:
@@ -68,13 +93,15 @@ def balance_report(clusters: DataFrame, depot: str, limit_pct: float = 15.0) ->
     return out.withColumn("balanced", F.max("deviation_pct").over(w) <= limit_pct)
 
 
-def hull(points: DataFrame, group: str) -> DataFrame:
-    """Convex hull of each group's points (x, y) as an array of (x, y), counter-clockwise from the lowest left."""
-    ship_package(points.sparkSession)
+def hull(points: DataFrame, group: str, pad_km: float = 0.0) -> DataFrame:
+    """Convex hull of each group's points (x: longitude, y: latitude) as an array of (x, y), counter-clockwise from the lowest left, its corners moved ``pad_km`` out from their middle.
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(map(tuple, pdf[["x", "y"]].to_numpy().tolist())))
+    Each task first reduces its own points to the hull of every group they belong to, so what is shuffled is hulls and no group is brought together whole.
+    A point alone is a small diamond when it is padded.
+    """
+    ship_package(points.sparkSession)
 
+    def corners(pts: np.ndarray) -> list[tuple[float, float]]:
         def half(seq) -> list:
             out: list = []
             for p in seq:
@@ -83,10 +110,31 @@ def hull(points: DataFrame, group: str) -> DataFrame:
                 out.append(p)
             return out
 
-        ring = pts if len(pts) < 3 else half(pts)[:-1] + half(reversed(pts))[:-1]
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "ring": [[{"x": x, "y": y} for x, y in ring]]})
-
-    return points.groupBy(group).applyInPandas(chain, f"{group} int, ring array<struct<x:double,y:double>>")
+        pts = sorted(set(map(tuple, pts.tolist())))
+        return pts if len(pts) < 3 else half(pts)[:-1] + half(reversed(pts))[:-1]
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for g, part in pdf.groupby(group):
+                pts = part[["x", "y"]].to_numpy()
+                held[g] = np.array(corners(np.vstack([held[g], pts]) if g in held else pts))
+        for g, pts in held.items():
+            yield pd.DataFrame({group: g, "x": pts[:, 0], "y": pts[:, 1]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        ring = np.array(corners(pdf[["x", "y"]].to_numpy()))
+        if pad_km and len(ring) == 1:
+            ring = ring[0] + 0.01 * np.array([[0, -1], [1, 0], [0, 1], [-1, 0]])
+        elif pad_km and len(ring) > 2:
+            out = ring - ring.mean(axis=0)
+            length = np.hypot(out[:, 0], out[:, 1])
+            ring = ring + out / np.where(length > 0, length, 1)[:, None] * (pad_km / 111)
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "ring": [[{"x": x, "y": y} for x, y in ring.tolist()]]})
+
+    kind = dict(points.dtypes)[group]
+    some = points.where(F.col(group).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull()).select(group, "x", "y")
+    return some.mapInPandas(own, f"{group} {kind}, x double, y double").groupBy(group).applyInPandas(whole, f"{group} {kind}, ring array<struct<x:double,y:double>>")
 
 
 def pack(items: DataFrame, route: str, length: float, width: float, height: float) -> DataFrame:

@@ -396,6 +396,18 @@ def territories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.territories(_locations(spark, sf_dir), "depot", 4)
 
 
+@query("""
+with p as (select c_nationkey as g, 25 + c_custkey * 91 % 1000 / 500 as x, 44 + c_custkey * 37 % 1000 / 500 as y from customer), d as (select distinct * from p),
+e as (select a.g, a.x, a.y, b.x as bx, b.y as by from d a join d b on a.g = b.g and (a.x <> b.x or a.y <> b.y) where not exists (
+  select 1 from d r where r.g = a.g and ((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) < -1e-12 or abs((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x)) <= 1e-12 and ((r.x - a.x) * (r.x - b.x) + (r.y - a.y) * (r.y - b.y)) > 1e-12))),
+c as (select distinct g, x, y from e), m as (select g, avg(x) as mx, avg(y) as my from c group by g)
+select g as depot, round(x + (x - mx) / sqrt((x - mx) ** 2 + (y - my) ** 2) * 2 / 111, 6) as x, round(y + (y - my) / sqrt((x - mx) ** 2 + (y - my) ** 2) * 2 / 111, 6) as y from c join m using (g)""")
+def territory_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corners of the outline of each depot's locations, two kilometres out."""
+    points = _locations(spark, sf_dir).select("depot", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    return planning.hull(points, "depot", 2.0).select("depot", F.explode("ring").alias("c")).select("depot", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
+
+
 @query("""
 with c as (select c_nationkey as depot, (c_custkey % 4)::int as cluster, (c_custkey % 100)::double as weight from customer), l as (select depot, cluster, cast(sum(weight::decimal(28,4)) as double) as load from c group by 1, 2), m as (select *, avg(load) over (partition by depot) as mean_load from l),
 d as (select *, floor(abs(load - mean_load) / mean_load * 1000 + 0.5) / 10 as deviation_pct from m)
