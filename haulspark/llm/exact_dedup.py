@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulspark.llm.common import Scratch, text_bytes
+from haulspark.llm.common import Scratch, lean, text_bytes
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: What a node and its terminal weigh beside their bytes.
@@ -247,14 +247,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_key"),
         text_bytes(text_col).alias("text"),
     )
-    local = scratch.save(rows.mapInArrow(_local_owners(trie_bytes), _LOCAL_DDL), "local")
+    local = scratch.save(rows.mapInArrow(lean(_local_owners(trie_bytes)), _LOCAL_DDL), "local")
     state = ["points", "known", "not_id", "minus_row", "smallest", "rows"]
     head = F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long")
     open_ = local.where("bytes is not null").select(F.array("owner").alias("members"), "bytes", *state, F.octet_length("bytes").cast("long").alias("size"), head.alias("head"))
     settled, stem, k = [], 8, 0
     while True:
         dealt = open_.withColumn("stem", F.substring("bytes", 1, stem)).repartition("size", "head").sortWithinPartitions("stem").drop("stem")
-        merged = scratch.save(dealt.select("members", "bytes", *state).mapInArrow(_merge_owners(trie_bytes, stem), _MERGED_DDL), f"merged-{k}")
+        merged = scratch.save(dealt.select("members", "bytes", *state).mapInArrow(lean(_merge_owners(trie_bytes, stem)), _MERGED_DDL), f"merged-{k}")
         settled.append(merged.where("settled"))
         open_ = merged.where("not settled").select("members", "bytes", *state, "size", "head")
         if open_.isEmpty():

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulspark.llm.bloom import filter_of_ids
-from haulspark.llm.common import Scratch, text_bytes
+from haulspark.llm.common import Scratch, lean, text_bytes
 from haulspark.llm.components import connected_components
 from haulspark.llm.tokens import Words, mix, runs_of_texts, shingle_sets
 
@@ -260,23 +260,23 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "near-dedup")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("text_key"), text_bytes(text_col).alias("text"))
-    described = scratch.save(rows.mapInArrow(_describe(width), "doc_id long, text_key long, n_shingles long, set_hash binary, sig binary"), "described")
+    described = scratch.save(rows.mapInArrow(lean(_describe(width)), "doc_id long, text_key long, n_shingles long, set_hash binary, sig binary"), "described")
     grouped = described.where("set_hash is not null and doc_id is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key")).alias("holder"), F.min("sig").alias("sig"))
     # a class is named by a number of its own: ids may repeat under other texts
     reps = scratch.save(grouped.select(F.monotonically_increasing_id().alias("rep"), "set_hash", "holder.*", "sig"), "reps")
     stars = scratch.save(
-        reps.select("rep", "sig").mapInArrow(_enumerate, "key long, rep long")
+        reps.select("rep", "sig").mapInArrow(lean(_enumerate), "key long, rep long")
         .repartition("key").sortWithinPartitions("key", "rep")  # 16 bytes a row, streamed: a key of any size is held nowhere
-        .mapInArrow(_stars, "key long, rep long, leader long"),
+        .mapInArrow(lean(_stars), "key long, rep long, leader long"),
         "stars",
     )
     ties = scratch.save(stars.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "ties")
     tied = ties.select(F.col("a").alias("rep")).union(ties.select("b")).distinct()
     needed = scratch.save(reps.select("rep", F.col("doc_id").alias("id"), "text_key").join(tied, "rep"), "needed")
     wanted = spark.sparkContext.broadcast(filter_of_ids(needed, needed.count()))
-    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text_key", "text").mapInArrow(_passed(wanted), "id long, text_key long, text binary")
+    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text_key", "text").mapInArrow(lean(_passed(wanted)), "id long, text_key long, text binary")
     texts = texts.join(needed, ["id", "text_key"]).groupBy("id", "text_key", "rep").agg(F.first("text").alias("text"))
-    sets = scratch.save(texts.select(F.col("rep").alias("id"), "text").mapInArrow(_sets(width), "id long, shingles array<long>"), "sets")
+    sets = scratch.save(texts.select(F.col("rep").alias("id"), "text").mapInArrow(lean(_sets(width)), "id long, shingles array<long>"), "sets")
     links = scratch.save(_confirmed(ties, sets, percent), "links")
     parts = scratch.save(connected_components(links, scratch, "first"), "parts")
 

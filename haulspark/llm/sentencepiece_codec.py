@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from haulspark.llm.common import lean
 from haulspark.sources.shipping import ship_package
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -501,7 +502,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, most_byt
                 lo, held = hi + 1, 0
 
     told = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
-    return ready.mapInArrow(run, T.StructType([*ready.schema.fields[:-1], *told])).toDF(*keep, *[f.name for f in told])
+    return ready.mapInArrow(lean(run), T.StructType([*ready.schema.fields[:-1], *told])).toDF(*keep, *[f.name for f in told])
 
 
 def decode_ids(tokens: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str = MODEL) -> DataFrame:
