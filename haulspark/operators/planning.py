@@ -105,7 +105,7 @@ def hull(points: DataFrame, group: str, pad_km: float = 0.0) -> DataFrame:
         def half(seq) -> list:
             out: list = []
             for p in seq:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 1e-12:
                     out.pop()
                 out.append(p)
             return out
