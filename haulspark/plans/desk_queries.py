@@ -175,8 +175,9 @@ def _merged(customers: DataFrame) -> DataFrame:
     return customers.select(k.alias("id"), data.alias("data")).withColumn("routing", F.get_json_object("data", "$.routing"))
 
 
-@query("""
-select k as from_key, k + 1 as to_key, k * 1.5::double as km from range(20) t(k)""")
+@query("select c_nationkey as nation, c_custkey as from_key, c_custkey + 1 as to_key, c_custkey * 1.5::double as km from customer")
 def bulk_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = spark.range(20).agg(F.array_sort(F.collect_list("id")).alias("a")).select("a", F.transform("a", lambda x: x + 1).alias("b"), F.transform("a", lambda x: x * 1.5).alias("c"))
-    return packed.select(F.inline(F.arrays_zip(F.col("a").alias("from_key"), F.col("b").alias("to_key"), F.col("c").alias("km"))))
+    """Arrays of one length a nation, bound as one insert has them, back as rows."""
+    packed = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.array_sort(F.collect_list("c_custkey")).alias("a"))
+    bound = packed.select("nation", "a", F.transform("a", lambda x: x + 1).alias("b"), F.transform("a", lambda x: x * 1.5).alias("c"))
+    return bound.select("nation", F.inline(F.arrays_zip(F.col("a").alias("from_key"), F.col("b").alias("to_key"), F.col("c").alias("km"))))

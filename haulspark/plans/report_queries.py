@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,18 +54,27 @@ def report_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.select_documents(_docs(spark, sf_dir), told).select("id", "day", "status", "plate")
 
 
-@query(f"with {_DOCS_SQL} select id, batch_id, kind from docs where id in (5, 10, 15, 22, 35, 40) and batch_id in ('lot1', 'lot2', 'lot3') and kind = 'cmr' and batch_id = 'lot2' order by day nulls last, created_at, id limit 500")
+@query(f"with {_DOCS_SQL} select id, batch_id, kind from docs where id in (select 5 * k from range(1, 140) t(k)) and kind = 'cmr' and batch_id = 'lot2' order by day nulls last, created_at, id limit 500")
 def report_selection_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.select_documents(_docs(spark, sf_dir), {"ids": [5, 10, 5, None, 15, 22, 35, 40], "kind": "cmr", "batch_id": "lot2"}).select("id", "batch_id", "kind")
+    return selection.select_documents(_docs(spark, sf_dir), {"ids": [5, None, *[5 * i for i in range(1, 140)]], "kind": "cmr", "batch_id": "lot2"}).select("id", "batch_id", "kind")
 
 
-_SELECTIONS = [("nothing", {}, True), ("blank", {"plate": "  ", "q": "", "ids": [None]}, True), ("malformed", {"from": "soon", "status": "lost", "with_weight": "yes"}, True), ("limit", {"limit": 5}, True), ("day", {"to": "2024-01-01"}, False), ("ids", {"ids": [3]}, False), ("weight", {"with_weight": True}, False)]
+_SELECTIONS = [("nothing", {}, True), ("blank", {"plate": "  ", "q": "", "ids": [None]}, True), ("malformed", {"from": "soon", "status": "lost", "with_weight": "yes"}, True), ("limit", {"limit": 5}, True), ("day", {"to": "1997-01-01"}, False), ("ids", {"ids": [3]}, False), ("weight", {"with_weight": True}, False)]
 
 
-@query("select name, is_empty from (values " + ", ".join(f"('{n}', {str(e).lower()})" for n, _, e in _SELECTIONS) + ") t(name, is_empty)")
+@query(f"""
+with {_DOCS_SQL}
+select name, true as is_empty, 0::bigint as documents from (values {', '.join(f"('{n}')" for n, _, e in _SELECTIONS if e)}) t(name)
+union all select 'day', false, least(500, count(*)) from docs where day <= date '1997-01-01' or (day is null and created_at < timestamp '1997-01-01 22:00:00')
+union all select 'ids', false, count(*) from docs where id = 3 union all select 'weight', false, least(500, count(*)) from docs where gross_kg is not null""")
 def empty_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which stated selections would take the whole archive."""
-    return spark.createDataFrame([(n, selection.is_empty(told)) for n, told, _ in _SELECTIONS], "name string, is_empty boolean")
+    """What stated selections take: those that would take the whole archive take nothing."""
+    docs, parts = _docs(spark, sf_dir), []
+    for name, told, _ in _SELECTIONS:
+        empty = selection.is_empty(told)
+        taken = docs.limit(0) if empty else selection.select_documents(docs, told)
+        parts.append(taken.agg(F.count("*").alias("documents")).select(F.lit(name).alias("name"), F.lit(empty).alias("is_empty"), "documents"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("""
@@ -242,13 +251,11 @@ def json_set_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.to_json(F.col("j").withField("plan.name", F.lit("pro"))).alias("doc"), F.json_array_length(F.get_json_object("old", "$.tags")).alias("n_tags"))
 
 
-_NOWS = [datetime.datetime(2024, 1, 31, 21, 30), datetime.datetime(2024, 1, 31, 22, 30), datetime.datetime(2024, 7, 7, 20, 59), datetime.datetime(2024, 2, 29, 3)]
-
-
 @query("""
-with n(now) as (values (timestamp '2024-01-31 21:30:00'), (timestamp '2024-01-31 22:30:00'), (timestamp '2024-07-07 20:59:00'), (timestamp '2024-02-29 03:00:00')), d as (select now, cast(timezone('Europe/Bucharest', timezone('UTC', now)) as date) as today from n)
-select now, 'today' as preset, today as first_day, today as last_day from d union all select now, 'week', cast(date_trunc('week', today) as date), cast(date_trunc('week', today) as date) + 6 from d union all select now, 'month', cast(date_trunc('month', today) as date), last_day(today) from d""")
+with d as (select event_id, ts, cast(timezone('Europe/Bucharest', timezone('UTC', ts)) as date) as today from events)
+select event_id, 'today' as preset, today as first_day, today as last_day from d union all select event_id, 'week', cast(date_trunc('week', today) as date), cast(date_trunc('week', today) as date) + 6 from d union all select event_id, 'month', cast(date_trunc('month', today) as date), last_day(today) from d""")
 def date_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nows = spark.createDataFrame([(n,) for n in _NOWS], "now timestamp")
-    each = lambda p: nows.select("now", F.lit(p).alias("preset"), *[c.alias(n) for c, n in zip(preset_days(p, F.col("now")), ("first_day", "last_day"), strict=True)])
+    """The days of each preset as they are at every event's instant."""
+    nows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("now"))
+    each = lambda p: nows.select("event_id", F.lit(p).alias("preset"), *[c.alias(n) for c, n in zip(preset_days(p, F.col("now")), ("first_day", "last_day"), strict=True)])
     return each("today").unionByName(each("week")).unionByName(each("month"))

@@ -106,9 +106,15 @@ def cumulative_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.differences(running, "route_id", "seq", ["total"]).select("route_id", "seq", "total_step")
 
 
-@query(f"with {t.TARIFFS_SQL}, n as (select *, lead(valid_from) over (partition by region order by valid_from, pos) as next_from from tariffs) select region, pos, valid_from, valid_to, next_from from n where next_from is not null and (valid_to is null or valid_to >= next_from)")
+@query("""
+with r as (select s_nationkey as region, s_suppkey as pos, date '1996-01-01' + (s_suppkey * 37 % 1000)::int as valid_from, case when s_suppkey % 11 <> 0 then date '1996-01-01' + (s_suppkey * 37 % 1000 + s_suppkey * 7 % 120)::int end as valid_to from supplier),
+n as (select *, lead(valid_from) over (partition by region order by valid_from, pos) as next_from from r) select region, pos, valid_from, valid_to, next_from from n where next_from is not null and (valid_to is null or valid_to >= next_from)""")
 def tariff_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.overlaps(t.tariffs(spark), ["region"]).select("region", "pos", "valid_from", "valid_to", "next_from")
+    """Tariffs of each region, a supplier's each, that still hold when the next begins."""
+    k = F.col("s_suppkey")
+    begins = F.date_add(F.lit("1996-01-01").cast("date"), (k * 37 % 1000).cast("int"))
+    tariffs = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("region"), k.alias("pos"), begins.alias("valid_from"), F.when(k % 11 != 0, F.date_add(begins, (k * 7 % 120).cast("int"))).alias("valid_to"))
+    return sequences.overlaps(tariffs, ["region"]).select("region", "pos", "valid_from", "valid_to", "next_from")
 
 
 def _routes_for_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,13 +278,20 @@ def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", half_up(text.similarity(a, b), 4).alias("similarity_score"))
 
 
-_NUMBERS = [("1.234,56", 1234.56, 1234.56), ("1,234.56", 1234.56, 1234.56), ("1.234", 1234.0, 1.234), ("12,5", 12.5, 12.5), ("1.234.567", 1234567.0, None), ("12.5", 12.5, 12.5), ("1,2,3", None, None), ("abc", None, None), ("1.2.34", 12.34, None), ("-7,25", -7.25, -7.25)]
-
-
-@query("select id, cell, imported, printed from (values " + ", ".join(f"({i}, '{c}', {'null' if a is None else repr(a)}::double, {'null' if b is None else repr(b)}::double)" for i, (c, a, b) in enumerate(_NUMBERS)) + ") t(id, cell, imported, printed)")
+@query("""
+with x as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, floor(l_extendedprice)::bigint as i, l_partkey % 100 as f, (l_partkey % 8)::int as form from lineitem),
+y as (select *, format('{:,}', i) as en, replace(format('{:,}', i), ',', '.') as ro, lpad(f::varchar, 2, '0') as ff, i + f / 100.0::double as v from x)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, case form when 0 then ro || ',' || ff when 1 then en || '.' || ff when 2 then i || ',' || ff when 3 then ' ' || i || '.' || ff || ' ' when 4 then 'no ' || i when 5 then i || ',' || f || ',' || ff when 6 then '-' || ro || ',' || ff else '' end as cell,
+  case when form in (4, 5, 7) then null when form = 6 then -(i || '.' || ff)::double else (i || '.' || ff)::double end as imported,
+  case when form in (4, 5, 7) then null when form = 6 then -(i || '.' || ff)::double else (i || '.' || ff)::double end as printed from y where i >= 1000""")
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.createDataFrame([(i, c) for i, (c, _, _) in enumerate(_NUMBERS)], "id int, cell string")
-    return cells.select("id", "cell", numeric.locale_number(F.col("cell")).alias("imported"), numeric.document_number(F.col("cell")).alias("printed"))
+    """Prices of every line in the ways that sheets and papers write them."""
+    i, f = F.floor("l_extendedprice"), F.lpad((F.col("l_partkey") % 100).cast("string"), 2, "0")
+    en = F.format_number(i, 0)
+    ro, plain = F.replace(en, F.lit(","), F.lit(".")), i.cast("string")
+    cells = [F.concat_ws(",", ro, f), F.concat_ws(".", en, f), F.concat_ws(",", plain, f), F.concat(F.lit(" "), plain, F.lit("."), f, F.lit(" ")), F.concat(F.lit("no "), plain), F.concat_ws(",", plain, (F.col("l_partkey") % 100).cast("string"), f), F.concat(F.lit("-"), ro, F.lit(","), f), F.lit("")]
+    rows = table(spark, sf_dir, "lineitem").where(i >= 1000).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.get(F.array(*cells), (F.col("l_partkey") % 8).cast("int")).alias("cell"))
+    return rows.select("*", numeric.locale_number(F.col("cell")).alias("imported"), numeric.document_number(F.col("cell")).alias("printed"))
 
 
 @query("select o_orderkey, cast(o_orderdate as date) as parsed, case when o_orderkey % 2 = 0 then cast(o_orderdate as date) end as serial from orders")
