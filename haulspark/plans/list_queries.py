@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from haulspark.functions.timez import in_days
 from haulspark.operators import relational as rel
 from haulspark.operators.joins import best_match, distance_matrix, keep_newest, one_digit_off, small, zone_of
+from haulspark.operators.matching import match_locations, missing_requirements
 from haulspark.sources import tables as t
 from haulspark.sources.tables import table
 
@@ -212,14 +213,32 @@ def array_union_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with c as (select s_suppkey as id, list_filter(['frig', 'macara', 'adr'], lambda x: (x = 'frig' and s_suppkey % 2 = 0) or (x = 'macara' and s_suppkey % 3 = 0) or (x = 'adr' and s_suppkey % 5 = 0)) as needs, list_filter(['frig', 'macara', 'adr'], lambda x: (x = 'frig' and s_nationkey % 2 = 0) or x = 'adr') as has from supplier)
-select id, array_to_string(list_filter(needs, lambda x: not list_contains(has, x)), ',') as missing from c""")
+with c as (select s_suppkey as id, list_filter([case when s_suppkey % 4 = 0 then 'FRIG' when s_suppkey % 2 = 0 then 'frig' end, case when s_suppkey % 3 = 0 then 'Macara' end, case when s_suppkey % 2 = 0 then 'Frig' end, case when s_suppkey % 5 = 0 then 'ADR' end, case when s_suppkey % 6 = 0 then 'MACARA' end], lambda x: x is not null) as needs,
+  list_filter([case when s_nationkey % 2 = 0 then 'Frig' end, 'adr'], lambda x: x is not null) as has from supplier),
+u as (select id, unnest(needs) as x, generate_subscripts(needs, 1) as i, has from c), f as (select id, lower(x) as k, min(i) as i, arg_min(x, i) as x, any_value(has) as has from u group by 1, 2)
+select c.id, coalesce(string_agg(f.x, ',' order by f.i) filter (not list_contains(list_transform(f.has, lambda h: lower(h)), f.k)), '') as missing from c left join f using (id) group by 1""")
 def requirements_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What suppliers' routes need in any spelling and their vehicles lack."""
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    pick = lambda *pairs: F.filter(F.array(*[F.when(c, F.lit(v)) for v, c in pairs]), lambda x: x.isNotNull())
-    needs = pick(("frig", k % 2 == 0), ("macara", k % 3 == 0), ("adr", k % 5 == 0))
-    has = pick(("frig", n % 2 == 0), ("adr", F.lit(True)))
-    return table(spark, sf_dir, "supplier").select(k.alias("id"), F.array_join(F.array_except(needs, has), ",").alias("missing"))
+    needs = F.array(F.when(k % 4 == 0, "FRIG").when(k % 2 == 0, "frig"), F.when(k % 3 == 0, "Macara"), F.when(k % 2 == 0, "Frig"), F.when(k % 5 == 0, "ADR"), F.when(k % 6 == 0, "MACARA"))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), F.array_join(missing_requirements(needs, F.array(F.when(n % 2 == 0, "Frig"), F.lit("adr"))), ",").alias("missing"))
+
+
+@query("""
+with l as (select c_custkey as k from customer where c_custkey % 7 <> 0), m as (select c_custkey as id, c_custkey + case c_custkey % 5 when 1 then 1 else 0 end as k, c_custkey % 5 as way from customer)
+select id, case when way in (0, 1) and k % 10 = 0 then null when way in (0, 1, 2, 3) and exists (select 1 from l where l.k = m.k) then k end as location_id,
+  case when way = 4 then case when id % 10 = 4 then 'lipsa' else 'negasit' end when way in (0, 1) and k % 10 = 0 then 'nume_ambiguu' when not exists (select 1 from l where l.k = m.k) then 'negasit' when way in (0, 1) then 'nume' else 'adresa' end as reason from m""")
+def location_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a name, with another spelling of it, with an address, with one whose town stands apart, and with nothing that is known."""
+    k = F.col("c_custkey")
+    customers, way = table(spark, sf_dir, "customer"), k % 5
+    name = lambda n: F.when(n % 10 == 0, "Depozit").otherwise(F.concat(F.lit("Ștefan-Vodă "), n.cast("string")))
+    places = customers.select(k.alias("location_id"), name(k).alias("name"), F.concat(F.lit("Str. Lungă nr. "), k.cast("string"), F.lit(", Arad")).alias("address"), (k % 7 != 0).alias("is_active"), k.alias("pos"))
+    lines = customers.select(
+        k.alias("id"), F.when(way == 0, name(k)).when(way == 1, F.upper(F.replace(name(k + 1), F.lit("-"), F.lit("  ")))).when((way == 4) & (k % 10 != 4), "nowhere").alias("location_name"),
+        F.when(way == 2, F.concat(F.lit("STR. LUNGA "), k.cast("string"), F.lit(", ARAD"))).when(way == 3, F.concat(F.lit("str. Lungă "), k.cast("string"))).alias("address"), F.when(way == 3, "Arad").alias("city"),
+    )
+    return match_locations(lines, places)
 
 
 @query("""

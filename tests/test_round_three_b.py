@@ -99,3 +99,11 @@ def test_one_depot_of_all_rows_is_balanced_and_whole(spark):
 def test_pages_without_anything(spark):
     out = reading.read_fields(spark.createDataFrame([(1, None), (2, "")], "id long, text string"), "id", "2026-10-19")
     assert out.count() == 2 * len(reading.FIELDS) and out.where("value is not null").count() == 0
+
+
+@pytest.mark.parametrize(("needs", "has", "want"), [(["ADR", "adr", "Frig"], ["FRIG"], ["ADR"]), (None, ["x"], []), (["a", None, "B"], None, ["a", "B"]), ([], [], [])])
+def test_needs_keep_their_first_spelling(spark, needs, has, want):
+    from haulspark.operators.matching import missing_requirements
+
+    row = spark.createDataFrame([(needs, has)], "needs array<string>, has array<string>")
+    assert row.select(missing_requirements(F.col("needs"), F.col("has")).alias("v")).first().v == want
