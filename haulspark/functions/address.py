@@ -26,50 +26,18 @@ COUNTIES = {
     "HD": "hunedoara", "IL": "ialomita", "IS": "iasi", "IF": "ilfov", "MM": "maramures", "MH": "mehedinti", "MS": "mures", "NT": "neamt", "OT": "olt", "PH": "prahova", "SJ": "salaj", "SM": "satu mare",
     "SB": "sibiu", "SV": "suceava", "TR": "teleorman", "TM": "timis", "TL": "tulcea", "VL": "valcea", "VS": "vaslui", "VN": "vrancea",
 }
-# Towns known by name, by the code of their county.
+# Towns known by name and the codes of their counties.
 TOWNS = {
-    "B": ("bucuresti",),
-    "IF": ("otopeni", "voluntari", "buftea", "pantelimon", "popesti leordeni", "bragadiru", "chitila", "chiajna", "magurele"),
-    "CJ": ("cluj napoca", "turda", "dej", "campia turzii"),
-    "TM": ("timisoara", "lugoj"),
-    "IS": ("iasi", "pascani"),
-    "CT": ("constanta", "mangalia", "medgidia", "navodari"),
-    "DJ": ("craiova", "calafat"),
-    "BV": ("brasov", "fagaras", "sacele", "codlea"),
-    "GL": ("galati", "tecuci"),
-    "PH": ("ploiesti", "campina"),
-    "BH": ("oradea", "salonta"),
-    "BR": ("braila",),
-    "AR": ("arad",),
-    "AG": ("pitesti", "mioveni", "campulung"),
-    "SB": ("sibiu", "medias"),
-    "BC": ("bacau", "onesti", "moinesti"),
-    "MS": ("targu mures", "reghin", "sighisoara"),
-    "MM": ("baia mare", "sighetu marmatiei"),
-    "BZ": ("buzau", "ramnicu sarat"),
-    "BT": ("botosani", "dorohoi"),
-    "SM": ("satu mare", "carei"),
-    "VL": ("ramnicu valcea",),
-    "MH": ("drobeta turnu severin",),
-    "SV": ("suceava", "radauti", "falticeni"),
-    "NT": ("piatra neamt", "roman"),
-    "GJ": ("targu jiu", "motru"),
-    "DB": ("targoviste",),
-    "VN": ("focsani", "adjud"),
-    "BN": ("bistrita",),
-    "CS": ("resita", "caransebes"),
-    "TL": ("tulcea",),
-    "OT": ("slatina", "caracal"),
-    "CL": ("calarasi", "oltenita"),
-    "AB": ("alba iulia", "sebes", "aiud"),
-    "GR": ("giurgiu",),
-    "HD": ("deva", "hunedoara", "petrosani", "orastie"),
-    "SJ": ("zalau",),
-    "CV": ("sfantu gheorghe", "targu secuiesc"),
-    "VS": ("vaslui", "barlad", "husi"),
-    "IL": ("slobozia", "fetesti", "urziceni"),
-    "TR": ("alexandria", "rosiorii de vede", "turnu magurele"),
-    "HR": ("miercurea ciuc", "odorheiu secuiesc", "gheorgheni"),
+    "bucuresti": "B", "otopeni": "IF", "voluntari": "IF", "buftea": "IF", "pantelimon": "IF", "popesti leordeni": "IF", "bragadiru": "IF", "chitila": "IF", "chiajna": "IF",
+    "magurele": "IF", "cluj napoca": "CJ", "turda": "CJ", "dej": "CJ", "campia turzii": "CJ", "timisoara": "TM", "lugoj": "TM", "iasi": "IS", "pascani": "IS", "constanta": "CT",
+    "mangalia": "CT", "medgidia": "CT", "navodari": "CT", "craiova": "DJ", "calafat": "DJ", "brasov": "BV", "fagaras": "BV", "sacele": "BV", "codlea": "BV", "galati": "GL", "tecuci": "GL",
+    "ploiesti": "PH", "campina": "PH", "oradea": "BH", "salonta": "BH", "braila": "BR", "arad": "AR", "pitesti": "AG", "mioveni": "AG", "campulung": "AG", "sibiu": "SB", "medias": "SB",
+    "bacau": "BC", "onesti": "BC", "moinesti": "BC", "targu mures": "MS", "reghin": "MS", "sighisoara": "MS", "baia mare": "MM", "sighetu marmatiei": "MM", "buzau": "BZ",
+    "ramnicu sarat": "BZ", "botosani": "BT", "dorohoi": "BT", "satu mare": "SM", "carei": "SM", "ramnicu valcea": "VL", "drobeta turnu severin": "MH", "suceava": "SV", "radauti": "SV",
+    "falticeni": "SV", "piatra neamt": "NT", "roman": "NT", "targu jiu": "GJ", "motru": "GJ", "targoviste": "DB", "focsani": "VN", "adjud": "VN", "bistrita": "BN", "resita": "CS",
+    "caransebes": "CS", "tulcea": "TL", "slatina": "OT", "caracal": "OT", "calarasi": "CL", "oltenita": "CL", "alba iulia": "AB", "sebes": "AB", "aiud": "AB", "giurgiu": "GR", "deva": "HD",
+    "hunedoara": "HD", "petrosani": "HD", "orastie": "HD", "zalau": "SJ", "sfantu gheorghe": "CV", "targu secuiesc": "CV", "vaslui": "VS", "barlad": "VS", "husi": "VS", "slobozia": "IL",
+    "fetesti": "IL", "urziceni": "IL", "alexandria": "TR", "rosiorii de vede": "TR", "turnu magurele": "TR", "miercurea ciuc": "HR", "odorheiu secuiesc": "HR", "gheorgheni": "HR",
 }
 # Confidence of what a search found, by how fine it is, and from which a place is taken or flagged.
 PRECISION = {"address": 0.55, "street": 0.40, "locality": 0.25}
@@ -98,7 +66,7 @@ def _rest(tokens: Column, n: Column | int) -> Column:
 
 def _town(tokens: Column) -> Column:
     """(town, county, words) of the longest run of leading words that is a known town; null if there is none."""
-    table = _table({town: code for code, towns in TOWNS.items() for town in towns})
+    table = _table(TOWNS)
     names = F.transform(F.array(F.lit(3), F.lit(2), F.lit(1)), lambda n: F.struct(_join(F.slice(tokens, 1, n)).alias("town"), n.alias("words")))
     found = F.filter(names, lambda x: (x["words"] <= F.size(tokens)) & F.try_element_at(table, x["town"]).isNotNull())
     return F.get(F.transform(found, lambda x: F.struct(x["town"].alias("town"), F.try_element_at(table, x["town"]).alias("county"), x["words"].alias("words"))), F.lit(0))
