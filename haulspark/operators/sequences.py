@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulspark.functions.geo import haversine_m
+from haulspark.functions.numeric import exact_sum
+from haulspark.functions.text import clock_minutes
 from haulspark.operators.grouped import Rows, walk_groups
 
 
@@ -148,3 +150,23 @@ def driving_rules(stops: DataFrame, group: str = "route_id", start: float = 480.
         return out
 
     return walk_groups(stops, group, ["seq"], walk, f"{group} long, seq int, kind string, arrival double, departure double, km double")
+
+
+def missed_windows(walked: DataFrame, windows: DataFrame, group: str = "route_id") -> DataFrame:
+    """``group, seq, type, by_min`` of stops that a walk with breaks and rests (``driving_rules``) reaches after their window closes or, on the first day, before it opens.
+
+    ``windows`` (group, seq, opens, closes) are clocks as text, either of which may be missing; arrivals count in whole minutes since the first day began.
+    """
+    told = windows.select(group, "seq", clock_minutes(F.col("opens")).alias("_from"), clock_minutes(F.col("closes")).alias("_to"))
+    at = F.floor("arrival").cast("long")
+    both = walked.where("kind = 'stop'").join(told, [group, "seq"]).withColumn("_at", at)
+    late, early = F.col("_at") - F.col("_to"), F.col("_from") - F.col("_at")
+    kind = F.when(late > 0, "intarziere").when((early > 0) & (F.col("_at") < 1440), "prea_devreme")
+    return both.withColumn("type", kind).where("type is not null").select(group, "seq", "type", F.when(late > 0, late).otherwise(early).alias("by_min"))
+
+
+def walk_totals(walked: DataFrame, missed: DataFrame, group: str = "route_id", start: float = 480.0) -> DataFrame:
+    """``group, km, span_min, breaks, rests, missed`` of each walk: kilometres known, minutes from its start to its last departure, and how often it stops and misses a window."""
+    sums = walked.groupBy(group).agg(exact_sum(F.col("km"), 3).alias("km"), F.floor(F.max("departure") - start + 0.5).alias("span_min"), F.count_if(F.col("kind") == "break").alias("breaks"), F.count_if(F.col("kind") == "rest").alias("rests"))
+    hits = missed.groupBy(group).agg(F.count("*").alias("missed"))
+    return sums.join(hits, group, "left").select(group, F.coalesce("km", F.lit(0.0)).alias("km"), "span_min", "breaks", "rests", F.coalesce("missed", F.lit(0)).alias("missed"))

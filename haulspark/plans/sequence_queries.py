@@ -11,6 +11,7 @@ from haulspark.functions.numeric import exact_sum, half_up
 from haulspark.operators import documents, planning, sequences
 from haulspark.operators import telematics as tele
 from haulspark.sources import tables as t
+from haulspark.sources.shared import settled
 from haulspark.sources.tables import table
 from haulspark.streaming.runs import exceptions_to_the_end, hours_to_the_end
 
@@ -145,6 +146,38 @@ def driving_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.driving_rules(_routes_for_drivers(spark, sf_dir))
 
 
+_WINDOWS_SQL = """
+d as (select * from ({walk})),
+n as (select l_orderkey as route_id, unnest(range(1, count(*) + 1))::int as seq from lineitem group by 1),
+m as (select route_id, seq, case when route_id % 5 <> 0 then 360 + (route_id * 7 + seq * 90) % 900 end as opens, case when (route_id + seq) % 4 <> 0 then 420 + (route_id * 7 + seq * 90) % 900 end as closes from n),
+v as (select route_id, seq, case when floor(arrival) > closes then 'intarziere' when floor(arrival) < opens and arrival < 1440 then 'prea_devreme' end as type, (case when floor(arrival) > closes then floor(arrival) - closes else opens - floor(arrival) end)::bigint as by_min from d join m using (route_id, seq) where kind = 'stop')"""
+
+
+def _clock(minute):
+    return F.format_string("%02d:%02d", (minute / 60).cast("int"), (minute % 60).cast("int"))
+
+
+def _windows(walked: DataFrame) -> DataFrame:
+    r, s = F.col("route_id"), F.col("seq")
+    base = (r * 7 + s * 90) % 900
+    return walked.where("kind = 'stop'").select("route_id", "seq", F.when(r % 5 != 0, _clock(base + 360)).alias("opens"), F.when((r + s) % 4 != 0, _clock(base + 420)).alias("closes"))
+
+
+@query(f"with {_WINDOWS_SQL.format(walk=ORACLE_SQL['driving_rules'])} select route_id, seq, type, by_min from v where type is not null")
+def missed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops whose windows the breaks and rests of their drivers make them miss."""
+    walked = settled(driving_rules(spark, sf_dir))
+    return sequences.missed_windows(walked, _windows(walked))
+
+
+@query(f"""
+with {_WINDOWS_SQL.format(walk=ORACLE_SQL['driving_rules'])}, h as (select route_id, count(*) as missed from v where type is not null group by 1)
+select route_id, coalesce(sum(km::decimal(28, 3)), 0)::double as km, floor(max(departure) - 480 + 0.5)::bigint as span_min, count(*) filter (kind = 'break') as breaks, count(*) filter (kind = 'rest') as rests, coalesce(any_value(missed), 0) as missed from d left join h using (route_id) group by 1""")
+def walk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    walked = settled(driving_rules(spark, sf_dir))
+    return sequences.walk_totals(walked, sequences.missed_windows(walked, _windows(walked)))
+
+
 _HAVERSINE = "2 * 6371000.0::double * asin(least(1.0::double, sqrt(power(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * power(sin(radians({b}lon - {a}lon) / 2), 2))))"
 
 
