@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulspark.operators import reading
+from haulspark.operators import profiles, reading
 from haulspark.sources.shared import settled
 from haulspark.sources.tables import table
 
@@ -58,3 +58,29 @@ ORACLE_SQL["read_fields"] = _SQL + " select id, field, value, confidence, status
 ORACLE_SQL["reading_summary"] = _SQL + """,
 s as (select id, floor(sum(round(confidence * 100) * weight) / sum(weight) + 0.5) / 100 as confidence, bool_or(critical and value is not null and confidence < 0.8) as unsure, coalesce(string_agg(field, ',' order by field) filter (status <> 'ok'), '') as review_fields from r group by id)
 select id, confidence, case when confidence >= 0.8 and not unsure then 'ok' else 'review' end as status, review_fields from s"""
+
+#: A page and its layouts with their scores, best first.
+LAYOUTS = [
+    ("Aviz de expediție: PSL-0012345 Baumit", "aviz_baumit_psl=1.0 aviz_baumit_tro=0.67 aviz_generic=0.14 carnet_bord=0.0 aviz_cmr=0.0 cmr_standard=0.0"),
+    ("1. TPO-1\n2. a\n3. b\n4. c\n5. d", "carnet_bord=0.92 aviz_generic=0.14 aviz_cmr=0.0 aviz_baumit_psl=0.0 aviz_baumit_tro=0.0 cmr_standard=0.0"),
+    ("CMR\nexpeditor x\nDestinatar y\n1. a\n2. b\n3. c\n4. d\n5. e", "cmr_standard=0.95 aviz_cmr=0.9 carnet_bord=0.22 aviz_generic=0.14 aviz_baumit_psl=0.0 aviz_baumit_tro=0.0"),
+    ("tro 123 text", "aviz_baumit_tro=0.88 carnet_bord=0.0 aviz_cmr=0.0 aviz_baumit_psl=0.0 aviz_generic=0.0 cmr_standard=0.0"),
+    ("Locul de descărcare: X\nGreutate brută 5", "cmr_standard=0.95 aviz_cmr=0.9 carnet_bord=0.0 aviz_baumit_psl=0.0 aviz_baumit_tro=0.0 aviz_generic=0.0"),
+    ("Aviz de expediție rezumat: TPO-0012345\nPaleti la locul de livrare\nGreutate brută 5", "aviz_generic=0.43 aviz_baumit_psl=0.33 aviz_baumit_tro=0.33 carnet_bord=0.0 aviz_cmr=0.0 cmr_standard=0.0"),
+    ("1. a\n2. b\n3. c\nNr. auto", "carnet_bord=0.55 aviz_cmr=0.0 aviz_baumit_psl=0.0 aviz_baumit_tro=0.0 aviz_generic=0.0 cmr_standard=0.0"),
+    ("nothing", "carnet_bord=0.0 aviz_cmr=0.0 aviz_baumit_psl=0.0 aviz_baumit_tro=0.0 aviz_generic=0.0 cmr_standard=0.0"),
+    (None, "carnet_bord=0.0 aviz_cmr=0.0 aviz_baumit_psl=0.0 aviz_baumit_tro=0.0 aviz_generic=0.0 cmr_standard=0.0"),
+]
+
+
+def layout_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout of pages that are plainly one, two at once, and none."""
+    k = F.col("c_custkey")
+    page = F.get(F.array(*[F.lit(p).cast("string") for p, _ in LAYOUTS]), (k % len(LAYOUTS)).cast("int"))
+    return profiles.detect_profiles(table(spark, sf_dir, "customer").select(k.alias("id"), page.alias("text")), "id")
+
+
+QUERIES["layout_detect"] = layout_detect
+ORACLE_SQL["layout_detect"] = f"""
+with f(i, candidates) as (values {', '.join(f"({i}, '{c}')" for i, (_, c) in enumerate(LAYOUTS))}), t as (select *, split_part(split_part(candidates, ' ', 1), '=', 1) as best, split_part(split_part(candidates, ' ', 1), '=', 2)::double as score from f)
+select c_custkey as id, case when score > 0 then best end as profile, score, candidates from customer join t on i = c_custkey % {len(LAYOUTS)}"""
