@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haulspark.llm.common import Scratch, few_rows_a_batch, text_bytes
+from haulspark.llm.common import Scratch, few_rows_a_batch, lean, text_bytes
 from haulspark.llm.perfect_hash import BytesTable, NumberTable
 from haulspark.llm.tokens import _LOWER, runs_of_texts
 from haulspark.operators.relational import numbered
@@ -280,7 +280,7 @@ def _plain_phrases(longest: int):
 def _plainly(rows: DataFrame, words: DataFrame, longest: int, least: int) -> DataFrame:
     """What ``_by_slots`` gives, from shuffled texts of phrases: the way for more phrases than may be sent out."""
     scratch = Scratch(rows.sparkSession, "collocations-plain")
-    counted = scratch.save(rows.mapInArrow(_plain_phrases(longest), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
+    counted = scratch.save(rows.mapInArrow(lean(_plain_phrases(longest)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
     every = counted.unionByName(words)
     split = F.split("phrase", " ")
     cut = counted.select("lang", "phrase", F.col("n").alias("a"), F.size(split).alias("size"), split.alias("w")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
@@ -300,12 +300,12 @@ def _by_slots(rows: DataFrame, words: DataFrame, longest: int, least: int, most_
         return None
     known = Vocabulary.of(words.orderBy("lang", "phrase").toArrow())
     sent = spark.sparkContext.broadcast(known)
-    coded = scratch.save(rows.mapInArrow(_code(sent), "codes binary"), "coded")
+    coded = scratch.save(rows.mapInArrow(lean(_code(sent)), "codes binary"), "coded")
     tables: list[NumberTable] = []
     with few_rows_a_batch(spark, 4):
         for size in range(2, longest + 1):
             so_far = spark.sparkContext.broadcast(list(tables))
-            screened = coded.mapInArrow(_screen(so_far), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+            screened = coded.mapInArrow(lean(_screen(so_far)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
             screened = scratch.save(screened, f"keys-{size}")
             if screened.count() + sum(map(len, tables)) > most_keys:
                 return None
@@ -313,13 +313,13 @@ def _by_slots(rows: DataFrame, words: DataFrame, longest: int, least: int, most_
         all_tables = spark.sparkContext.broadcast(tables)
         lanes = max(1, round(coded.rdd.getNumPartitions() ** 0.5))
         kind = "size int, block int, lane int, counts binary"
-        summed = coded.mapInArrow(_count(all_tables, lanes), kind).repartition("size", "block", "lane").mapInArrow(_add, kind).repartition("size", "block").mapInArrow(_add, kind)
+        summed = coded.mapInArrow(lean(_count(all_tables, lanes)), kind).repartition("size", "block", "lane").mapInArrow(_add, kind).repartition("size", "block").mapInArrow(_add, kind)
         counts = {size: np.zeros(len(t), np.int64) for size, t in enumerate(tables, start=2)}
         for size, block, _, raw in summed.collect():
             part = np.frombuffer(raw, np.int64)
             counts[size][block * BLOCK : block * BLOCK + len(part)] += part
     shared = spark.sparkContext.broadcast((known, tables, counts))
-    cuts = [spark.read.schema("key long").parquet(f"{scratch.path}/keys-{size}").mapInArrow(_cut(size, shared), "lang string, phrase string, size int, a long, l long, r long, score long") for size in counts]
+    cuts = [spark.read.schema("key long").parquet(f"{scratch.path}/keys-{size}").mapInArrow(lean(_cut(size, shared)), "lang string, phrase string, size int, a long, l long, r long, score long") for size in counts]
     out = cuts[0]
     for more in cuts[1:]:
         out = out.unionByName(more)
@@ -341,7 +341,7 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, covered: in
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "collocations")
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(text_bytes(text_col), F.lit(b"")).alias("text"))
-    words = scratch.save(rows.mapInArrow(_count_words, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "words")
+    words = scratch.save(rows.mapInArrow(lean(_count_words), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "words")
     total = scratch.save(words.groupBy("lang").agg(F.sum("n").alias("n")), "total")
     frequent = words.where(F.col("n") >= least)
     found = _by_slots(rows, frequent, longest, least, most_keys, most_bytes, scratch)
