@@ -49,9 +49,12 @@ METRES_LON, METRES_LAT = 111_320.0, 110_540.0
 
 
 def ring_metrics(ring: Column) -> Column:
-    """``area`` (square metres), ``perimeter`` (metres) and ``compactness`` (1 for a circle) of a closed ring; zeros below four points."""
+    """``area`` (square metres), ``perimeter`` (metres) and ``compactness`` (1 for a circle) of a closed ring; zeros below four points.
+
+    Metres are counted from the ring's first point: products of metres from the equator would cost the area its last digits.
+    """
     mean = F.aggregate(ring, F.lit(0.0), lambda s, p: s + p["lat"]) / F.size(ring)
-    flat = F.transform(F.array(F.cos(F.radians(mean)) * METRES_LON), lambda mx: F.transform(ring, lambda p: F.struct((p["lon"] * mx).alias("x"), (p["lat"] * METRES_LAT).alias("y"))))[0]
+    flat = F.transform(F.array(F.cos(F.radians(mean)) * METRES_LON), lambda mx: F.transform(ring, lambda p: F.struct(((p["lon"] - F.get(ring, F.lit(0))["lon"]) * mx).alias("x"), ((p["lat"] - F.get(ring, F.lit(0))["lat"]) * METRES_LAT).alias("y"))))[0]
     sides = F.transform(F.sequence(F.lit(0), F.size(ring) - 2), lambda i: i)
     sums = F.transform(
         F.array(flat),
