@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from haulspark.functions.address import COUNTIES
+from haulspark.functions.text import once
 
 # What stands for what in scans of these papers.
 GLYPHS = {"ä": "ă", "Ä": "Ă", "\0": "\t", "‘": "'", "’": "'", "‚": "'", "‛": "'", "′": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "″": '"', "«": '"', "»": '"'}
@@ -22,15 +23,15 @@ PLACES = {"MIMARFA": "MMARFA", "MIIMARFA": "MMARFA", "MMMARFA": "MMARFA", "Bolin
 BOULEVARDS = ("Bulevardul", "Blvd", "Bvd", "Bld", "Bd", "B-dul", "Bdul")
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used, also in lambdas."""
-    return F.transform(F.array(value), use)[0]
+def rewritten(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
+    """``text`` with every match of ``pattern`` replaced by what ``by`` makes of it; ``text`` is worked out once."""
 
+    def told(t: Column) -> Column:
+        pieces, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        joined = F.array_join(F.zip_with(pieces, found, lambda piece, match: F.concat(piece, F.coalesce(F.when(match.isNotNull(), by(match)), F.lit("")))), "")
+        return F.when(t.rlike(pattern), joined).otherwise(t)
 
-def rewritten(text: Column, pattern: str, by: Callable[[Column], Column]) -> Column:
-    """``text`` with every match of ``pattern`` replaced by what ``by`` makes of it."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.array_join(F.zip_with(pieces, found, lambda piece, match: F.concat(piece, F.coalesce(F.when(match.isNotNull(), by(match)), F.lit("")))), "")
+    return once(text, told)
 
 
 def _composed(text: Column) -> Column:
