@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from haulspark.functions.address import COUNTIES
 from haulspark.functions.goods import MIXED, UNITS
-from haulspark.functions.scans import once
-from haulspark.functions.text import MARKED, PLAIN, resolved_date
+from haulspark.functions.text import MARKED, PLAIN, once, resolved_date
 from haulspark.operators.documents import LOAD_HIGH, LOAD_LOW, NO_SERIES
+from haulspark.operators.grouped import as_told, dealt
 
 # The guide that drivers are given, line by line, and the kind of line that each field wants.
 GUIDE = ("tpo", "doc_date", "order_value", "plate", "route", "goods", "quantity", "gross_kg", "net_kg", "doc_no", "runs", "taxes", "km", "tariff")
@@ -44,14 +44,17 @@ def hand_number(text: Column) -> Column:
 
     One point before three digits parts thousands; one comma is the decimal. What is no number is null.
     """
-    t = F.regexp_replace(text, r"\s", "")
+    return once(F.regexp_replace(text, r"\s", ""), _hand_number)
+
+
+def _hand_number(t: Column) -> Column:
     signs = F.regexp_replace(t, "[^.,]", "")
     head, tail = F.regexp_replace(F.regexp_replace(t, r"[.,][^.,]*$", ""), "[.,]", ""), F.regexp_extract(t, r"[.,]([^.,]*)$", 1)
     alike = (F.replace(signs, F.lit(".")) == "") | (F.replace(signs, F.lit(",")) == "")
     many = F.when((F.length(tail) == 3) & alike, F.concat(head, tail)).otherwise(F.concat(head, F.lit("."), tail, F.lit("0")))
     one = F.when(t.rlike(r"\.[0-9]{3}$"), F.replace(t, F.lit("."))).otherwise(F.replace(t, F.lit(","), F.lit(".")))
-    number = F.when(F.length(signs) > 1, many).otherwise(one)
-    return F.when(number.rlike(r"^[0-9]*\.?[0-9]*$") & number.rlike("[0-9]"), number).try_cast("double")
+    told = F.when(F.length(signs) > 1, many).otherwise(one)
+    return once(told, lambda number: F.when(number.rlike(r"^[0-9]*\.?[0-9]*$") & number.rlike("[0-9]"), number).try_cast("double"))
 
 
 def plate_tokens(text: Column) -> Column:
@@ -65,11 +68,17 @@ def plate_tokens(text: Column) -> Column:
 
 def packaging_word(text: Column) -> Column:
     """The packaging that ``text`` names: two kinds at once, else the one that says most; null without any."""
-    folded = F.translate(F.replace(F.lower(text), F.lit("³"), F.lit("3")), MARKED, PLAIN)
-    tight = F.regexp_replace(folded, r"\s*/\s*", "/")
-    mixed = F.lit(None).cast("string")
-    for name, unit in MIXED.items():
-        mixed = F.when(F.contains(tight, F.lit(name)), unit).otherwise(mixed)
+    return once(F.translate(F.replace(F.lower(text), F.lit("³"), F.lit("3")), MARKED, PLAIN), _packaging)
+
+
+def _packaging(folded: Column) -> Column:
+    def of(tight: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, unit in MIXED.items():
+            out = F.when(F.contains(tight, F.lit(name)), unit).otherwise(out)
+        return out
+
+    mixed = F.when(F.contains(folded, F.lit("/")), once(F.regexp_replace(folded, r"\s*/\s*", "/"), of))
     units = F.transform(F.split(folded, "[^a-z0-9]+"), lambda w: F.try_element_at(_map(UNITS), w))
     ranked = F.filter(F.transform(units, lambda u, i: F.struct((-F.coalesce(F.try_element_at(_map(UNIT_RANKS), u), F.lit(0))).alias("r"), i.alias("i"), u.alias("u"))), lambda s: s["u"].isNotNull())
     return F.coalesce(mixed, F.array_min(ranked)["u"])
@@ -167,7 +176,8 @@ def numbered_sheets(docs: DataFrame, id_col: str, today: str, text: str = "text"
     their kind that no field has, and are less sure of it. Money is only taken from its own line. All of a sheet is decided within its
     row: two folds over the guide, whose state is the fields filled and the lines used.
     """
-    parsed = docs.select(F.col(id_col).alias("id"), F.transform(numbered_lines(F.col(text)), lambda x: F.struct(x["no"].alias("no"), line_of(x["raw"]).alias("line"))).alias("_lines")).where(F.size("_lines") >= FEWEST)
+    numbered = F.transform(numbered_lines(F.col("_text")), lambda x: F.struct(x["no"].alias("no"), line_of(x["raw"]).alias("line")))
+    parsed = dealt(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text")), "id").select("id", as_told(numbered, "_lines")).where(F.size("_lines") >= FEWEST)
     kinded = parsed.withColumn("_lines", F.transform("_lines", lambda x: F.struct(x["no"].alias("no"), kind_of(x["line"]).alias("kind"), x["line"].alias("line"))))
 
     def valued(x: Column) -> Column:
