@@ -7,9 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulspark.functions.scans import once, scanned_codes
-from haulspark.functions.text import resolved_date, unmarked
+from haulspark.functions.scans import scanned_codes
+from haulspark.functions.text import once, resolved_date, unmarked
 from haulspark.operators.documents import LOAD_HIGH, LOAD_LOW
+from haulspark.operators.grouped import dealt
 from haulspark.operators.sheets import CEILINGS, CODE_DIGITS, MOST_OF_ANY, UNSURE, hand_number, packaging_word, plate_tokens
 
 # Labels as they are printed, folded; months; how sure a place makes its field; what fields weigh in the whole.
@@ -37,9 +38,13 @@ def _labelled(lines: Column, i: Column, what: str) -> Column:
 
 def _weight(line: Column, what: str) -> Column:
     """Kilograms after a label on the same line, the unit before or behind the figure; null if no lorry weighs so much."""
-    after = F.regexp_extract(line["folded"], rf"(?:{'|'.join(LABELS[what])})[a-z]*\s*(.*)$", 1)
+    return once(F.regexp_extract(line["folded"], rf"(?:{'|'.join(LABELS[what])})[a-z]*\s*(.*)$", 1), lambda after: F.when(after != "", _kilos(after)))
+
+
+def _kilos(after: Column) -> Column:
     number, tonnes = hand_number(F.regexp_replace(F.regexp_extract(after, r"([0-9][0-9., ]*[0-9]|[0-9])", 1), " ", "")), after.rlike(r"[0-9) ]\s*t(?:o|on|one)?\b") | after.rlike(r"^\W*\(?t(?:o|on|one)?\b")
-    return once(F.when(after.rlike(r"\b(?:kg|t|to|tone|ton)\b"), F.when(tonnes, number * 1000).otherwise(number)), lambda kg: F.when(kg.between(LOAD_LOW, LOAD_HIGH), F.round(kg, 2)))
+    kilos = F.when(after.rlike(r"\b(?:kg|t|to|tone|ton)\b"), F.when(tonnes, number * 1000).otherwise(number))
+    return once(kilos, lambda kg: F.when(kg.between(LOAD_LOW, LOAD_HIGH), F.round(kg, 2)))
 
 
 def _candidates(lines: Column, i: Column, line: Column, today: Column) -> Column:
@@ -50,6 +55,7 @@ def _candidates(lines: Column, i: Column, line: Column, today: Column) -> Column
     padded = lambda d: F.lpad(d, F.greatest(F.length(d), F.lit(CODE_DIGITS)), F.lit("0"))
     sure_code = lambda d, base: F.lit(base) - F.when(F.length(d) <= CODE_DIGITS, 0.0).otherwise(UNSURE)
     bare = F.when(folded.rlike("|".join(LABELS["order"])), F.regexp_extract(folded, r"transport\W*([0-9]{4,7})\b", 1))
+    coded = lambda field, rank, found, made, sure: once(found, lambda d: entry(field, rank, F.when(d != "", made(d)), sure(d)))
     part = lambda pattern, n: F.regexp_extract(raw, pattern, n).try_cast("int")
     dmy, iso, named = r"\b(\d{1,2})\s*[./-]\s*(\d{1,2})\s*[./-]\s*(\d{2,4})\b", r"\b(\d{4})-(\d{2})-(\d{2})\b", r"\b(\d{1,2})\s+(\p{L}{3,10})\.?\s+(\d{4})\b"
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substr(unmarked(F.regexp_extract(raw, named, 2)), F.lit(1), F.lit(3))).cast("int")
@@ -62,22 +68,23 @@ def _candidates(lines: Column, i: Column, line: Column, today: Column) -> Column
     near_label = _labelled(lines, i, "date")
     plates = once(plate_tokens(raw), lambda p: F.when(F.size(p) > 0, F.array_join(p, " / ")))
     amount, unit = hand_number(F.regexp_extract(folded, r"\b([0-9][0-9.,]*)\s*(?:m3|mc|saci?|galeti|pal(?:eti|et)?|buc(?:ati)?|pcs|pce)\b", 1)), packaging_word(F.regexp_extract(folded, r"[0-9]\s*(m3|mc|saci?|galeti|pal(?:eti|et)?|buc(?:ati)?|pcs|pce)\b", 1))
+    loaded = F.struct(amount.alias("n"), unit.alias("unit"))
     beside = hand_number(F.regexp_extract(folded, r"\b[0-9][0-9.,]*\s*(?:saci?|galeti|buc(?:ati)?|pcs)\s+([0-9][0-9.,]*)\s*kg\b", 1))
     return F.filter(
         F.array(
-            entry("tpo", 0, F.when(code("TPO") != "", F.concat(F.lit("TPO-"), padded(code("TPO")))), sure_code(code("TPO"), 0.9)),
-            entry("tpo", 1, F.when(bare != "", F.concat(F.lit("TPO-"), padded(bare))), sure_code(bare, 0.72)),
-            entry("doc_no", 0, F.when(code("TRO") != "", F.concat(F.lit("TRO-"), code("TRO"))), F.lit(0.9)),
-            entry("doc_no", 1, F.when(code("PSL") != "", F.concat(F.lit("PSL-"), code("PSL"))), F.lit(0.78)),
+            coded("tpo", 0, code("TPO"), lambda d: F.concat(F.lit("TPO-"), padded(d)), lambda d: sure_code(d, 0.9)),
+            coded("tpo", 1, bare, lambda d: F.concat(F.lit("TPO-"), padded(d)), lambda d: sure_code(d, 0.72)),
+            coded("doc_no", 0, code("TRO"), lambda d: F.concat(F.lit("TRO-"), d), lambda d: F.lit(0.9)),
+            coded("doc_no", 1, code("PSL"), lambda d: F.concat(F.lit("PSL-"), d), lambda d: F.lit(0.78)),
             F.when(~is_iso & raw.rlike(dmy), dated(when(part(dmy, 1), part(dmy, 2), part(dmy, 3)), F.when(near_label.isNotNull(), 0).otherwise(2), F.lit(1.0), 0.0)),
             F.when(is_iso, dated(when(part(iso, 3), part(iso, 2), part(iso, 1)), F.lit(1), F.lit(0.95), 0.05)),
-            F.when(month > 0, dated(when(part(named, 1), month, part(named, 3)), F.lit(3), F.lit(0.85), 0.0)),
+            once(month, lambda m: F.when(m > 0, dated(when(part(named, 1), m, part(named, 3)), F.lit(3), F.lit(0.85), 0.0))),
             entry("plate", 0, plates, F.lit(0.9)),
             entry("gross_kg", 0, _weight(line, "gross").cast("string"), F.lit(0.9)),
-            entry("gross_kg", 1, F.when(beside.between(LOAD_LOW, LOAD_HIGH), beside.cast("string")), F.lit(0.8)),
+            once(beside, lambda kg: entry("gross_kg", 1, F.when(kg.between(LOAD_LOW, LOAD_HIGH), kg.cast("string")), F.lit(0.8))),
             entry("net_kg", 0, _weight(line, "net").cast("string"), F.lit(0.9)),
-            entry("quantity", 0, F.when((amount > 0) & (amount <= F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in CEILINGS.items() for x in p]), unit), F.lit(MOST_OF_ANY))), F.concat_ws(" ", amount.cast("string"), unit)), F.lit(0.86)),
-            entry("goods", 0, F.when(amount > 0, unit), F.lit(0.9)),
+            once(loaded, lambda q: entry("quantity", 0, F.when((q["n"] > 0) & (q["n"] <= F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in CEILINGS.items() for x in p]), q["unit"]), F.lit(MOST_OF_ANY))), F.concat_ws(" ", q["n"].cast("string"), q["unit"])), F.lit(0.86))),
+            once(loaded, lambda q: entry("goods", 0, F.when(q["n"] > 0, q["unit"]), F.lit(0.9))),
             entry("goods", 1, F.when(~folded.rlike("predare|preluare|locul de livrare"), packaging_word(raw)), F.lit(0.7)),
         ),
         lambda e: e.isNotNull(),
@@ -95,11 +102,11 @@ def read_fields(docs: DataFrame, id_col: str, today: str, text: str = "text") ->
     """``id, field, value, confidence, status, line`` of every field of every page, those not found too.
 
     The page is cleaned and its codes read through their look-alikes. Each line offers candidates to fields; of a field's candidates the one in the best kind of place stands, then the one nearest its label, then
-    the first on the page. Plates are all that the page has. A gross weight below the net one is no reading. Status is ok from ``ACCEPT`` on, review from ``REJECT`` on, else missing. A page is one row throughout: no shuffle.
+    the first on the page. Plates are all that the page has. A gross weight below the net one is no reading. Status is ok from ``ACCEPT`` on, review from ``REJECT`` on, else missing. A page is one row throughout, dealt over all cores by its id.
     """
     day = F.lit(today).cast("date")
-    lines = F.transform(F.split(scanned_codes(F.coalesce(F.col(text), F.lit(""))), "\n"), lambda x: F.struct(F.replace(x, F.lit("\t"), F.lit("  ")).alias("raw"), unmarked(x).alias("folded"), F.substring_index(x, "\t", 1).alias("left")))
-    paged = docs.select(F.col(id_col).alias("id"), lines.alias("_lines"))
+    lines = F.transform(F.split(scanned_codes(F.coalesce(F.col("_text"), F.lit(""))), "\n"), lambda x: F.struct(F.replace(x, F.lit("\t"), F.lit("  ")).alias("raw"), unmarked(x).alias("folded"), F.substring_index(x, "\t", 1).alias("left")))
+    paged = dealt(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text")), "id").select("id", lines.alias("_lines"))
     offered = paged.withColumn("_found", once(F.col("_lines"), lambda all_: F.flatten(F.transform(all_, lambda x, i: _candidates(all_, i, x, day)))).cast(_FOUND))
 
     def best(field: str) -> Column:
