@@ -44,16 +44,17 @@ def _by_words(asked: DataFrame, streets: DataFrame) -> DataFrame:
     """(city, key) of asked names against streets whose key holds every typed word of two letters and more: the nearest in length, ``MOST_SUGGESTED`` of each.
 
     The inverted index has every run of two and three letters of a key. A name meets only the streets under its rarest run, and none if one of its runs
-    stands in no key; so a word that most streets share costs nothing.
+    stands in no key; so a word that most streets share costs nothing. The index is many times its streets, which a planner that goes by the size of files
+    does not see: it is joined by shuffle and sent to no driver.
     """
     index = streets.select("city", "street_id", F.explode(F.array_distinct(F.concat(_grams(F.col("key"), 2), _grams(F.col("key"), 3)))).alias("gram"))
     often = index.groupBy("city", "gram").agg(F.count("*").alias("n"))
     words = F.filter(F.split("key", " "), lambda w: F.length(w) >= 2)
     typed = asked.select("ask", "city", words.alias("words")).where(F.size("words") > 0)
     runs = F.flatten(F.transform("words", lambda w: F.when(F.length(w) == 2, F.array(w)).otherwise(_grams(w, 3))))
-    runs = typed.withColumn("gram", F.explode(F.array_distinct(runs))).withColumn("runs", F.lit(1)).join(often, ["city", "gram"], "left")
+    runs = typed.withColumn("gram", F.explode(F.array_distinct(runs))).withColumn("runs", F.lit(1)).join(often.hint("merge"), ["city", "gram"], "left")
     best = runs.groupBy("ask", "city", "words").agg(F.count("*").alias("all"), F.count("n").alias("known"), F.min(F.struct("n", "gram")).alias("rarest")).where(F.col("all") == F.col("known"))
-    met = best.select("ask", "city", "words", F.col("rarest.gram").alias("gram")).join(index, ["city", "gram"]).join(streets.select("street_id", "city", "key", "zones"), ["city", "street_id"])
+    met = best.select("ask", "city", "words", F.col("rarest.gram").alias("gram")).join(index.hint("merge"), ["city", "gram"]).join(streets.select("street_id", "city", "key", "zones").hint("merge"), ["city", "street_id"])
     held = met.where(F.forall("words", lambda w: F.contains(F.col("key"), w)))
     extra = F.length("key") - F.aggregate("words", F.lit(0), lambda s, w: s + F.length(w))
     order = Window.partitionBy("ask").orderBy(extra, "key")
@@ -77,15 +78,15 @@ def lookup_streets(asked: DataFrame, streets: DataFrame) -> DataFrame:
     split = house_number(F.col("text"))
     ways = F.array(F.struct(F.lit(0).alias("way"), F.col("text").alias("street"), F.lit(None).cast("string").alias("number")), F.struct(F.lit(1).alias("way"), split["street"].alias("street"), split["number"].alias("number")))
     typed = asked.select("id", "city", F.explode(F.filter(ways, lambda w: w["street"].isNotNull())).alias("w")).select("id", "city", "w.*").withColumn("ask", F.struct("id", "way")).withColumn("key", street_key(F.col("street"))).where("key <> ''").withColumn("bare", bare_name(F.col("key")))
-    exact = typed.join(known.select("city", "key", "street_id"), ["city", "key"]).select("ask", F.lit("exact").alias("status"), "street_id", F.lit(1).cast("long").alias("candidates"))
-    rest = typed.join(exact.select("ask"), "ask", "left_anti")
-    named = _settled(rest.join(known.select("city", "bare", "street_id", "zones"), ["city", "bare"]).select("ask", "street_id", "zones", F.col("street_id").alias("pos")))
+    exact = typed.join(known.select("city", "key", "street_id").hint("merge"), ["city", "key"]).select("ask", F.lit("exact").alias("status"), "street_id", F.lit(1).cast("long").alias("candidates"))
+    rest = typed.join(exact.select("ask").hint("merge"), "ask", "left_anti")
+    named = _settled(rest.join(known.select("city", "bare", "street_id", "zones").hint("merge"), ["city", "bare"]).select("ask", "street_id", "zones", F.col("street_id").alias("pos")))
     named = named.withColumn("status", F.when(F.col("candidates") == 1, "without-type").otherwise(F.col("status")))
-    last = rest.join(named.select("ask"), "ask", "left_anti")
+    last = rest.join(named.select("ask").hint("merge"), "ask", "left_anti")
     worded = _settled(_by_words(last, known))
     whole = exact.select("*", F.lit(0).alias("found")).unionByName(named.select("*", F.lit(0).alias("found"))).unionByName(worded.select("*", F.lit(1).alias("found")))
     # the whole text as a name, then the text before a number, then words of the whole
     rank = F.when((F.col("ask.way") == 0) & (F.col("found") == 0), 0).when(F.col("ask.way") == 1, 1).otherwise(2)
     best = whole.groupBy(F.col("ask.id").alias("id")).agg(F.min(F.struct(rank.alias("rank"), "ask.way", "status", "street_id", "candidates")).alias("b"))
     number = F.when(F.col("b.rank") == 1, split["number"])
-    return asked.join(best, "id", "left").select("id", F.coalesce("b.status", F.lit("unknown")).alias("status"), "b.street_id", F.coalesce("b.candidates", F.lit(0)).alias("candidates"), number.alias("house_number"))
+    return asked.join(best.hint("merge"), "id", "left").select("id", F.coalesce("b.status", F.lit("unknown")).alias("status"), "b.street_id", F.coalesce("b.candidates", F.lit(0)).alias("candidates"), number.alias("house_number"))
