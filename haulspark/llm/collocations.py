@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from haulspark.llm.common import Scratch, few_rows_a_batch, lean, text_bytes
 from haulspark.llm.perfect_hash import BytesTable, NumberTable
-from haulspark.llm.tokens import _LOWER, runs_of_texts
+from haulspark.llm.tokens import _LOWER, mix, runs_of_texts
 from haulspark.operators.relational import numbered
 
 #: Bytes of text that are cut into words at once, keys a task holds before it gives them away, and counts in a block of the sums.
@@ -190,7 +190,7 @@ def _count(tables, lanes: int):
             for raw in batch.column("codes"):
                 for size, slots in phrase_slots(np.frombuffer(raw.as_py(), np.int32), known):
                     if size > 1:
-                        sums[size] += np.bincount(slots[slots >= 0], minlength=len(sums[size]))
+                        np.add.at(sums[size], slots[slots >= 0], 1)
         yield from _blocks(sums, TaskContext.get().partitionId() % lanes)
 
     return run
@@ -254,6 +254,10 @@ def _cut(size: int, shared):
     return run
 
 
+#: The score in SQL, in whole numbers of any size.
+_SCORE = "cast(2000000 * cast(a as decimal(19, 0)) div (cast(l as decimal(19, 0)) + r) as bigint)"
+
+
 def _plain_phrases(longest: int):
     """Every phrase of two words and more of a run as text with its count."""
 
@@ -278,7 +282,7 @@ def _plain_phrases(longest: int):
 
 
 def _plainly(rows: DataFrame, words: DataFrame, longest: int, least: int) -> DataFrame:
-    """What ``_by_slots`` gives, from shuffled texts of phrases: the way for more phrases than may be sent out."""
+    """What ``_by_slots`` gives, from shuffled texts of phrases: the way for more words than may be sent out."""
     scratch = Scratch(rows.sparkSession, "collocations-plain")
     counted = scratch.save(rows.mapInArrow(lean(_plain_phrases(longest)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
     every = counted.unionByName(words)
@@ -287,13 +291,121 @@ def _plainly(rows: DataFrame, words: DataFrame, longest: int, least: int) -> Dat
     part = lambda start, length: F.array_join(F.slice("w", start, length), " ")
     cut = cut.select("lang", "phrase", "size", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
     cut = cut.join(every.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l")), ["lang", "left"]).join(every.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"])
-    score = F.expr("cast(2000000 * cast(a as decimal(19, 0)) div (cast(l as decimal(19, 0)) + r) as bigint)")
-    lowest = cut.withColumn("score", score).groupBy("lang", "phrase", "size", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
+    lowest = cut.withColumn("score", F.expr(_SCORE)).groupBy("lang", "phrase", "size", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
     return lowest.select("lang", "phrase", "size", "a", "c.l", "c.r", "c.score")
 
 
+_PHRASES = pa.schema([("key", pa.binary()), ("n", pa.int64())])
+#: Bits of a map of frequent phrases, for each of them and at most.
+MARK_BITS, MOST_MARKS = 16, 1 << 28
+
+
+def _as_keys(words: np.ndarray) -> pa.Array:
+    """Rows of slots as binary keys, four bytes a word."""
+    words = np.ascontiguousarray(words, np.int32)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * words.shape[1]), len(words), [None, pa.py_buffer(words)]).cast(pa.binary())
+
+
+def _mark_of(columns: list[np.ndarray], n_bits: int) -> np.ndarray:
+    """The bit of each phrase, given by the slots of its words, in a map of ``n_bits``."""
+    out = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        out = mix(out * np.uint64(3) + c.astype(np.uint64))
+    return out & np.uint64(n_bits - 1)
+
+
+def _ids(marks, size: int):
+    """Phrases of ``size`` frequent words of each run with their counts, where maps of the shorter sizes do not rule a part out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[np.ndarray] = marks.value
+        for batch in batches:
+            for raw in batch.column("codes"):
+                codes = np.frombuffer(raw.as_py(), np.int32)
+                if len(codes) < size:
+                    continue
+                likely = codes >= 0
+                for k, bits in enumerate(known, start=2):
+                    likely = likely[:-1] & likely[1:]
+                    at = np.flatnonzero(likely)
+                    mark = _mark_of([codes[at + i] for i in range(k)], 64 * len(bits))
+                    likely[at] = bits[mark >> np.uint64(6)] >> (mark & np.uint64(63)) & np.uint64(1)
+                at = np.flatnonzero(likely[:-1] & likely[1:])
+                rank = codes[at].astype(np.int64)
+                for k in range(1, size):
+                    _, first, rank, n = np.unique(rank << 32 | codes[at + k], return_index=True, return_inverse=True, return_counts=True)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([_as_keys(np.stack([codes[at[first] + k] for k in range(size)], 1)), pa.array(n)], schema=_PHRASES)
+
+    return run
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of ``_screen`` for two words as binary keys."""
+    for batch in batches:
+        keys = batch.column("key").to_numpy()
+        yield pa.RecordBatch.from_arrays([_as_keys(np.stack([keys >> 32, keys & 0xFFFFFFFF], 1)), batch.column("n")], schema=_PHRASES)
+
+
+def _marks(phrases: DataFrame, size: int) -> np.ndarray:
+    """A map of bits in which those of all ``phrases`` of one size are set; its size is bounded."""
+    n_bits = max(64, min(MOST_MARKS, 1 << (MARK_BITS * phrases.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.int32).reshape(-1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(_mark_of(list(words.T), n_bits).astype(np.int64))], names=["mark"])
+
+    of = F.col("mark")
+    told = phrases.select("key").mapInArrow(lean(run), "mark long").groupBy(F.shiftright(of, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(mark & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(n_bits // 64, np.uint64)
+    out[told.column("at").to_numpy()] = told.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _by_ids(coded: DataFrame, pairs: DataFrame, sent, longest: int, least: int, scratch: Scratch) -> DataFrame:
+    """What ``_by_slots`` gives where the frequent phrases are more than may be sent out: counts and cuts by shuffles of the words' slots.
+
+    ``pairs`` are the frequent phrases of two words (key, n) that were counted already. Of longer ones only those are formed whose parts may be frequent by maps of
+    bits, which are sent out; a bit that is set wrongly adds a phrase that is counted and dropped.
+    """
+    spark, known = coded.sparkSession, sent.value
+    sizes, marks = [scratch.save(pairs.mapInArrow(lean(_pairs), "key binary, n long"), "phrases-2")], []
+    for size in range(3, longest + 1):
+        marks.append(_marks(sizes[-1], size - 1))
+        so_far = spark.sparkContext.broadcast(list(marks))
+        with few_rows_a_batch(spark, 4):
+            counted = coded.mapInArrow(lean(_ids(so_far, size)), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+            sizes.append(scratch.save(counted, f"phrases-{size}"))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = batch.column("id").to_numpy()
+            yield pa.RecordBatch.from_arrays([_as_keys(slots[:, None]), pa.array(sent.value.counts[slots])], schema=_PHRASES)
+
+    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column("size").to_numpy()
+            for k in np.unique(size):
+                some = batch.filter(pa.array(size == k))
+                words = np.frombuffer(b"".join(some.column("key").to_pylist()), np.int32).reshape(-1, k)
+                phrase = pc.binary_join_element_wise(*[sent.value.words.take(pa.array(c)) for c in words.T], pa.scalar(b" ", pa.large_binary()))
+                yield pa.RecordBatch.from_arrays([_text(sent.value.langs.take(pa.array(words[:, 0]))), _text(phrase), *[some.column(c) for c in ("size", "a", "l", "r", "score")]], schema=_CUT)
+
+    phrases = sizes[0]
+    for more in sizes[1:]:
+        phrases = phrases.unionByName(more)
+    every = phrases.unionByName(spark.range(len(known.counts)).mapInArrow(lean(single), "key binary, n long"))
+    size = (F.octet_length("key") / 4).cast("int")
+    cut = phrases.select("key", F.col("n").alias("a"), size.alias("size"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
+    cut = cut.select("key", "a", "size", "k", F.col("key").substr(F.lit(1), F.col("k") * 4).alias("left"), F.col("key").substr(F.col("k") * 4 + 1, F.col("size") * 4).alias("right"))
+    cut = cut.join(every.select(F.col("key").alias("left"), F.col("n").alias("l")), "left").join(every.select(F.col("key").alias("right"), F.col("n").alias("r")), "right")
+    lowest = cut.withColumn("score", F.expr(_SCORE)).groupBy("key", "size", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")).select("key", "size", "a", "c.l", "c.r", "c.score")
+    return lowest.mapInArrow(lean(spelt), "lang string, phrase string, size int, a long, l long, r long, score long")
+
+
 def _by_slots(rows: DataFrame, words: DataFrame, longest: int, least: int, most_keys: int, most_bytes: int, scratch: Scratch) -> DataFrame | None:
-    """``lang, phrase, size, a, l, r, score`` of every frequent phrase; None if the frequent words or phrases are more than may be sent out."""
+    """``lang, phrase, size, a, l, r, score`` of every frequent phrase; None if the frequent words are more than may be sent out."""
     spark = rows.sparkSession
     n_words, n_bytes = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase") + F.octet_length("lang")), F.lit(0))).first()
     if n_words > most_keys or n_bytes > most_bytes:
@@ -305,11 +417,14 @@ def _by_slots(rows: DataFrame, words: DataFrame, longest: int, least: int, most_
     with few_rows_a_batch(spark, 4):
         for size in range(2, longest + 1):
             so_far = spark.sparkContext.broadcast(list(tables))
-            screened = coded.mapInArrow(lean(_screen(so_far)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
+            screened = coded.mapInArrow(lean(_screen(so_far)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
             screened = scratch.save(screened, f"keys-{size}")
             if screened.count() + sum(map(len, tables)) > most_keys:
-                return None
-            tables.append(NumberTable(np.sort(screened.toArrow().column("key").to_numpy())))
+                break
+            tables.append(NumberTable(np.sort(screened.select("key").toArrow().column("key").to_numpy())))
+    if len(tables) < longest - 1:
+        return _by_ids(coded, spark.read.schema("key long, n long").parquet(f"{scratch.path}/keys-2"), sent, longest, least, scratch)
+    with few_rows_a_batch(spark, 4):
         all_tables = spark.sparkContext.broadcast(tables)
         lanes = max(1, round(coded.rdd.getNumPartitions() ** 0.5))
         kind = "size int, block int, lane int, counts binary"
@@ -336,8 +451,8 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, covered: in
 
     Words are counted by a shuffle. Frequent words get slots of a minimal perfect hash and texts become slots. For each size the phrases whose two parts are frequent are
     gathered, those that occur ``least`` times form a minimal perfect hash with stored keys, and at the end each task counts by slot into arrays that are summed in a
-    tree; cuts read the arrays. Frequent words and phrases are sent to all tasks only up to ``most_keys`` of each and ``most_bytes`` of words; beyond, the same
-    rows come from shuffles of the phrases themselves.
+    tree; cuts read the arrays. Frequent words and phrases are sent to all tasks only up to ``most_keys`` of each and ``most_bytes`` of words. With more phrases the same
+    rows come from shuffles of phrases as slots, with more words from shuffles of the phrases as text.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "collocations")
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(text_bytes(text_col), F.lit(b"")).alias("text"))

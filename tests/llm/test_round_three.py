@@ -187,3 +187,13 @@ def test_heaps_pop_what_is_violated_and_nothing_else():
             assert all(heap[(i - 1) // 2] <= heap[i] for i in range(1, len(heap)))
     best, near, second = nearest(np.array([[1.0, 1.0]]), np.array([[2.0, 1.0], [0.0, 1.0]]))
     assert (best.tolist(), near.tolist(), second.tolist()) == ([0], [1.0], [1.0])
+
+
+def test_more_phrases_than_may_be_sent_are_counted_by_slots(spark, monkeypatch):
+    """Words that may be sent out, phrases that may not: these were shuffled as text, from the texts on, after all else was done."""
+    monkeypatch.setattr(c, "_plainly", lambda *_: pytest.fail("phrases are shuffled as text"))
+    df = spark.createDataFrame(texts(), "text string, lang string").repartition(5)
+    of = lambda **bounds: sorted(tuple(r) for r in c.collocations(df, least=12, most=25, **bounds).collect())
+    told = of()
+    for most_keys in (40, 100):  # beyond at two words, and at more
+        assert of(most_keys=most_keys) == told
