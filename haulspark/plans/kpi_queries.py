@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from haulspark.functions.numeric import exact_sum, half_up, percent, vat_rate
 from haulspark.functions.timez import local_week
 from haulspark.operators import analytics, documents, pricing, reporting
+from haulspark.operators.grouped import in_parts
 from haulspark.operators.joins import asof, asof_with_fallback, bracket, small
 from haulspark.sources import tables as t
 from haulspark.sources.tables import table
@@ -199,10 +200,11 @@ lines as (
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    driven = t.runs(spark, sf_dir).groupBy("tpo_id").agg(exact_sum(F.col("km")).alias("driven_km"))
-    trips = o.select(k.alias("tpo_id"), F.when(k % 3 != 0, F.floor("o_totalprice") / 100).alias("trip_rate"), F.when(k % 4 != 0, 1.5).alias("km_rate"), F.when(k % 5 == 0, 120.0).alias("min_km")).join(driven, "tpo_id", "left")
+    runs = in_parts(t.runs(spark, sf_dir), "tpo_id")
+    driven = runs.groupBy("tpo_id").agg(exact_sum(F.col("km")).alias("driven_km"))
+    trips = in_parts(o.select(k.alias("tpo_id"), F.when(k % 3 != 0, F.floor("o_totalprice") / 100).alias("trip_rate"), F.when(k % 4 != 0, 1.5).alias("km_rate"), F.when(k % 5 == 0, 120.0).alias("min_km")), "tpo_id").join(driven, "tpo_id", "left")
     zone = F.col("vehicle_id") % 10
-    taxes = t.runs(spark, sf_dir).select("tpo_id", zone.alias("zone_id"), (F.col("line") * 1000000 + F.col("goods_id")).alias("place"), F.when(zone != 7, zone * 2.5).alias("rate"))
+    taxes = runs.select("tpo_id", zone.alias("zone_id"), (F.col("line") * 1000000 + F.col("goods_id")).alias("place"), F.when(zone != 7, zone * 2.5).alias("rate"))
     extra = o.where("o_orderpriority = '1-URGENT'").select(k.alias("tpo_id"), F.lit("DM").alias("code"), F.lit(45.5).alias("rate"), F.when(k % 2 == 0, 2.0).alias("quantity"))
     manual = o.where(k % 50 == 0).select(k.alias("tpo_id"), F.lit(10.25).alias("amount"))
     return pricing.price_lines(trips, taxes, extra, manual)
