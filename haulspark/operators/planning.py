@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from haulspark.functions.geo import haversine_km
 from haulspark.functions.numeric import exact_sum, percent
-from haulspark.operators.grouped import Rows, walk_groups
+from haulspark.operators.grouped import Rows, dealt, walk_groups
 from haulspark.operators.relational import top_rows
 from haulspark.sources.shared import settled
 from haulspark.sources.shipping import ship_package
@@ -56,14 +56,16 @@ def territories(locations: DataFrame, depot: str, k: int, rounds: int = 36) -> D
     hold any share of all rows. A depot with fewer places than ``k`` has as many clusters. Locations without a place are left out.
     """
     ship_package(locations.sparkSession)
-    points = settled(locations.where("lat is not null and lon is not null").select(F.col(depot).cast("int").alias(depot), "location_id", "lat", "lon", F.col("weight").cast("double").alias("weight")))
+    placed = locations.where("lat is not null and lon is not null").select(F.col(depot).cast("int").alias(depot), "location_id", "lat", "lon", F.col("weight").cast("double").alias("weight"))
+    points = settled(dealt(placed, "location_id"))  # a small file of many rows would be one task's in every round
     state = settled(_seeds(points, depot, k).withColumns({"price": F.lit(0.0), "gain": F.lit(1.0), "before": F.lit(0.0), "round": F.lit(0)}))
     kept = []
 
     def nearest(state: DataFrame) -> DataFrame:
         few = state.groupBy(depot).agg(F.array_sort(F.collect_list(F.struct("cluster", "clat", "clon", "price"))).alias("_c"))
         squared = lambda c: F.pow(haversine_km(F.col("lat"), F.col("lon"), c["clat"], c["clon"]), F.lit(2.0))
-        best = F.array_min(F.transform("_c", lambda c: F.struct((squared(c) + c["price"]).alias("score"), c["cluster"].alias("cluster"), squared(c).alias("km2"))))
+        apart = F.transform("_c", lambda c: F.struct(squared(c).alias("km2"), c["price"].alias("price"), c["cluster"].alias("cluster")))  # worked out once
+        best = F.array_min(F.transform(apart, lambda c: F.struct((c["km2"] + c["price"]).alias("score"), c["cluster"].alias("cluster"), c["km2"].alias("km2"))))
         return points.join(few, depot).withColumn("_b", best).select(*points.columns, F.col("_b.cluster").alias("cluster"), F.col("_b.km2").alias("km2"))
 
     for r in range(1, rounds + 1):
