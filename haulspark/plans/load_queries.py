@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulspark.operators import loads
+from haulspark.operators.grouped import in_parts
 from haulspark.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -31,7 +32,8 @@ p as materialized (select * from b where x is not null)"""
 
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s, n = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", p, s, n).agg(F.max("l_quantity").alias("q"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", p, s, n, "l_quantity")
+    rows = in_parts(lines, "l_orderkey").groupBy("l_orderkey", p, s, n).agg(F.max("l_quantity").alias("q"))
     return rows.select(
         F.col("l_orderkey").alias("plan_id"), (p * 100000 + s * 10 + n).alias("item_id"), F.when(p % 13 != 0, (n - 1) * 1.5 + p % 3 * 0.5 - 0.5).alias("x"), (s % 3 * 0.75).alias("y"),
         F.when(p % 4 == 0, 1.0).when(p % 11 == 0, 2.0).otherwise(0.0).alias("z"), F.lit(2.25).alias("l"), F.lit(1.0).alias("w"), F.lit(1.0).alias("h"), (F.col("q") * 10.0).alias("weight_kg"),
