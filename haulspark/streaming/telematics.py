@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,29 +13,35 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from haulspark.operators.telematics import AT_STOP, IDLE_SPEED, exceptions_of, nearest_stop
 from haulspark.sources.shipping import ship_package
 
-_PLAN = "route_id long, next_stop_id long, next_lat double, next_lon double, planned_at timestamp, window_start string"
-_OUT = f"event_id long, vehicle_id long, ts timestamp, speed double, lat double, lon double, stop_id long, stop_m double, {_PLAN}, idle_min double"
+#: What the clock reads and gives back, and no more: times as whole microseconds, for a frame a vehicle makes each column cost, and one of timestamps most.
+_READ = ["event_id", "vehicle_id", "micros", "speed", "lat", "lon", "stop_m"]
+_OUT = "event_id long, vehicle_id long, micros long, speed double, lat double, lon double, stop_m double, idle_min double"
 
 
 def _idle_clock(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Adds ``idle_min``; the state is the instant, in microseconds, since when the vehicle stands away from stops."""
+    """Adds ``idle_min``; the state is the instant, in microseconds, since when the vehicle stands away from stops. A sample without a time does not move the clock."""
     since = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-    minutes = []
-    for ts, speed, metres in zip(rows["ts"], rows["speed"], rows["stop_m"], strict=True):
-        now = ts.value // 1000
-        if speed <= IDLE_SPEED and (pd.isna(metres) or metres > AT_STOP):
-            since = now if since is None else since
-            minutes.append((now - since) / 60_000_000)
+    parts = list(batches)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    micros, metres = rows["micros"].to_numpy(), rows["stop_m"].to_numpy(np.float64, na_value=np.nan)
+    idle = (rows["speed"].to_numpy(np.float64, na_value=np.nan) <= IDLE_SPEED) & ~(metres <= AT_STOP)
+    minutes = np.full(len(rows), np.nan)
+    for i in np.lexsort((rows["event_id"].to_numpy(), micros)).tolist():
+        now = micros[i]
+        if now != now:
+            continue
+        if idle[i]:
+            since = int(now) if since is None else since
+            minutes[i] = (int(now) - since) / 60_000_000
         else:
             since = None
-            minutes.append(None)
     if since is None:
         if state.exists:
             state.remove()
     else:
         state.update((since,))
-    yield rows.assign(idle_min=minutes)
+    rows["idle_min"] = minutes
+    yield rows
 
 
 def stream_exceptions(positions: DataFrame, stops: DataFrame, plan: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -44,10 +51,11 @@ def stream_exceptions(positions: DataFrame, stops: DataFrame, plan: DataFrame, l
     Samples of one micro-batch are taken in order of time, those of one vehicle in one call.
     """
     ship_package(positions.sparkSession)
-    placed = nearest_stop(positions.withWatermark("ts", late), stops).join(plan, "vehicle_id", "left")
-    columns = [part.split()[0] for part in _OUT.split(", ")][:-1]
-    clocked = placed.select(*columns).groupBy("vehicle_id").applyInPandasWithState(_idle_clock, _OUT, "since long", "append", GroupStateTimeout.NoTimeout)
-    return exceptions_of(clocked)
+    placed = nearest_stop(positions.withWatermark("ts", late), stops).withColumn("micros", F.unix_micros("ts"))
+    clocked = placed.select(*_READ).groupBy("vehicle_id").applyInPandasWithState(_idle_clock, _OUT, "since long", "append", GroupStateTimeout.NoTimeout)
+    # frames have no nulls but NaN
+    known = clocked.withColumns({"ts": F.timestamp_micros("micros"), "stop_m": F.nanvl("stop_m", F.lit(None)), "idle_min": F.nanvl("idle_min", F.lit(None))})
+    return exceptions_of(known.join(plan, "vehicle_id", "left"))
 
 
 def counted_by_hour(positions: DataFrame, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
